@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nested
+from ..operators import instants, nested
 from ..session import read
 
 
@@ -22,5 +22,14 @@ def p1_path_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("table_path", "field").agg(F.count("*").alias("n_cells"), F.count("value").alias("n_values"), F.max(F.length("value")).alias("longest"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_path_profile": p1_path_profile}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants of search_results.retrieved_at and provenance.publication_date."""
+    known = instants.InstantDictionary(spark, read(spark, sf_dir, "source_feeds"), instants.shared_path(spark, "instants"))
+    searches = known.normalise(read(spark, sf_dir, "search_results").select("search_id", "feed_id", "retrieved_at"), "retrieved_at", "feed_id")
+    dates = known.normalise(read(spark, sf_dir, "provenance").select("provenance_id", "feed_id", "publication_date"), "publication_date", "feed_id")
+    ids = searches.select(F.col("search_id").alias("record_id"), "iso_utc").unionByName(dates.select(F.col("provenance_id").alias("record_id"), "iso_utc"))
+    return ids.where("record_id is not null").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_path_profile": p1_path_profile, "p5_found": p5_found}
 ORACLES: dict[str, str] = {}

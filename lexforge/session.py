@@ -37,13 +37,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``; one of our own is set only where that is
     unset, as in tests. The copy survives the loss of executors.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set first if nobody has."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
+        if shared is None and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "lexforge-checkpoints"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
