@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import instants, nested
+from ..operators import instants, nested, units
 from ..session import read
 
 
@@ -22,6 +22,23 @@ def p1_path_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("table_path", "field").agg(F.count("*").alias("n_cells"), F.count("value").alias("n_values"), F.max(F.length("value")).alias("longest"))
 
 
+def _doses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = "key_information"
+    return read(spark, sf_dir, "content_items").select("content_id", "text", *[F.col(f"{info}.{c}").alias(c) for c in ("dose", "dose_unit", "frequency")])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute doses of content_items in base units, with their interval."""
+    amounts = units.normalise_doses(_doses(spark, sf_dir), "content_id", read(spark, sf_dir, "unit_standards"), verify=False)
+    return amounts.where("is_unique").select("content_id", "kind", "amount_low", "amount_high", "interval_min").distinct()
+
+
+def p2_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the stated doses agree with the amounts in their texts, by kind and place of the unit."""
+    amounts = units.normalise_doses(_doses(spark, sf_dir), "content_id", read(spark, sf_dir, "unit_standards"))
+    return amounts.groupBy("kind", "unit_source", "is_unique").agg(F.count("*").alias("n"), F.count_if(F.col("log_residual") < 1e-9).alias("n_confirmed"), F.count_if(F.col("log_residual") >= 1e-9).alias("n_off"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instants of search_results.retrieved_at and provenance.publication_date."""
     known = instants.InstantDictionary(spark, read(spark, sf_dir, "source_feeds"), instants.shared_path(spark, "instants"))
@@ -31,5 +48,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.where("record_id is not null").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_path_profile": p1_path_profile, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_path_profile": p1_path_profile, "p2_found": p2_found, "p2_residuals": p2_residuals, "p5_found": p5_found}
 ORACLES: dict[str, str] = {}
