@@ -56,7 +56,7 @@ def shared_folder(spark: SparkSession) -> str:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """A broadcast hint if the optimizer's size estimate is within limit, else df unchanged."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= limit else df
+    return F.broadcast(df) if int(size) <= limit else df
 
 
 def spread(df: DataFrame, bytes_per_task: int = 4 << 20) -> DataFrame:
