@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import splitting
+from . import neardup, splitting
 
 
 def _pieces(spark: SparkSession, sf_dir: str, keep_whole: bool) -> DataFrame:
@@ -26,7 +26,23 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir, keep_whole=True)
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}
+def _statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.link_classes(neardup.fingerprints(read(spark, sf_dir, "content_items"), "content_id", "text", "drug"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items that say the same about the same drug."""
+    return neardup.linked_pairs(*_statements(spark, sf_dir))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item with its class of equal statements and the number of other classes linked to it."""
+    members, links = _statements(spark, sf_dir)
+    both = links.select(F.explode(F.array("class_id_a", "class_id_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(both, "class_id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_classes": p4_classes}
 ORACLES = {
     "p3_found": """
         select distinct record_id from (
