@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import neardup, splitting
+from . import leakage, neardup, splitting
 
 
 def _pieces(spark: SparkSession, sf_dir: str, keep_whole: bool) -> DataFrame:
@@ -42,7 +42,12 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(both, "class_id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_classes": p4_classes}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a passage of an evaluation case."""
+    return leakage.find_leaks(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_cases"), "item_id", ["target_text", "candidate_text"])
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found}
 ORACLES = {
     "p3_found": """
         select distinct record_id from (
