@@ -184,9 +184,10 @@ def dictionary(keys: DataFrame, abbr: dict[str, int]) -> DataFrame:
 
 
 def _keys(df: DataFrame, raw: str, feed: str, feeds: DataFrame) -> DataFrame:
-    rows = df.where(F.col(raw).isNotNull() & (F.trim(raw) != ""))
+    """(row, raw, tz_name, date_order): the rows with a value, packed so that no column name clashes."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "iso_utc"]).alias("row"), F.col(raw).alias("raw"), F.col(feed).alias("feed_id"))
     zones = feeds.select("feed_id", "tz_name", "date_order").dropDuplicates(["feed_id"])
-    return rows.join(F.broadcast(zones), rows[feed].eqNullSafe(zones["feed_id"]), "left").select(rows["*"], zones["tz_name"], zones["date_order"], rows[raw].alias("raw"))
+    return packed.where(F.col("raw").isNotNull() & (F.trim("raw") != "")).join(F.broadcast(zones), "feed_id", "left").select("row", "raw", "tz_name", "date_order")
 
 
 class InstantDictionary:
@@ -223,7 +224,7 @@ class InstantDictionary:
         known = self.table().where("iso_utc is not null").dropDuplicates(["raw", "tz_name", "date_order"])
         # raw is the join key; the zone columns, null for unknown feeds, are compared null-safe
         on = (rows["raw"] == known["raw"]) & rows["tz_name"].eqNullSafe(known["tz_name"]) & rows["date_order"].eqNullSafe(known["date_order"])
-        return rows.join(known, on).select(*[rows[c] for c in df.columns], known["iso_utc"])
+        return rows.join(known, on).select("row.*", known["iso_utc"])
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
