@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import leakage, neardup, splitting
+from . import language, leakage, neardup, splitting
 
 
 def _pieces(spark: SparkSession, sf_dir: str, keep_whole: bool) -> DataFrame:
@@ -47,7 +47,27 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_cases"), "item_id", ["target_text", "candidate_text"])
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found}
+def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, "doc_id", "text", language.train(docs, "doc_id", "text", "lang"), ("lang",))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents whose label is missing or wrong or that mix languages."""
+    return language.mislabelled(_identified(spark, sf_dir), "doc_id", "lang")
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, confidence and number of segments."""
+    return _identified(spark, sf_dir).select("doc_id", "lang", "language", "confidence", F.size("segments").alias("n_segments"))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each segment's place, language, confidence and full sentences."""
+    return _identified(spark, sf_dir).select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.*")
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 ORACLES = {
     "p3_found": """
         select distinct record_id from (
