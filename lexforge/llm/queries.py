@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read
-from . import language, leakage, neardup, splitting
+from . import language, leakage, mixing, neardup, splitting
 
 
 def _pieces(spark: SparkSession, sf_dir: str, keep_whole: bool) -> DataFrame:
@@ -47,6 +47,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_cases"), "item_id", ["target_text", "candidate_text"])
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(read(spark, sf_dir, "documents"), "doc_id", "text", "source", read(spark, sf_dir, "mix_targets"))
+
+
+def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in the mixture."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of all sources."""
+    return _mixed(spark, sf_dir)[1]
+
+
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language.identify(docs, "doc_id", "text", language.train(docs, "doc_id", "text", "lang"), ("lang",))
@@ -67,7 +81,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _identified(spark, sf_dir).select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.*")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p7_uses": p7_uses, "p7_shares": p7_shares, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 ORACLES = {
     "p3_found": """
         select distinct record_id from (
