@@ -108,16 +108,16 @@ def _key(text: str, at: int) -> tuple[str, int]:
 def parse(text: str):
     """The value of a JSON text; ValueError if it is invalid."""
     try:
-        return json.loads(text.strip("﻿ \t\r\n"), parse_constant=_reject_constant)
+        return json.loads(text.strip("\ufeff \t\r\n"), parse_constant=_reject_constant)
     except RecursionError:
-        return _parse_deep(text.strip("﻿ \t\r\n"))
+        return _parse_deep(text.strip("\ufeff \t\r\n"))
 
 
 def _enter(value):
     """Follow JSON kept as text inside JSON to the object or list it holds, else the value itself."""
     inner = value
     while isinstance(inner, str):
-        if inner.lstrip("﻿ \t\r\n")[:1] not in ("{", "[", '"'):
+        if inner.lstrip("\ufeff \t\r\n")[:1] not in ("{", "[", '"'):
             return value
         try:
             inner = parse(inner)

@@ -1,7 +1,8 @@
 """All queries of the core, with the SQL of those that SQL can express."""
 
-from . import training
+from . import text_queries, training
 
+_MODULES = (training, text_queries)
 FLAGSHIP = "p1_found"
-QUERIES = {**training.QUERIES}
-ORACLES = {**training.ORACLES}
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
