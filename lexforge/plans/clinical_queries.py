@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract as K
+from ..operators import compare as C
 from ..session import read
 
 
@@ -27,6 +28,39 @@ def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("route", "frequency", "unit").agg(F.count("*").alias("n"))
 
 
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.compare(read(spark, sf_dir, "eval_cases"))
+
+
+def compare_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status and score of each dimension of every evaluation pair."""
+    return _compared(spark, sf_dir).select("item_id", *[f"{d}_{x}" for d in C.DIMENSIONS for x in ("status", "score")], "false_match")
+
+
+def compare_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All differences of all evaluation pairs, in order."""
+    return _compared(spark, sf_dir).select("item_id", F.posexplode("differences").alias("pos", "d")).select("item_id", "pos", "d.*")
+
+
+def compare_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that look alike but differ in what matters."""
+    rows = _compared(spark, sf_dir).select("item_id", C.warning(F.col("false_match_reasons")).alias("warning"), C.summary().alias("summary"))
+    return rows.where("warning is not null")
+
+
+def compare_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of pairs with the expected status, by dimension; for meaning MATCH and PARTIAL count as equal."""
+    status = F.coalesce(*[F.when(F.col("expected_dimension") == d, F.col(f"{d}_status")) for d in C.DIMENSIONS])
+    near = (F.col("expected_dimension") == "meaning") & F.col("expected_status").isin("MATCH", "PARTIAL") & status.isin("MATCH", "PARTIAL")
+    rows = _compared(spark, sf_dir).withColumn("hit", ((status == F.col("expected_status")) | near).cast("int")).where("hit is not null")
+    return rows.groupBy("expected_dimension").agg(F.count("*").alias("n"), F.sum("hit").alias("n_hit"))
+
+
+def compare_word_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word runs that differ between the texts of every evaluation pair."""
+    return C.word_changes(read(spark, sf_dir, "eval_cases"), "case_id")
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -91,7 +125,67 @@ def _sql_canonical(value: str, rules: list[tuple[str, str]], otherwise: str) ->
     return sql_cascade(value, [(f"^(?:{n})$", q(v)) for n, v in rules], otherwise)
 
 
-QUERIES = {"key_information": key_information, "content_types": content_types, "canonical_values": canonical_values}
+def _sql_terms(low: str, terms: list[str]) -> str:
+    return "list_filter([" + ", ".join(f"case when regexp_matches({low}, {q(chr(92) + 'b' + t + chr(92) + 'b')}) then {q(t)} end" for t in terms) + "], lambda x: x is not null)"
+
+
+def _sql_side(side: str, text: str) -> str:
+    low, clean = f"lower({text})", SQL_STRIP.format(text)
+    flags = ", ".join(f"regexp_matches({low}, {q(p)}) as {side}_{n}" for n, p in C.FLAGS.items())
+    marks = ", ".join(f"{sql_has(text, p)} as {side}_{n}" for n, p in (("quantity", C.QUANTITY), ("range", C.RANGE), ("shorthand", C.SHORTHAND)))
+    structure = f"case when contains({clean}, '|') or contains({clean}, chr(9)) then 'table_row' when regexp_matches({clean}, {q(C.STEP_LINE)}) then 'numbered_step' when regexp_matches({clean}, '^[-•*]') or contains({text}, chr(10) || '-') then 'bullet_item' when regexp_matches({clean}, {q(C.FIELD)}) then 'structured_field' when starts_with({clean}, '#') then 'heading' else 'paragraph' end"
+    words = f"list_distinct(list_filter(regexp_split_to_array({low}, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: x <> ''))"
+    return f"{sql_key_information(clean, side + '_')}, {flags}, {marks}, {_sql_terms(low, C.MANDATORY)} as {side}_mand, {_sql_terms(low, C.ADVISORY)} as {side}_adv, {sql_cascade(low, [(p, q(v)) for p, v in C.SUBGROUPS])} as {side}_subgroup, {structure} as {side}_structure, {words} as {side}_words, {low} as {side}_low"
+
+
+def _sql_slots(side: str) -> str:
+    low, out = f"{side}_low", []
+    for name, slots in C.SLOTS.items():
+        marks = []
+        for slot, facts, pattern in slots:
+            tests = [f"regexp_matches({low}, {q(pattern)})"] if pattern else []
+            tests += [f"{side}_{f} is not null" for f in facts]
+            if slot == "Initial/Starting Dose":
+                tests.append(f"({side}_dose is not null and not regexp_matches({low}, '\\bmaximum\\b'))")
+            marks.append(f"case when {' or '.join(tests)} then {q(slot)} end")
+        out.append(f"list_filter([{', '.join(marks)}], lambda x: x is not null) as {side}_{name.lower()}_slots")
+    dosed = f"({side}_dose is not null or {side}_frequency is not null)"
+    family = sql_cascade(low, [(p, q(v)) for p, v in C.FAMILIES], f"case when {dosed} or regexp_matches({low}, {q(C.DOSING_WORDS)}) then 'POSOLOGY' else 'NARRATIVE' end")
+    return ", ".join([*out, f"{family} as {side}_family", f"({dosed} or regexp_matches({low}, 'take|administer')) as {side}_dosed"])
+
+
+def _sql_compare() -> str:
+    canon = {"dose_unit": lambda x: _sql_canonical(x, K.CANONICAL_UNITS, x), "frequency": lambda x: _sql_canonical(f"replace({x}, '.', '')", K.CANONICAL_FREQUENCIES, x), "route": lambda x: _sql_canonical(f"replace(lower({x}), '.', '')", K.CANONICAL_ROUTES, sql_title(x))}
+    off = [f"coalesce({canon[n]('a_' + n)} <> {canon[n]('b_' + n)}, false) as off_{n}" if n in canon else f"coalesce(lower(trim(a_{n})) <> lower(trim(b_{n})), false) as off_{n}" for n in C.FACTS]
+    opposed = lambda i, c: f"((a_{i} and not a_{c} and b_{c}) or (a_{c} and b_{i} and not b_{c}))"
+    same = lambda n: f"(a_family = '{n}' and b_family = '{n}')"
+    m = lambda n: f"len(list_intersect(a_{n}_slots, b_{n}_slots))"
+    full = lambda n: f"({m(n)} >= 2 and len(list_filter(a_{n}_slots, lambda x: not list_contains(b_{n}_slots, x))) = 0)"
+    dims = {
+        "meaning": [(opposed("ind", "contra"), "MISMATCH", 0.1), ("(a_food and b_fast) or (a_fast and b_food)", "MISMATCH", 0.25), ("(a_whole and b_crush) or (a_crush and b_whole)", "MISMATCH", 0.25), ("false_match", "MISMATCH", 0.3), ("shift", "PARTIAL", 0.6),
+                    ("a_dosed and b_dosed and (timing or raw_dose)", "PARTIAL", 0.7), ("a_dosed and b_dosed", "MATCH", 0.95), ("shared > 0.4", "MATCH", 0.85), ("true", "PARTIAL", 0.6)],
+        "template": [(f"{same('POSOLOGY')} and {full('posology')}", "MATCH", 0.95), (f"{same('POSOLOGY')} and {m('posology')} > 0", "PARTIAL", f"round_even(0.55::double + 0.35::double * ({m('posology')} / greatest(len(a_posology_slots), 1)), 2)"), (same("POSOLOGY"), "PARTIAL", 0.5),
+                     (f"{same('INDICATION')} and {full('indication')}", "MATCH", 0.95), (same("INDICATION"), "PARTIAL", 0.65), (f"{same('CONTRAINDICATION')} and {m('contraindication')} > 0", "MATCH", 0.95), (same("CONTRAINDICATION"), "PARTIAL", 0.65),
+                     ("a_family <> b_family and a_family <> 'NARRATIVE' and b_family <> 'NARRATIVE'", "MISMATCH", 0.3), ("true", "MATCH", 0.8)],
+        "structure": [("a_structure = b_structure", "MATCH", 0.95), ("'table_row' in (a_structure, b_structure)", "MISMATCH", 0.4), ("'numbered_step' in (a_structure, b_structure)", "PARTIAL", 0.7), ("'bullet_item' in (a_structure, b_structure)", "PARTIAL", 0.75), ("true", "PARTIAL", 0.8)],
+        "format": [("a_quantity <> b_quantity", "PARTIAL", 0.6), ("a_quantity and b_quantity and a_range <> b_range", "PARTIAL", 0.75), ("a_shorthand <> b_shorthand", "PARTIAL", 0.8), ("a_quantity and b_quantity", "MATCH", 0.95), ("true", "MATCH", 0.85)],
+        "key_information": [("key_off", "MISMATCH", 0.2), ("(a_drug is null) <> (b_drug is null) or (off_dose and not off_dose_unit) or off_frequency or off_route or off_duration or off_indication or off_age_group", "PARTIAL", 0.65), ("true", "MATCH", 1.0)],
+    }
+    context = [("coalesce(a_subgroup <> b_subgroup, false)", "MISMATCH", 0.35), ("a_study <> b_study", "MISMATCH", 0.35), (opposed("ind_use", "contra_use"), "MISMATCH", 0.25), ("true", "MATCH", 0.9)]
+    pick = lambda cases, i: "case " + " ".join(f"when {c[0]} then {q(c[1]) if i == 1 else f'({c[2]})::double'}" for c in cases) + " end"
+    columns = ", ".join(f"{pick(cases, 1)} as {d}_status, {pick(cases, 2)} as {d}_score" for d, cases in dims.items())
+    return f"""
+    with facts as (select item_id, {_sql_side('a', 'target_text')}, {_sql_side('b', 'candidate_text')} from eval_cases),
+    slots as (select *, {_sql_slots('a')}, {_sql_slots('b')}, {', '.join(off)}, {pick(context, 1)} as context_status, {pick(context, 2)} as context_score,
+        len(list_intersect(a_words, b_words)) / greatest(len(list_distinct(a_words || b_words)), 1) as shared, coalesce(lower(a_dose) <> lower(b_dose), false) as raw_dose,
+        (len(a_mand) > 0 and len(a_adv) = 0 and len(b_adv) > 0 and len(b_mand) = 0) or (len(b_mand) > 0 and len(b_adv) = 0 and len(a_adv) > 0 and len(a_mand) = 0) as shift,
+        (contains(a_low, 'prior to') and contains(b_low, 'following')) or (contains(a_low, 'following') and contains(b_low, 'prior to')) or (contains(b_low, 'rapid bolus') and contains(a_low, 'over')) or (contains(a_low, 'rapid bolus') and contains(b_low, 'over')) as timing from facts),
+    keyed as (select *, off_drug or off_product or off_population or off_dose_unit as key_off from slots),
+    flagged as (select *, key_off or context_status = 'MISMATCH' or (shared >= 0.4 and (raw_dose or off_route)) as false_match from keyed)
+    select item_id, {columns}, context_status, context_score, false_match from flagged"""
+
+
+QUERIES = {"key_information": key_information, "content_types": content_types, "canonical_values": canonical_values, "compare_dimensions": compare_dimensions, "compare_differences": compare_differences, "compare_warnings": compare_warnings, "compare_accuracy": compare_accuracy, "compare_word_changes": compare_word_changes}
 ORACLES = {
     "key_information": f"select distinct content_id, {sql_key_information('t')} from (select content_id, {SQL_STRIP.format('text')} as t from content_items)",
     "content_types": f"select distinct content_id, {_sql_type('t', 'section')} as derived_type from (select content_id, section, {SQL_STRIP.format('text')} as t from content_items)",
@@ -100,4 +194,7 @@ ORACLES = {
         case when f is not null then {_sql_canonical("replace(f, '.', '')", K.CANONICAL_FREQUENCIES, 'f')} end as frequency,
         case when u is not null then {_sql_canonical('u', K.CANONICAL_UNITS, 'u')} end as unit
         from (select nullif(trim(route), '') as r, nullif(lower(trim(key_information.frequency)), '') as f, nullif(lower(trim(key_information.dose_unit)), '') as u from content_items)) group by all""",
+    "compare_dimensions": _sql_compare(),
+    "compare_accuracy": f"""select expected_dimension, count(*) as n, sum(hit)::bigint as n_hit from (select expected_dimension, (s = expected_status or (expected_dimension = 'meaning' and s in ('MATCH', 'PARTIAL') and expected_status in ('MATCH', 'PARTIAL')))::int as hit from (
+        select e.expected_dimension, e.expected_status, case e.expected_dimension {" ".join(f"when '{d}' then c.{d}_status" for d in C.DIMENSIONS)} end as s from eval_cases e join ({_sql_compare()}) c using (item_id))) where hit is not null group by 1""",
 }
