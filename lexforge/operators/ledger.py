@@ -32,11 +32,12 @@ def canonical(previous: Column) -> Column:
     return F.to_json(F.struct(*[c for _, c in ordered]), {"ignoreNullFields": "false"})
 
 
-def build_chain(events: DataFrame, ledger: str, order: str) -> DataFrame:
-    """events (with the columns FIELDS) plus seq, previous_event_hash and event_hash."""
-    kept = [f for f in events.schema.fields]
-    names = [f.name for f in kept]
-    at = names.index(ledger)
+def build_chain(events: DataFrame, ledger: str, order: str, start: tuple[str, str] | None = None) -> DataFrame:
+    """events (with the columns FIELDS) plus seq, previous_event_hash and event_hash.
+
+    start names columns with the last seq and hash of the ledger so far, null for new ledgers.
+    """
+    kept = events.schema.fields
     fields = sorted(FIELDS)
 
     def run(batches):
@@ -44,11 +45,11 @@ def build_chain(events: DataFrame, ledger: str, order: str) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            columns = {n: b.column(n).to_pylist() for n in dict.fromkeys([ledger, *fields])}
+            columns = {n: b.column(n).to_pylist() for n in dict.fromkeys([ledger, *fields, *(start or ())])}
             seqs, before, hashes = [], [], []
             for i, key in enumerate(columns[ledger]):
                 if key != last:
-                    last, previous, seq = key, None, 0
+                    last, previous, seq = key, columns[start[1]][i] if start else None, (columns[start[0]][i] or 0) if start else 0
                 seq += 1
                 row = {n: columns[n][i] for n in fields}
                 row["details"] = dict(row["details"] or {})
@@ -63,7 +64,6 @@ def build_chain(events: DataFrame, ledger: str, order: str) -> DataFrame:
     rows = events.where(F.col(ledger).isNotNull() & F.col(order).isNotNull())
     placed = rows.repartition(ledger).sortWithinPartitions(ledger, order, "event_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    assert at >= 0
     return placed.mapInArrow(run, f"{schema}, seq long, previous_event_hash string, event_hash string")
 
 

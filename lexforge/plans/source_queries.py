@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking
-from ..session import read
+from ..operators import adapt, chunking, occurrences
+from ..session import read, shared_folder
 from ..sources import formats, ingest
+from ..streaming import jobs
 
 
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +83,49 @@ def resolved_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("written", "by_name", "by_bytes").agg(F.count("*").alias("n"))
 
 
+def chunk_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as items: pages and table places resolved."""
+    items = adapt.chunks_to_items(read(spark, sf_dir, "chunks"), with_facts=False)
+    return items.select("content_id", "page", F.col("metadata")["table_title"].alias("table_title"), F.col("metadata")["row_index"].alias("row_index"), F.size("metadata").alias("n_meta")).distinct()
+
+
+def item_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items put together again as the sections of their documents."""
+    items = read(spark, sf_dir, "content_items").select("content_id", "document_id", "section", "text", F.coalesce("page", F.lit(0)).alias("o"))
+    return adapt.items_to_sections(items, "o").select("document_id", "section", "position", F.md5("text").alias("text_md5"))
+
+
+def phrase_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences in all documents of the stated phrases: first sentences of evaluation cases with an id divisible by 100."""
+    phrases = read(spark, sf_dir, "eval_cases").where("item_id % 100 = 0").select("item_id", F.substring_index("target_text", ". ", 1).alias("phrase"))
+    return occurrences.find_occurrences(read(spark, sf_dir, "documents"), "doc_id", "document_name", "text", phrases, "item_id", "phrase")
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts of the event stream, read as a stream to its end and written batch by batch."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    counts = jobs.windowed_counts(stream, "ts", "event_type")
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("window_start", "event_type", "n", F.round("total", 6).alias("total"))
+
+
 _FLAT = r"trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g'))"
-QUERIES = {"document_sections": document_sections, "document_chunks": document_chunks, "document_sentences": document_sentences, "document_tables": document_tables, "source_label_unpivot": label_unpivot, "source_parsed_formats": parsed_formats, "source_resolved_formats": resolved_formats}
+QUERIES = {"document_sections": document_sections, "document_chunks": document_chunks, "document_sentences": document_sentences, "document_tables": document_tables, "source_label_unpivot": label_unpivot, "source_parsed_formats": parsed_formats, "source_resolved_formats": resolved_formats, "adapt_chunk_items": chunk_items, "adapt_item_sections": item_sections, "occurrence_layers": phrase_occurrences, "stream_windows": stream_windows}
 ORACLES = {
     "source_label_unpivot": "select distinct content_id as document_id, coalesce(drug, 'none') as drug, 'Indications and Usage' as section, md5(left(trim(text), 4000)) as text_md5 from content_items where trim(text) <> ''",
     "source_parsed_formats": f"select content_id as document_id, f as format, case f when 'xml' then '34088-5' end as loinc_code, md5(t) as body_md5 from (select distinct content_id, {_FLAT} as t from content_items where text is not null), (select unnest(['html', 'xml', 'json', 'md']) as f)",
     "source_resolved_formats": f"select f as written, f as by_name, f as by_bytes, count(*) as n from (select distinct content_id, {_FLAT} as t from content_items where text is not null), (select unnest(['html', 'xml', 'json', 'md']) as f) group by 1",
+    "adapt_chunk_items": r"""with c as (select *, coalesce(chunk_type = 'table_row' or contains(lower(exact_location), 'table'), false) as tab from chunks),
+        m as (select *, case when tab then coalesce(nullif(trim(regexp_extract(exact_location, '(?i)^(.*?),\s*Row\s+(\d+)', 1)), ''), list_filter(list_transform(string_split(structure_path, '>'), lambda p: trim(p)), lambda p: regexp_matches(p, '(?i)^table\b'))[1]) end as table_title,
+            case when tab then nullif(regexp_extract(exact_location, '(?i)^(.*?),\s*Row\s+(\d+)', 2), '') end as row_index from c)
+        select distinct chunk_id as content_id, coalesce(page, try_cast(nullif(regexp_extract(exact_location, '(?i)(?:Pages?|p\.)\s*(\d+)', 1), '') as int), try_cast(nullif(regexp_extract(trim(content), '(?i)^\[Page\s+(\d+)\]', 1), '') as int)) as page, table_title, row_index,
+            len(list_filter([parent_chunk_id, section_id, structure_path, order_index::varchar, jurisdiction, document_type, normalized_section, table_title, row_index], lambda x: x is not null))::int as n_meta from m""",
+    "adapt_item_sections": "select document_id, section, min(o) as position, md5(string_agg(text, chr(10) || chr(10) order by o, content_id, text)) as text_md5 from (select content_id, document_id, coalesce(section, 'General Content') as section, text, coalesce(page, 0) as o from content_items) where document_id is not null and text is not null group by 1, 2",
+    "stream_windows": "select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2",
 }
