@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as K
 from ..operators import compare as C
-from ..session import read
+from ..session import read, read_spread
 
 
 def key_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key facts of every item's text."""
-    return read(spark, sf_dir, "content_items").select("content_id", *K.key_information(F.col("text"))).distinct()
+    return read_spread(spark, sf_dir, "content_items", "content_id", "text").select("content_id", *K.key_information(F.col("text"))).distinct()
 
 
 def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:

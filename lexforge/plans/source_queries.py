@@ -8,23 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import adapt, chunking, occurrences
-from ..session import read, shared_folder
+from ..session import read, read_spread, shared_folder
 from ..sources import formats, ingest
 from ..streaming import jobs
 
 
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of every document with their parents."""
-    return chunking.sections(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return chunking.sections(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every document."""
-    return chunking.chunk_documents(read(spark, sf_dir, "documents"), "doc_id", "text", "document_name")
+    return chunking.chunk_documents(read_spread(spark, sf_dir, "documents", "doc_id", "text", "document_name"), "doc_id", "text", "document_name")
 
 
 def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.sentence_spans(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return chunking.sentence_spans(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def document_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of the event stream, read as a stream to its end and written batch by batch."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out")

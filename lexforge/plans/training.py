@@ -6,25 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import instants, nested, units
-from ..session import read
+from ..session import read, read_spread
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every identified object of proposals.data and content_items.metadata with its parent."""
-    proposals = nested.identified_objects(read(spark, sf_dir, "proposals"), "change_id", "data")
-    items = nested.identified_objects(read(spark, sf_dir, "content_items"), "content_id", "metadata")
+    proposals = nested.identified_objects(read_spread(spark, sf_dir, "proposals", "change_id", "data"), "change_id", "data")
+    items = nested.identified_objects(read_spread(spark, sf_dir, "content_items", "content_id", "metadata"), "content_id", "metadata")
     return proposals.unionByName(items)
 
 
 def p1_path_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each table and field that the records hold: objects, values and nulls."""
-    both = nested.shred(read(spark, sf_dir, "proposals"), "change_id", "data").unionByName(nested.shred(read(spark, sf_dir, "content_items"), "content_id", "metadata"))
+    both = nested.shred(read_spread(spark, sf_dir, "proposals", "change_id", "data"), "change_id", "data").unionByName(nested.shred(read_spread(spark, sf_dir, "content_items", "content_id", "metadata"), "content_id", "metadata"))
     return both.groupBy("table_path", "field").agg(F.count("*").alias("n_cells"), F.count("value").alias("n_values"), F.max(F.length("value")).alias("longest"))
 
 
 def _doses(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = "key_information"
-    return read(spark, sf_dir, "content_items").select("content_id", "text", *[F.col(f"{info}.{c}").alias(c) for c in ("dose", "dose_unit", "frequency")])
+    return read_spread(spark, sf_dir, "content_items", "content_id", "text", info).select("content_id", "text", *[F.col(f"{info}.{c}").alias(c) for c in ("dose", "dose_unit", "frequency")])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

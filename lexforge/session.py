@@ -59,15 +59,14 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     return F.broadcast(df) if int(size) <= limit else df
 
 
-def spread(df: DataFrame, bytes_per_task: int = 4 << 20) -> DataFrame:
-    """Repartition a scan that has fewer splits than cores, for work that is heavy per byte.
+def read_spread(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that is heavy per row: a scan with fewer splits than cores is dealt out.
 
-    A scan with enough splits is left alone, so large inputs are never shuffled for it.
+    A scan with enough splits is left alone, so large tables are never shuffled for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    scan = read(spark, sf_dir, table).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
