@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import read
+from ..session import read, read_spread
 from . import language, leakage, mixing, neardup, splitting
 
 
@@ -27,7 +27,7 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return neardup.link_classes(neardup.fingerprints(read(spark, sf_dir, "content_items"), "content_id", "text", "drug"))
+    return neardup.link_classes(neardup.fingerprints(read_spread(spark, sf_dir, "content_items", "content_id", "text", "drug"), "content_id", "text", "drug"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +44,11 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a passage of an evaluation case."""
-    return leakage.find_leaks(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_cases"), "item_id", ["target_text", "candidate_text"])
+    return leakage.find_leaks(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", read(spark, sf_dir, "eval_cases"), "item_id", ["target_text", "candidate_text"])
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return mixing.mix(read(spark, sf_dir, "documents"), "doc_id", "text", "source", read(spark, sf_dir, "mix_targets"))
+    return mixing.mix(read_spread(spark, sf_dir, "documents", "doc_id", "text", "source"), "doc_id", "text", "source", read(spark, sf_dir, "mix_targets"))
 
 
 def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,8 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return language.identify(docs, "doc_id", "text", language.train(docs, "doc_id", "text", "lang"), ("lang",))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(read_spread(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text", language.train(docs, "doc_id", "text", "lang"), ("lang",))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
