@@ -133,9 +133,10 @@ def walk(root, wanted: set[str] | None = None) -> Iterator[tuple]:
     outermost first; ordinals are the list positions on the way. wanted: squashed names to keep.
     """
     count = 0
-    stack = [(_enter(root), "", -1, (), (), "")]
+    # path is where objects found here belong, home the table of the object that holds the value
+    stack = [(_enter(root), "", "", -1, (), (), "")]
     while stack:
-        value, path, owner, ancestors, ordinals, name = stack.pop()
+        value, path, home, owner, ancestors, ordinals, name = stack.pop()
         if isinstance(value, dict):
             node, count = count, count + 1
             if owner >= 0:
@@ -143,17 +144,17 @@ def walk(root, wanted: set[str] | None = None) -> Iterator[tuple]:
             for k, v in reversed(value.items()):
                 v = _enter(v)
                 if isinstance(v, (dict, list)):
-                    stack.append((v, f"{path}.{snake(k)}" if path else snake(k), node, ancestors, ordinals, k))
+                    stack.append((v, f"{path}.{snake(k)}" if path else snake(k), path, node, ancestors, ordinals, k))
                 elif wanted is None or squash(k) in wanted:
-                    stack.append((v, path, node, ancestors, ordinals, k))
+                    stack.append((v, path, path, node, ancestors, ordinals, k))
         elif isinstance(value, list):
             for i in range(len(value) - 1, -1, -1):
                 v = _enter(value[i])
                 if isinstance(v, (dict, list)) or wanted is None or squash(name) in wanted:
-                    stack.append((v, path, owner, ancestors, (*ordinals, i), name))
+                    stack.append((v, path, home, owner, ancestors, (*ordinals, i), name))
         else:
             text = value if value is None or isinstance(value, str) else json.dumps(value)
-            yield path, owner, ancestors, ordinals, snake(name), text
+            yield home, owner, ancestors, ordinals, snake(name), text
 
 
 def shred(df: DataFrame, record_id: str, json_col: str, fields: tuple[str, ...] | None = None) -> DataFrame:
