@@ -38,11 +38,11 @@ def chunks_to_items(chunks: DataFrame, with_facts: bool = True) -> DataFrame:
     )
 
 
-def items_to_sections(items: DataFrame, order: str) -> DataFrame:
-    """(document_id, section, position, text): each document's items joined by section, in first-seen order.
+def items_to_sections(items: DataFrame, order: str, part=None) -> DataFrame:
+    """(document_id, section, part, position, text): each document's items joined by section, in first-seen order.
 
-    A document's sections are gathered, never a source's or drug's documents.
+    A text must fit one row: part (a column, such as a range of pages) cuts large sections into several.
     """
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("content_id").alias("c"), F.col("text").alias("t"))))
-    rows = items.where("document_id is not null and text is not null").groupBy("document_id", F.coalesce("section", F.lit("General Content")).alias("section"))
+    rows = items.where("document_id is not null and text is not null").groupBy("document_id", F.coalesce("section", F.lit("General Content")).alias("section"), (part if part is not None else F.lit(0)).alias("part"))
     return rows.agg(F.min(order).alias("position"), F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("text"))

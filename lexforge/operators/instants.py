@@ -197,9 +197,10 @@ class InstantDictionary:
     """
 
     def __init__(self, spark: SparkSession, feeds: DataFrame, path: str, max_feeds: int = 10_000):
-        zones = [r[0] for r in feeds.select("tz_name").where("tz_name is not null").distinct().limit(max_feeds + 1).collect()]
-        if len(zones) > max_feeds:
-            raise ValueError(f"more than {max_feeds} zones")
+        held = feeds.select("feed_id", "tz_name").limit(max_feeds + 1).collect()
+        if len(held) > max_feeds:
+            raise ValueError(f"more than {max_feeds} feeds")
+        zones = sorted({r[1] for r in held} - {None})
         self.spark, self.feeds, self.path, self.abbr = spark, feeds, path, abbreviations(zones)
 
     def table(self) -> DataFrame | None:

@@ -144,12 +144,17 @@ def orphan_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def self_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of the query documents (ids divisible by 100) among the items of their drug, without a document's own items."""
-    q = read(spark, sf_dir, "documents").where("doc_id % 100 = 0").select("doc_id", F.col("document_id").alias("q_document"), X.drug_token(F.col("drug")).alias("token"))
-    items = read(spark, sf_dir, "content_items").select("content_id", "document_id", "document_fingerprint", X.drug_token(F.col("drug")).alias("token"))
-    none = F.lit(None).cast("string")
-    own = search.excluded(F.col("q_document"), none, none, F.col("document_id"), F.col("document_fingerprint"), F.col("content_id"))
-    return q.where("token != ''").join(items, "token").where(~own).groupBy("doc_id").agg(F.count_distinct("content_id").alias("n_candidates"))
+    """How many candidates each document has: items of its drug, without those that stand in no other document.
+
+    Counted from sums by drug and by document, so no pairs of documents and items are made.
+    """
+    docs = read(spark, sf_dir, "documents").select("doc_id", "document_id", X.drug_token(F.col("drug")).alias("token")).where("token != ''")
+    items = read(spark, sf_dir, "content_items").where("content_id is not null").select("content_id", F.coalesce("document_id", F.lit("")).alias("document_id"), X.drug_token(F.col("drug")).alias("token"))
+    places = items.groupBy("token", "content_id").agg(F.min("document_id").alias("first"), F.max("document_id").alias("last"))
+    of_drug = places.groupBy("token").agg(F.count("*").alias("n_all"))
+    own = places.where("first = last").groupBy("token", F.col("first").alias("document_id")).agg(F.count("*").alias("n_own"))
+    rows = docs.join(of_drug, "token").join(own, ["token", "document_id"], "left")
+    return rows.select("doc_id", (F.col("n_all") - F.coalesce("n_own", F.lit(0))).alias("n_candidates")).where("n_candidates > 0")
 
 
 def federated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +221,7 @@ ORACLES = {
     "search_dense_filtered": _dense_sql("and asked = label"),
     "search_phrases": r"""with p as (select item_id, trim(regexp_replace(lower(split_part(target_text, '. ', 1)), '[\s\x{A0}]+', ' ', 'g')) as p from eval_cases), d as (select doc_id, trim(regexp_replace(lower(text), '[\s\x{A0}]+', ' ', 'g')) as t from documents)
         select distinct item_id, doc_id from p, d where p <> '' and contains(t, p)""",
-    "search_self_excluded": f"""with q as (select doc_id, document_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(drug, '')), '[^a-zA-Z0-9\\s]', ' ', 'g'), '\\b({"|".join(X.DRUG_NOISE)})\\b', '', 'g'), '\\s+', ' ', 'g')) as token from documents where doc_id % 100 = 0), i as (select content_id, document_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(drug, '')), '[^a-zA-Z0-9\\s]', ' ', 'g'), '\\b({"|".join(X.DRUG_NOISE)})\\b', '', 'g'), '\\s+', ' ', 'g')) as token from content_items)
+    "search_self_excluded": f"""with q as (select doc_id, document_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(drug, '')), '[^a-zA-Z0-9\\s]', ' ', 'g'), '\\b({"|".join(X.DRUG_NOISE)})\\b', '', 'g'), '\\s+', ' ', 'g')) as token from documents), i as (select content_id, document_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(drug, '')), '[^a-zA-Z0-9\\s]', ' ', 'g'), '\\b({"|".join(X.DRUG_NOISE)})\\b', '', 'g'), '\\s+', ' ', 'g')) as token from content_items)
         select doc_id, count(distinct content_id) as n_candidates from q join i using (token) where token <> '' and i.document_id is distinct from q.document_id group by 1""",
     "search_federated": """select source, kind, count(*) as n, count(page) as n_paged, count(error) as n_errors from (select lower(trim(source)) as source, 'document' as kind, null::int as page, null::varchar as error from documents
         union all select lower(trim(source)), 'item', page, null from content_items union all select lower(trim(source)), 'error', null, unnest(errors) from search_results) group by 1, 2""",

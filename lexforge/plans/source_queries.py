@@ -90,9 +90,9 @@ def chunk_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items put together again as the sections of their documents."""
+    """Items put together again as the sections of their documents, ten pages a part."""
     items = read(spark, sf_dir, "content_items").select("content_id", "document_id", "section", "text", F.coalesce("page", F.lit(0)).alias("o"))
-    return adapt.items_to_sections(items, "o").select("document_id", "section", "position", F.md5("text").alias("text_md5"))
+    return adapt.items_to_sections(items, "o", F.floor(F.col("o") / 10).cast("int")).select("document_id", "section", "part", "position", F.md5("text").alias("text_md5"))
 
 
 def phrase_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +126,6 @@ ORACLES = {
             case when tab then nullif(regexp_extract(exact_location, '(?i)^(.*?),\s*Row\s+(\d+)', 2), '') end as row_index from c)
         select distinct chunk_id as content_id, coalesce(page, try_cast(nullif(regexp_extract(exact_location, '(?i)(?:Pages?|p\.)\s*(\d+)', 1), '') as int), try_cast(nullif(regexp_extract(trim(content), '(?i)^\[Page\s+(\d+)\]', 1), '') as int)) as page, table_title, row_index,
             len(list_filter([parent_chunk_id, section_id, structure_path, order_index::varchar, jurisdiction, document_type, normalized_section, table_title, row_index], lambda x: x is not null))::int as n_meta from m""",
-    "adapt_item_sections": "select document_id, section, min(o) as position, md5(string_agg(text, chr(10) || chr(10) order by o, content_id, text)) as text_md5 from (select content_id, document_id, coalesce(section, 'General Content') as section, text, coalesce(page, 0) as o from content_items) where document_id is not null and text is not null group by 1, 2",
+    "adapt_item_sections": "select document_id, section, (o // 10)::int as part, min(o) as position, md5(string_agg(text, chr(10) || chr(10) order by o, content_id, text)) as text_md5 from (select content_id, document_id, coalesce(section, 'General Content') as section, text, coalesce(page, 0) as o from content_items) where document_id is not null and text is not null group by 1, 2, 3",
     "stream_windows": "select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2",
 }
