@@ -91,11 +91,12 @@ def classify(pieces: list[str], models: dict[str, zstandard.ZstdCompressor]) ->
 def train(df: DataFrame, doc_id: str, text: str, label: str, languages: tuple[str, ...] = LANGUAGES, sample_docs: int = 250, dictionary_bytes: int = 1 << 16, rounds: int = 3, max_chars: int = 20_000) -> dict[str, bytes]:
     """The dictionaries, from at most sample_docs documents of at most max_chars for each language."""
     docs = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), label_language(F.col(label)).alias("named"), F.col(text).alias("t"))
-    fit = docs.where(F.col("named").isin(*languages) & F.char_length("t").between(100, max_chars)).select("id", "named")
+    fit = docs.where(F.col("named").isin(*languages) & F.char_length("t").between(100, max_chars)).select("id", "named").distinct()
     order = Window.partitionBy("named").orderBy(F.xxhash64("id"), "id")
     ids = fit.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample_docs).select("id").distinct()
-    # bounded by languages x sample_docs rows
-    picked = docs.join(F.broadcast(ids), "id", "left_semi").where(F.char_length("t") <= max_chars).select("named", F.xxhash64("id"), "t").collect()
+    # bounded by languages x sample_docs rows, also where an id is repeated
+    texts = docs.join(F.broadcast(ids), "id", "left_semi").where(F.char_length("t") <= max_chars)
+    picked = texts.groupBy("id").agg(F.min(F.struct("named", "t")).alias("x")).where("x.named is not null").select("x.named", F.xxhash64("id"), "x.t").collect()
     # two folds by text: a sentence is judged only with dictionaries of the other fold
     pool: list[dict[str, list[str]]] = [{}, {}]
     for i, (lang, t) in enumerate(dict.fromkeys((lang, t) for lang, _, t in sorted(picked))):

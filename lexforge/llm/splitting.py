@@ -91,6 +91,8 @@ def split_oversized(df: DataFrame, record_id: str, text: str, limits: DataFrame,
     """
     kind = F.lower(F.trim(kind if not isinstance(kind, str) else F.col(kind)))
     named = F.when(F.coalesce(kind, F.lit("")) == "", F.lit(default_kind)).otherwise(kind)
+    # tied to the row, so that a constant kind stays an equi-join
+    named = F.when(F.col(record_id).isNotNull(), named)
     rows = df.select(named.alias("record_kind"), F.col(record_id).cast("string").alias("record_id"), F.col(text).alias("text")).where("record_id is not null and text is not null")
     bounds = limits.where("max_chars is not null").groupBy(F.lower(F.trim("record_kind")).alias("record_kind")).agg(F.min(F.struct("max_chars", "overlap_chars")).alias("b"))
     rows = rows.join(F.broadcast(bounds), "record_kind", "left").withColumn("n", F.char_length("text"))
