@@ -18,7 +18,7 @@ def chunks_to_items(chunks: DataFrame, with_facts: bool = True) -> DataFrame:
     """
     located = F.regexp_extract("exact_location", r"(?i)(?:Pages?|p\.)\s*(\d+)", 1)
     marked = F.regexp_extract(F.trim("content"), r"(?i)^\[Page\s+(\d+)\]", 1)
-    page = F.coalesce(F.col("page"), F.nullif(located, F.lit("")).cast("int"), F.nullif(marked, F.lit("")).cast("int"))
+    page = F.coalesce(F.col("page"), F.nullif(located, F.lit("")).try_cast("int"), F.nullif(marked, F.lit("")).try_cast("int"))
     tabular = F.coalesce((F.col("chunk_type") == "table_row") | F.contains(F.lower("exact_location"), F.lit("table")), F.lit(False))
     row = r"(?i)^(.*?),\s*Row\s+(\d+)"
     in_path = F.try_element_at(F.filter(F.transform(F.split("structure_path", ">"), F.trim), lambda p: F.rlike(p, F.lit(r"(?i)^table\b"))), F.lit(1))

@@ -297,6 +297,17 @@ def summary(prefix: str = "") -> Column:
     return F.concat_ws("/", n("MATCH"), n("PARTIAL"), n("MISMATCH"))
 
 
+def adapted(candidate: Column, candidate_dose: Column, target_dose: Column, candidate_drug: Column, target_drug: Column) -> Column:
+    """The candidate's text with its dose, then its drug, put as in the target, where both are known and differ."""
+
+    def swap(text: Column, old: Column, new: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?i)\b\Q"), old, F.lit(r"\E\b"))
+        differ = F.coalesce(F.lower(old) != F.lower(new), F.lit(False))
+        return F.when(differ, F.regexp_replace(text, pattern, F.regexp_replace(new, r"([\\$])", r"\\$1"))).otherwise(text)
+
+    return F.trim(swap(swap(candidate, candidate_dose, target_dose), candidate_drug, target_drug))
+
+
 def word_changes(pairs: DataFrame, key: str, target: str = "target_text", candidate: str = "candidate_text", least: int = 10, most: int = 150) -> DataFrame:
     """(key, change_no, kind, current_text, candidate_text): word runs replaced, deleted or inserted.
 

@@ -73,6 +73,33 @@ def lexical_search(items: DataFrame, queries: DataFrame, item_id: str = "content
     return top_k(scored, "query_id", F.col("score"), "item_id", k).select("query_id", F.col("item_id").alias(item_id), "score", "rank")
 
 
+def jaccard_top_k(rows: DataFrame, row_id: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int = TOP_K, max_queries: int = 10_000) -> DataFrame:
+    """(query, row, score, rank) by overlap of content words, rounded to 4 digits; pairs without overlap are left out."""
+    held = collect_queries(queries.select(query_id, query_text).where(F.col(query_text).isNotNull()), max_queries)
+    stop = set(X.STOP_WORDS)
+    block = [F.struct(F.lit(r[0]).cast("long").alias("id"), F.array(*[F.lit(w) for w in _words(r[1].lower()) if w not in stop]).cast("array<string>").alias("w")) for r in held]
+    given = rows.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("row"), X.content_words(F.col(text)).alias("words"))
+    pairs = given.withColumn("q", F.explode(F.array(*block) if block else F.array().cast("array<struct<id:bigint,w:array<string>>>")))
+    overlap = X.jaccard(F.col("q.w"), F.col("words"))
+    scored = pairs.select(F.col("q.id").alias("query"), "row", F.bround(overlap, 4).alias("score")).where("score > 0").distinct()
+    return top_k(scored, "query", F.col("score"), "row", k).select(F.col("query").alias(query_id), F.col("row").alias(row_id), "score", "rank")
+
+
+# Fixed value: what a section heading, as opposed to a drug's name, begins with.
+HEADING_START = r"(?i)^(section\s*\d+|part\s*\d+|chapter\s*\d+|[0-9]+[.:\s]+|indications?(\s+and\s+usage)?|dosage(\s+and\s+administration)?|contraindications?|warnings?(\s+and\s+precautions)?|precautions?|adverse\s*reactions?|drug\s*interactions?|clinical\s*pharmacology|storage|how\s*supplied|description|overdosage|patient\s*counseling)"
+
+
+def is_section_heading(name: Column) -> Column:
+    return F.coalesce(F.rlike(F.trim(name), F.lit(HEADING_START)), F.lit(False))
+
+
+def derived_query(drug: Column, indication: Column, section: Column, text: Column) -> Column:
+    """What to search for: drug, indication, section, the first three long words, else the text's beginning."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    words = F.filter(X.blank_words(text), lambda w: (F.char_length(w) > 3) & F.rlike(w, F.lit(r"^\p{L}+$")))
+    return F.coalesce(blank(drug), blank(indication), blank(section), blank(F.array_join(F.slice(words, 1, 3), " ")), blank(F.left(text, F.lit(40))))
+
+
 def _words(text: str) -> list[str]:
     import re
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dedup, ledger, metrics, search
+from ..functions import extract as K
+from ..operators import compare as C
+from ..operators import dedup, ledger, metrics, search, store
 from ..session import read
-from .text_queries import _CONSERVATIVE, _WORDS3
+from .text_queries import _CONSERVATIVE, _STOPS, _WORDS3, _fp
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +159,36 @@ def self_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("n_all") - F.coalesce("n_own", F.lit(0))).alias("n_candidates")).where("n_candidates > 0")
 
 
+def jaccard_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents that share most content words with each query case (ids divisible by 100)."""
+    return search.jaccard_top_k(read(spark, sf_dir, "documents"), "doc_id", "text", _asked(spark, sf_dir), "item_id", "target_text")
+
+
+def derived_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each item would be searched by, and whether that looks like a section heading."""
+    items = read(spark, sf_dir, "content_items")
+    query = search.derived_query(F.col("drug"), F.col("indication"), F.col("section"), F.col("text"))
+    return items.select("content_id", query.alias("query"), search.is_section_heading(query).alias("is_heading")).distinct()
+
+
+def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a store keeps: the latest of each id and fingerprint."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", X.fingerprint(F.col("text")).alias("fingerprint"), "ingested_at", "source")
+    return store.register(docs, "doc_id", "fingerprint", "ingested_at").select("doc_id", "fingerprint", "source")
+
+
+def removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items left in each source after the items of all documents seen in searches were removed."""
+    seen = read(spark, sf_dir, "search_results").select("top_document_id")
+    return store.remove(read(spark, sf_dir, "content_items"), "document_id", seen).groupBy("source").agg(F.count("*").alias("n"))
+
+
+def adapted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate texts of all evaluation pairs with the target's dose and drug."""
+    sides = read(spark, sf_dir, "eval_cases").select("item_id", "candidate_text", F.struct(*K.key_information(F.col("target_text"))).alias("a"), F.struct(*K.key_information(F.col("candidate_text"))).alias("b"))
+    return sides.select("item_id", F.md5(C.adapted(F.col("candidate_text"), F.col("b.dose"), F.col("a.dose"), F.col("b.drug"), F.col("a.drug"))).alias("text_md5"))
+
+
 def federated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and items as one bag of candidates by source, with the errors that searches met."""
     docs = read(spark, sf_dir, "documents").select(F.lower(F.trim("source")).alias("source"), F.lit("document").alias("kind"))
@@ -212,6 +244,7 @@ QUERIES = {
     "search_lexical": lexical_top_k, "search_lexical_merged": lexical_merged, "search_hash_cosine": hash_cosine_top_k, "search_fallback": hash_cosine_fallback, "search_dense": dense_top_k, "search_dense_filtered": dense_top_k_filtered,
     "search_phrases": phrase_join, "search_self_excluded": self_excluded, "search_federated": federated, "metrics_retrieval": vector_metrics, "metrics_confusion": confusion, "metrics_grounded": groundedness, "dedup_classes": dedup_classes,
     "audit_chain": audit_chain, "audit_verified": audit_verified, "audit_tampered": audit_tampered, "table_upsert": latest_upsert, "table_status_scan": status_scan, "table_stems": stem_join, "table_orphans": orphan_results, "change_impact": change_impact,
+    "search_jaccard": jaccard_top_k, "search_derived": derived_queries, "table_registered": registered, "table_removed": removed, "compare_adapted": adapted_texts,
 }
 ORACLES = {
     "search_lexical": _SEARCH_SQL,
@@ -240,4 +273,14 @@ ORACLES = {
     "table_status_scan": "select distinct change_id, updated_at from proposals where status = 'PENDING_APPROVAL' order by updated_at desc, change_id limit 20",
     "table_stems": "select distinct c.chunk_id, c.parent_chunk_id, s.chunk_type as stem_type from chunks c left join chunks s on s.chunk_id = c.parent_chunk_id where c.parent_chunk_id is not null",
     "table_orphans": "select distinct search_id, top_document_id from search_results where top_document_id is not null and top_document_id not in (select document_id from provenance where document_id is not null)",
+    "search_jaccard": f"""with q as (select item_id, list_filter(list_distinct({_WORDS3.format('target_text')}), lambda x: not list_contains({_STOPS}, x)) as qw from eval_cases where item_id % 100 = 0),
+        d as (select doc_id, list_filter(list_distinct({_WORDS3.format('text')}), lambda x: not list_contains({_STOPS}, x)) as w from documents),
+        s as (select item_id, doc_id, round_even(len(list_intersect(qw, w))::double / (len(qw) + len(w) - len(list_intersect(qw, w))), 4) as score from q, d)
+        select * from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0) where rank <= 5""",
+    "search_derived": rf"""with q as (select content_id, coalesce(nullif(trim(drug), ''), nullif(trim(indication), ''), nullif(trim(section), ''),
+            nullif(array_to_string(list_filter(regexp_split_to_array(text, '[\s\x{{A0}}]+'), lambda w: length(w) > 3 and regexp_full_match(w, '\p{{L}}+'))[1:3], ' '), ''), nullif(trim(left(text, 40)), '')) as query from content_items)
+        select distinct content_id, query, coalesce(regexp_matches(trim(query), '{search.HEADING_START}'), false) as is_heading from q""",
+    "table_registered": f"""with d as (select doc_id, {_fp('text')} as fingerprint, ingested_at, source from documents)
+        select doc_id, fingerprint, source from d qualify row_number() over (partition by fingerprint order by ingested_at desc, doc_id desc) = 1""",
+    "table_removed": "select source, count(*) as n from content_items where document_id is null or document_id not in (select top_document_id from search_results where top_document_id is not null) group by 1",
 }

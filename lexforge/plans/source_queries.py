@@ -115,8 +115,13 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("window_start", "event_type", "n", F.round("total", 6).alias("total"))
 
 
+def standard_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut at standard headings."""
+    return ingest.standard_segments(read(spark, sf_dir, "documents"), "doc_id", "text").select("document_id", "segment_no", "section", F.md5("text").alias("text_md5"))
+
+
 _FLAT = r"trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g'))"
-QUERIES = {"document_sections": document_sections, "document_chunks": document_chunks, "document_sentences": document_sentences, "document_tables": document_tables, "source_label_unpivot": label_unpivot, "source_parsed_formats": parsed_formats, "source_resolved_formats": resolved_formats, "adapt_chunk_items": chunk_items, "adapt_item_sections": item_sections, "occurrence_layers": phrase_occurrences, "stream_windows": stream_windows}
+QUERIES = {"document_sections": document_sections, "document_chunks": document_chunks, "document_sentences": document_sentences, "document_tables": document_tables, "source_label_unpivot": label_unpivot, "source_parsed_formats": parsed_formats, "source_resolved_formats": resolved_formats, "adapt_chunk_items": chunk_items, "adapt_item_sections": item_sections, "occurrence_layers": phrase_occurrences, "stream_windows": stream_windows, "source_standard_segments": standard_segments}
 ORACLES = {
     "source_label_unpivot": "select distinct content_id as document_id, coalesce(drug, 'none') as drug, 'Indications and Usage' as section, md5(left(trim(text), 4000)) as text_md5 from content_items where trim(text) <> ''",
     "source_parsed_formats": f"select content_id as document_id, f as format, case f when 'xml' then '34088-5' end as loinc_code, md5(t) as body_md5 from (select distinct content_id, {_FLAT} as t from content_items where text is not null), (select unnest(['html', 'xml', 'json', 'md']) as f)",
@@ -128,4 +133,10 @@ ORACLES = {
             len(list_filter([parent_chunk_id, section_id, structure_path, order_index::varchar, jurisdiction, document_type, normalized_section, table_title, row_index], lambda x: x is not null))::int as n_meta from m""",
     "adapt_item_sections": "select document_id, section, (o // 10)::int as part, min(o) as position, md5(string_agg(text, chr(10) || chr(10) order by o, content_id, text)) as text_md5 from (select content_id, document_id, coalesce(section, 'General Content') as section, text, coalesce(page, 0) as o from content_items) where document_id is not null and text is not null group by 1, 2, 3",
     "stream_windows": "select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2",
+    "source_standard_segments": f"""with d as (select doc_id, regexp_replace(regexp_replace(text, '^[\\s\\x{{A0}}]+', ''), '[\\s\\x{{A0}}]+$', '') as t from documents),
+        p as (select doc_id, regexp_split_to_array(t, '{ingest.SEGMENT_LINE}') as parts, regexp_extract_all(t, '{ingest.SEGMENT_LINE}', 1) as heads from d where t <> ''),
+        s as (select doc_id, unnest(case when len(heads) = 0 then [0] else range(len(heads)) end) as segment_no, heads, parts from p),
+        x as (select doc_id, segment_no, case when len(heads) = 0 then 'General Content' else array_to_string(list_transform(string_split(lower(heads[segment_no + 1]), ' '), lambda w: upper(w[1]) || w[2:]), ' ') end as section,
+            regexp_replace(regexp_replace(case when len(heads) = 0 then parts[1] else parts[segment_no + 2] end, '^[\\s\\x{{A0}}]+', ''), '[\\s\\x{{A0}}]+$', '') as t from s)
+        select doc_id as document_id, segment_no, section, md5(left(t, {ingest.SEGMENT_CHARS})) as text_md5 from x where t <> ''""",
 }

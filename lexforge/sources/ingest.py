@@ -67,6 +67,35 @@ def sections_to_items(sections: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("item_"), F.left(F.sha2(F.concat_ws(":", "document_id", F.col("order_index").cast("string")), 256), F.lit(12))).alias("content_id"), "document_id", F.col("title").alias("document_name"), F.col("heading").alias("section"), X.concept(F.col("heading")).alias("concept"), "loinc_code", F.col("body").alias("text"))
 
 
+# Headings that segment a plain text.
+STANDARD_SEGMENTS = (
+    r"INDICATIONS\s+AND\s+USAGE", r"DOSAGE\s+AND\s+ADMINISTRATION", r"DOSAGE\s+FORMS\s+AND\s+STRENGTHS", "CONTRAINDICATIONS", r"WARNINGS\s+AND\s+PRECAUTIONS", r"ADVERSE\s+REACTIONS", r"DRUG\s+INTERACTIONS",
+    r"USE\s+IN\s+SPECIFIC\s+POPULATIONS", "OVERDOSAGE", "DESCRIPTION", r"CLINICAL\s+PHARMACOLOGY", r"NONCLINICAL\s+TOXICOLOGY", r"CLINICAL\s+STUDIES", r"HOW\s+SUPPLIED/STORAGE\s+AND\s+HANDLING", r"PATIENT\s+COUNSELING\s+INFORMATION",
+)
+SEGMENT_LINE = r"(?im)^\s*(?:[0-9]+\s+)?(" + "|".join(STANDARD_SEGMENTS) + r")[:.]?\s*$"
+SEGMENT_CHARS = 5000
+
+
+def standard_segments(docs: DataFrame, document_id: str, text: str) -> DataFrame:
+    """(document_id, segment_no, section, text): texts cut at standard headings, on the JVM.
+
+    A text without such a heading is one segment, "General Content"; blank segments are left out.
+    """
+    clean = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
+    rows = docs.select(F.col(document_id).alias("document_id"), clean.alias("t")).where("document_id is not null and t != ''")
+    rows = rows.select("document_id", F.split("t", SEGMENT_LINE).alias("parts"), F.regexp_extract_all("t", F.lit(SEGMENT_LINE), F.lit(1)).alias("heads"))
+    cut = F.zip_with("heads", F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(1))), lambda h, p: F.struct(F.initcap(F.lower(h)).alias("section"), p.alias("text")))
+    found = F.when(F.size("heads") == 0, F.array(F.struct(F.lit("General Content").alias("section"), F.element_at("parts", 1).alias("text")))).otherwise(cut)
+    out = rows.select("document_id", F.posexplode(found).alias("segment_no", "s")).select("document_id", "segment_no", "s.section", F.regexp_replace("s.text", r"(?U)^\s+|\s+$", "").alias("text"))
+    return out.where("text != ''").withColumn("text", F.left("text", F.lit(SEGMENT_CHARS)))
+
+
+def spl_items(files: DataFrame, document_id: str = "path", content: str = "content", least: int = 15) -> DataFrame:
+    """Items of structured product labels: sections with text of ``least`` characters or more, cut at ITEM_CHARS."""
+    rows = parse_files(files.withColumn("_kind", F.lit("xml")), document_id, content, document_id, "_kind").where("error is null")
+    return rows.where(F.length("body") >= least).select("document_id", F.col("title").alias("document_name"), F.col("heading").alias("section"), "loinc_code", F.left("body", F.lit(ITEM_CHARS)).alias("text"))
+
+
 def label_items(payloads: DataFrame, json_col: str) -> DataFrame:
     """Items of openFDA-shaped payloads: one for each filled section of each result.
 
