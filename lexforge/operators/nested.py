@@ -8,7 +8,8 @@ identified ancestor as its parent.
 Defined results: null, empty or invalid JSON gives no triples; JSON kept as text inside JSON is
 entered at any depth, text that only looks like JSON stays a value; field names are compared without
 case and separators; a repeated name within one object keeps the last value, as in JSON practice; a
-list of objects and a single object in its place belong to the same table.
+list of objects, a single object in its place, and objects that only stand for a list ("items", "item_0")
+belong to the same table.
 """
 
 from __future__ import annotations
@@ -126,6 +127,30 @@ def _enter(value):
     return inner if isinstance(inner, (dict, list)) else value
 
 
+_NUMBERED = re.compile(r"(?:item|entry|element)?_?\d+", re.I)
+_WRAPPERS = frozenset({"item", "items", "entry", "entries", "element", "elements"})
+_LENGTHS = frozenset({"count", "total", "size", "length", "n"})
+
+
+def _unwrap(value):
+    """Objects that only stand for a list: {"count": 2, "items": [...]} and {"item_0": ..., "item_1": ...}.
+
+    A length beside the items is what the rows say themselves.
+    """
+    while isinstance(value, dict):
+        names = {squash(k): k for k in value}
+        held = [k for n, k in names.items() if n in _WRAPPERS]
+        if len(held) != 1 or not all(n in _LENGTHS for n, k in names.items() if k != held[0]) or len(names) != len(value):
+            break
+        inner = _enter(value[held[0]])
+        if not isinstance(inner, (dict, list)) or any(isinstance(v, (dict, list)) for k, v in value.items() if k != held[0]):
+            break
+        value = inner
+    if isinstance(value, dict) and value and all(_NUMBERED.fullmatch(k) for k in value):
+        return list(value.values())
+    return value
+
+
 def walk(root, wanted: set[str] | None = None) -> Iterator[tuple]:
     """(table path, node, ancestors, ordinals, field, value) of every scalar, in document order.
 
@@ -142,14 +167,14 @@ def walk(root, wanted: set[str] | None = None) -> Iterator[tuple]:
             if owner >= 0:
                 ancestors = (*ancestors, owner)
             for k, v in reversed(value.items()):
-                v = _enter(v)
+                v = _unwrap(_enter(v))
                 if isinstance(v, (dict, list)):
                     stack.append((v, f"{path}.{snake(k)}" if path else snake(k), path, node, ancestors, ordinals, k))
                 elif wanted is None or squash(k) in wanted:
                     stack.append((v, path, path, node, ancestors, ordinals, k))
         elif isinstance(value, list):
             for i in range(len(value) - 1, -1, -1):
-                v = _enter(value[i])
+                v = _unwrap(_enter(value[i]))
                 if isinstance(v, (dict, list)) or wanted is None or squash(name) in wanted:
                     stack.append((v, path, home, owner, ancestors, (*ordinals, i), name))
         else:

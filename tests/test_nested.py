@@ -66,3 +66,12 @@ def test_tables_keep_values_and_links(spark):
     items = {(r["record_id"], r["name"], r["tags"], r["parent_node"]) for r in tables["items"].collect()}
     assert items == {("r", "x", '["u","v"]', 0), ("r", None, None, 0), ("s", "single", None, 0)}
     assert [r["k"] for r in tables["items.sub"].collect()] == ["true"]
+
+
+def test_objects_in_place_of_lists(spark):
+    data = {"rows": {"count": 2, "Items": [{"ref_id": "a"}, {"ref_id": "b"}]}, "notes": {"item_0": {"ref_id": "c"}, "item1": {"ref_id": "d", "items": [{"x": 1}], "count": 1}}, "items": 5}
+    df = spark.createDataFrame([("r", json.dumps(data))], "id string, data string")
+    assert {tuple(r)[1:] for r in nested.identified_objects(df, "id", "data").collect()} == {("r", x) for x in "abcd"}
+    tables = nested.group_tables(nested.shred(df, "id", "data"))
+    assert set(tables) == {"", "rows", "notes", "notes.items"}
+    assert sorted((r["ref_id"], list(r["ordinals"])) for r in tables["notes"].collect()) == [("c", [0]), ("d", [1])]
