@@ -197,4 +197,9 @@ ORACLES = {
     "compare_dimensions": _sql_compare(),
     "compare_accuracy": f"""select expected_dimension, count(*) as n, sum(hit)::bigint as n_hit from (select expected_dimension, (s = expected_status or (expected_dimension = 'meaning' and s in ('MATCH', 'PARTIAL') and expected_status in ('MATCH', 'PARTIAL')))::int as hit from (
         select e.expected_dimension, e.expected_status, case e.expected_dimension {" ".join(f"when '{d}' then c.{d}_status" for d in C.DIMENSIONS)} end as s from eval_cases e join ({_sql_compare()}) c using (item_id))) where hit is not null group by 1""",
+    "metrics_confusion": f"""select outcome, count(*) as n from (select case when e and f then 'TP' when not e and not f then 'TN' when f then 'FP' else 'FN' end as outcome from (
+        select x.expected_status = 'MISMATCH' as e, c.false_match as f from eval_cases x join ({_sql_compare()}) c using (item_id))) group by 1""",
+    "compare_adapted": f"""with k as (select item_id, candidate_text as t, {sql_key_information(SQL_STRIP.format('target_text'), 'a_')}, {sql_key_information(SQL_STRIP.format('candidate_text'), 'b_')} from eval_cases),
+        d as (select *, case when lower(b_dose) <> lower(a_dose) then regexp_replace(t, '(?i)\\b' || regexp_escape(b_dose) || '\\b', a_dose, 'g') else t end as t1 from k)
+        select item_id, md5(trim(case when lower(b_drug) <> lower(a_drug) then regexp_replace(t1, '(?i)\\b' || regexp_escape(b_drug) || '\\b', a_drug, 'g') else t1 end)) as text_md5 from d""",
 }
