@@ -211,17 +211,21 @@ def shred(df: DataFrame, record_id: str, json_col: str, fields: tuple[str, ...]
     return source.select(F.col(record_id).cast("string"), F.xxhash64(json_col), json_col).mapInArrow(run, TRIPLES)
 
 
-def group_tables(triples: DataFrame, fields: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+def group_tables(triples: DataFrame, fields: dict[str, list[str]] | None = None, max_fields: int = 20_000) -> dict[str, DataFrame]:
     """One table for each group of paths that hang on the same (repeated) ancestor.
 
     Each row is one object: record_id, delivery, node, parent_node, ordinals and its fields as columns; a
     field with several values (a list of scalars) is their JSON list. fields gives the columns of each
-    path; if it is None they are looked up, which collects schema names only, never values.
+    path; if it is None they are looked up, which collects schema names only, never values. More than
+    max_fields names (as where ids serve as field names) are refused: give the fields then.
     """
     if fields is None:
+        names = triples.select("table_path", "field").distinct().limit(max_fields + 1).collect()
+        if len(names) > max_fields:
+            raise ValueError(f"more than {max_fields} fields")
         fields = {}
-        for r in triples.select("table_path", "field").distinct().orderBy("table_path", "field").collect():
-            fields.setdefault(r[0], []).append(r[1])
+        for path, name in sorted(names):
+            fields.setdefault(path, []).append(name)
     reserved = {"record_id", "delivery", "node", "parent_node", "ordinals"}
     out = {}
     for path, names in fields.items():
