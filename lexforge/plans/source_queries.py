@@ -11,6 +11,7 @@ from ..operators import adapt, chunking, occurrences
 from ..session import read, read_spread, shared_folder
 from ..sources import formats, ingest
 from ..streaming import jobs
+from .text_queries import _heading_sql
 
 
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +122,20 @@ def standard_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FLAT = r"trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g'))"
+_STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x{{A0}}]+', ''), '[\s\x{{A0}}]+$', '')"
+_SECTIONS_SQL = rf"""
+    with docs as (select doc_id, {_STRIP.format("text")} as text from documents), heads as ({_heading_sql("docs")}),
+    lines as (select doc_id, unnest(range(len(l))) as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from docs where text <> '')),
+    marked as (select l.doc_id, l.line_no, l.line, h.level, h.section_number, h.concept, h.line_no is not null as is_head, sum((h.line_no is not null)::int) over (partition by l.doc_id order by l.line_no) as sec from lines l left join heads h on h.doc_id = l.doc_id and h.line_no = l.line_no),
+    grouped as (select doc_id, sec, coalesce(max(level), 1) as level, max(section_number) as section_number, max(concept) as concept, coalesce(max({_STRIP.format("line")}) filter (is_head), 'General Content') as heading,
+        {_STRIP.format("coalesce(string_agg(line, chr(10) order by line_no) filter (not is_head), '')")} as body from marked group by 1, 2),
+    numbered as (select *, (row_number() over (partition by doc_id order by sec) - 1)::int as order_index from grouped),
+    named as (select *, 'sec_' || doc_id || '_' || order_index || '_' || left(regexp_replace(lower(coalesce(section_number, heading)), '[^a-zA-Z0-9]', '_', 'g'), 20) as section_id from numbered),
+    parents as (select c.doc_id, c.order_index, arg_max(p.section_id, p.order_index) as parent_section_id from named c join named p on p.doc_id = c.doc_id and p.order_index < c.order_index and p.level < c.level group by 1, 2)
+    select n.doc_id::varchar as document_id, section_id, parent_section_id, n.order_index, level, section_number, heading, concept, body from named n left join parents p on p.doc_id = n.doc_id and p.order_index = n.order_index"""
 QUERIES = {"document_sections": document_sections, "document_chunks": document_chunks, "document_sentences": document_sentences, "document_tables": document_tables, "source_label_unpivot": label_unpivot, "source_parsed_formats": parsed_formats, "source_resolved_formats": resolved_formats, "adapt_chunk_items": chunk_items, "adapt_item_sections": item_sections, "occurrence_layers": phrase_occurrences, "stream_windows": stream_windows, "source_standard_segments": standard_segments}
 ORACLES = {
+    "document_sections": _SECTIONS_SQL,
     "source_label_unpivot": "select distinct content_id as document_id, coalesce(drug, 'none') as drug, 'Indications and Usage' as section, md5(left(trim(text), 4000)) as text_md5 from content_items where trim(text) <> ''",
     "source_parsed_formats": f"select content_id as document_id, f as format, case f when 'xml' then '34088-5' end as loinc_code, md5(t) as body_md5 from (select distinct content_id, {_FLAT} as t from content_items where text is not null), (select unnest(['html', 'xml', 'json', 'md']) as f)",
     "source_resolved_formats": f"select f as written, f as by_name, f as by_bytes, count(*) as n from (select distinct content_id, {_FLAT} as t from content_items where text is not null), (select unnest(['html', 'xml', 'json', 'md']) as f) group by 1",

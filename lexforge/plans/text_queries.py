@@ -115,11 +115,11 @@ def _case(column: str, rules: dict[str, str]) -> str:
     return "case " + " ".join(f"when regexp_matches({column}, '(?i)\\b({p})\\b') then '{n}'" for n, p in rules.items()) + " end"
 
 
-def _heading_sql() -> str:
+def _heading_sql(source: str = "documents") -> str:
     number, mark = X.NUMBERED, X.MARKDOWN
     standard = ", ".join(f"'{h}'" for h in X.STANDARD_HEADINGS)
     return rf"""
-    with lines as (select doc_id, unnest(range(len(l))) as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents)),
+    with lines as (select doc_id, unnest(range(len(l))) as line_no, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from {source})),
     clean as (select doc_id, line_no, regexp_replace(regexp_replace(line, '^[\s\x{{A0}}]+', ''), '[\s\x{{A0}}]+$', '') as c from lines),
     parts as (select *, rtrim(regexp_replace(c, ':+$', '')) as bare, regexp_extract(c, '{mark}', 1) as mk, regexp_extract(c, '{mark}', 2) as mt, regexp_extract(c, '{number}', 1) as num, regexp_extract(c, '{number}', 2) as nt from clean where c <> '' and length(c) <= 200),
     kinds as (select *, len(list_filter(regexp_split_to_array(bare, '\s+'), lambda w: w <> '')) as nw,
