@@ -14,6 +14,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 
 from ..functions import outline
+from . import pdf
 
 #: Elements whose text is not content, and those that never have an end tag.
 SKIPPED = frozenset("script style noscript nav header footer aside svg iframe form".split())
@@ -284,4 +285,12 @@ def parse_docx(content: bytes) -> tuple[str | None, list[dict]]:
     return title, out
 
 
-PARSERS = {"txt": parse_txt, "md": parse_md, "json": parse_json, "xml": parse_xml, "html": parse_html, "docx": parse_docx}
+def parse_pdf(content: bytes) -> tuple[str | None, list[dict]]:
+    """Sections by heading lines across pages; each page begins with its mark."""
+    pages = pdf.pdf_pages(content)
+    if not any(pages):
+        return None, [_section("General Content", pdf.SCANNED)]
+    return None, _by_lines("\n".join(f"[Page {i + 1}]\n{p}" for i, p in enumerate(pages)), outline.heading)
+
+
+PARSERS = {"pdf": parse_pdf, "txt": parse_txt, "md": parse_md, "json": parse_json, "xml": parse_xml, "html": parse_html, "docx": parse_docx}

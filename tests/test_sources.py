@@ -1,6 +1,7 @@
 import io
 import json
 import zipfile
+import zlib
 
 from lexforge.operators import adapt, chunking, occurrences
 from lexforge.sources import formats, ingest, parsers
@@ -43,13 +44,39 @@ def docx(paragraphs):
     return out.getvalue()
 
 
+def pdf(pages, fonts=b"", extra=()):
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (3 + 2 * i) for i in range(len(pages))) + b"] >>"]
+    for i, p in enumerate(pages):
+        data = zlib.compress(p)
+        objects.append(b"<< /Type /Page /Parent 2 0 R /Resources << /Font << " + fonts + b" >> >> /Contents %d 0 R >>" % (4 + 2 * i))
+        objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(data) + data + b"\nendstream")
+    objects += extra
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, o) for i, o in enumerate(objects)) + b"%%EOF"
+
+
+def test_pdf():
+    first = rb"BT /F1 12 Tf 72 700 Td (OVERDOSAGE) Tj 0 -14 Td (Call \(24 h\) caf\351.) Tj T* [(Sp) -300 (lit)] TJ ET"
+    second = b"BT 1 0 0 1 72 700 Tm (Second) Tj 1 0 0 1 120 700 Tm (page) Tj ET"
+    _, found = parsers.parse_pdf(pdf([first, second]))
+    assert [(s["heading"], s["body"]) for s in found] == [("General Content", "[Page 1]"), ("OVERDOSAGE", "Call (24 h) café.\nSp lit\n[Page 2]\nSecond page")]
+    assert parsers.parse_pdf(pdf([b""]))[1][0]["body"].startswith("No digital text layer")
+    cmap = b"<< /Length 1 >>\nstream\n1 beginbfrange <0001> <0003> <0041> endbfrange 1 beginbfchar <0009> <00E9> endbfchar\nendstream"
+    font = pdf([b"BT /F1 9 Tf <000100020009> Tj ET"], b"/F1 5 0 R", [b"<< /Type /Font /ToUnicode 6 0 R >>", cmap])
+    assert parsers.parse_pdf(font)[1][0]["body"] == "[Page 1]\nABé"
+    try:
+        parsers.parse_pdf(pdf([first]) + b"trailer << /Encrypt 9 0 R >>")
+    except ValueError:
+        return
+    raise AssertionError("an encrypted file was read")
+
+
 def test_files_of_all_kinds(spark):
-    files = [("a.docx", docx([("Title", "T"), ("Heading1", "Dose"), ("ListBullet", "x")])), ("b.json", b"{broken"), ("c.pdf", b"%PDF-1.4"), (None, b"# Hi\ntext"), ("e.txt", None), ("f", b"<?xml version='1.0'?><d><t>x</t></d>")]
+    files = [("a.docx", docx([("Title", "T"), ("Heading1", "Dose"), ("ListBullet", "x")])), ("b.json", b"{broken"), ("c.doc", b"\xd0\xcf\x11\xe0"), (None, b"# Hi\ntext"), ("e.txt", None), ("f", b"<?xml version='1.0'?><d><t>x</t></d>")]
     df = spark.createDataFrame([(str(i), p, c) for i, (p, c) in enumerate(files)], "id string, path string, content binary")
     rows = ingest.parse_files(df, "id").collect()
     by = {r["document_id"]: r for r in rows}
     assert by["0"]["heading"] == "Dose" and "* x" in by["0"]["body"] and "| c |" in by["0"]["body"] and by["0"]["title"] == "T"
-    assert by["1"]["error"].startswith("JSONDecodeError") and "no parser for pdf" in by["2"]["error"] and by["3"]["format"] == "md" and "4" not in by and by["5"]["format"] == "xml"
+    assert by["1"]["error"].startswith("JSONDecodeError") and "no parser for doc" in by["2"]["error"] and by["3"]["format"] == "md" and "4" not in by and by["5"]["format"] == "xml"
     items = ingest.sections_to_items(ingest.parse_files(df, "id")).collect()
     assert {i["section"] for i in items} == {"Dose", "Hi", "T"} and ingest.parse_files(df.limit(0), "id").count() == 0
 
