@@ -154,7 +154,8 @@ def _sql_slots(side: str) -> str:
     return ", ".join([*out, f"{family} as {side}_family", f"({dosed} or regexp_matches({low}, 'take|administer')) as {side}_dosed"])
 
 
-def _sql_compare() -> str:
+def _sql_compare(final: str = "select item_id, {columns}, context_status, context_score, false_match from flagged") -> str:
+    """The comparison in SQL; final reads the facts, flags and dimensions of flagged."""
     canon = {"dose_unit": lambda x: _sql_canonical(x, K.CANONICAL_UNITS, x), "frequency": lambda x: _sql_canonical(f"replace({x}, '.', '')", K.CANONICAL_FREQUENCIES, x), "route": lambda x: _sql_canonical(f"replace(lower({x}), '.', '')", K.CANONICAL_ROUTES, sql_title(x))}
     off = [f"coalesce({canon[n]('a_' + n)} <> {canon[n]('b_' + n)}, false) as off_{n}" if n in canon else f"coalesce(lower(trim(a_{n})) <> lower(trim(b_{n})), false) as off_{n}" for n in C.FACTS]
     opposed = lambda i, c: f"((a_{i} and not a_{c} and b_{c}) or (a_{c} and b_{i} and not b_{c}))"
@@ -182,7 +183,55 @@ def _sql_compare() -> str:
         (contains(a_low, 'prior to') and contains(b_low, 'following')) or (contains(a_low, 'following') and contains(b_low, 'prior to')) or (contains(b_low, 'rapid bolus') and contains(a_low, 'over')) or (contains(a_low, 'rapid bolus') and contains(b_low, 'over')) as timing from facts),
     keyed as (select *, off_drug or off_product or off_population or off_dose_unit as key_off from slots),
     flagged as (select *, key_off or context_status = 'MISMATCH' or (shared >= 0.4 and (raw_dose or off_route)) as false_match from keyed)
-    select item_id, {columns}, context_status, context_score, false_match from flagged"""
+    {final.replace("{columns}", columns)}"""
+
+
+def _sql_differences() -> str:
+    d = lambda when, attribute, a, b, dimension: f"case when {when} then {{'attribute': '{attribute}', 'current_value': {a}, 'candidate_value': {b}, 'source_dimension': '{dimension}'}} end"
+    if_else = lambda when, yes, no: f"case when {when} then '{yes}' else '{no}' end"
+    directive = "((a_ind and not a_contra and b_contra) or (a_contra and b_ind and not b_contra))"
+    food, crush = "((a_food and b_fast) or (a_fast and b_food))", "((a_whole and b_crush) or (a_crush and b_whole))"
+    tone = lambda c: f"case when len({c}_mand) > 0 then 'Mandatory (' || array_to_string({c}_mand, ', ') || ')' else 'Advisory (' || array_to_string({c}_adv, ', ') || ')' end"
+    key = [d("off_drug", "drug", "a_drug", "b_drug", "key_information"), d("(a_drug is null) <> (b_drug is null)", "drug", "coalesce(a_drug, 'Unspecified')", "coalesce(b_drug, 'Unspecified')", "key_information")]
+    key += [d("off_dose and not off_dose_unit" if n == "dose" else f"off_{n}", n, f"a_{n}", f"b_{n}", "key_information") for n in ("product", "population", "dose_unit", "dose", "frequency", "route", "duration", "indication", "age_group")]
+    meaning = [
+        d(directive, "directive_type", if_else("a_ind and not a_contra", "Indication", "Contraindication"), if_else("b_contra", "Contraindication", "Indication"), "meaning"),
+        d(f"not {directive} and {food}", "administration_condition", *[if_else(f"{c}_food", "With food/meals", "Without food/empty stomach") for c in "ab"], "meaning"),
+        d(f"not {directive} and not {food} and {crush}", "administration_condition", *[if_else(f"{c}_whole", "Swallow whole / Do not crush", "May be crushed/chewed") for c in "ab"], "meaning"),
+        d(f"not {directive} and not {food} and not {crush} and shift", "modality", tone("a"), tone("b"), "meaning"),
+    ]
+    group = "coalesce(a_subgroup <> b_subgroup, false)"
+    context = [d(group, "context", "a_subgroup", "b_subgroup", "context"), d(f"not {group} and a_study <> b_study", "context", *[if_else(f"{c}_study", "Clinical study observation", "Prescribing directive") for c in "ab"], "context")]
+    families = "a_family <> b_family and a_family <> 'NARRATIVE' and b_family <> 'NARRATIVE'"
+    q_off, r_off, s_off = "a_quantity <> b_quantity", "(a_quantity and b_quantity and a_range <> b_range)", "a_shorthand <> b_shorthand"
+    layout = [
+        d(families, "template", "a_family", "b_family", "template"), d("a_structure <> b_structure", "structure", *[f"replace({c}_structure, '_', ' ')" for c in "ab"], "structure"),
+        d(q_off, "format", *[if_else(f"{c}_quantity", "Quantitative specification", "Qualitative guidance") for c in "ab"], "format"),
+        d(f"not ({q_off}) and {r_off}", "format", *[if_else(f"{c}_range", "Dose range (titration)", "Fixed dose") for c in "ab"], "format"),
+        d(f"not ({q_off}) and not {r_off} and {s_off}", "format", *[if_else(f"{c}_shorthand", "Abbreviated clinical shorthand", "Narrative regulatory prose") for c in "ab"], "format"),
+    ]
+    every = ", ".join([*key, *meaning, *context, *layout])
+    listed = f"select item_id, list_filter([{every}], lambda x: x is not null) as l from flagged"
+    one_by_one = f"select item_id, generate_subscripts(l, 1) as place, unnest(l) as x from ({listed})"
+    first = f"select * from ({one_by_one}) qualify row_number() over (partition by item_id, x.attribute, x.current_value, x.candidate_value order by place) = 1"
+    return _sql_compare(f"select item_id, (row_number() over (partition by item_id order by place) - 1)::int as pos, x.attribute as attribute, x.current_value as current_value, x.candidate_value as candidate_value, x.source_dimension as source_dimension from ({first})")
+
+
+def _sql_warnings() -> str:
+    mark = "chr(39)"
+    said = lambda label, n, verb, when: f"case when {when} then '{label} mismatch: target {verb} ' || {mark} || a_{n} || {mark} || ' but candidate {verb} ' || {mark} || b_{n} || {mark} end"
+    reasons = [said(label, n, verb, f"off_{n}") for n, label, verb in (("drug", "Drug", "specifies"), ("product", "Product", "specifies"), ("population", "Population", "applies to"), ("dose_unit", "Dose unit", "specifies"))]
+    reasons.append(
+        "case when context_status = 'MISMATCH' then case when a_subgroup <> b_subgroup then 'Specialized population context disparity: current applies to ' || a_subgroup || ', whereas candidate applies to ' || b_subgroup || '.' "
+        "when a_study <> b_study then 'Context mismatch: one statement describes clinical study observations, whereas the other provides prescribing recommendations.' "
+        "else 'Context mismatch: therapeutic indication context compared against contraindication safety context.' end end"
+    )
+    reasons += [said("Dose", "dose", "specifies", "shared >= 0.4 and raw_dose"), said("Route", "route", "specifies", "shared >= 0.4 and off_route")]
+    count = lambda status: " + ".join(f"({n}_status = '{status}')::int" for n in C.DIMENSIONS)
+    found = _sql_compare(f"select item_id, list_filter([{', '.join(reasons)}], lambda x: x is not null) as r from flagged")
+    return f"""with c as ({_sql_compare()}), w as ({found})
+        select item_id, 'FALSE MATCH WARNING: High semantic similarity masks critical regulatory discrepancy (' || array_to_string(r, '; ') || ').' as warning,
+            ({count('MATCH')}) || '/' || ({count('PARTIAL')}) || '/' || ({count('MISMATCH')}) as summary from c join w using (item_id) where len(r) > 0"""
 
 
 QUERIES = {"key_information": key_information, "content_types": content_types, "canonical_values": canonical_values, "compare_dimensions": compare_dimensions, "compare_differences": compare_differences, "compare_warnings": compare_warnings, "compare_accuracy": compare_accuracy, "compare_word_changes": compare_word_changes}
@@ -195,6 +244,8 @@ ORACLES = {
         case when u is not null then {_sql_canonical('u', K.CANONICAL_UNITS, 'u')} end as unit
         from (select nullif(trim(route), '') as r, nullif(lower(trim(key_information.frequency)), '') as f, nullif(lower(trim(key_information.dose_unit)), '') as u from content_items)) group by all""",
     "compare_dimensions": _sql_compare(),
+    "compare_differences": _sql_differences(),
+    "compare_warnings": _sql_warnings(),
     "compare_accuracy": f"""select expected_dimension, count(*) as n, sum(hit)::bigint as n_hit from (select expected_dimension, (s = expected_status or (expected_dimension = 'meaning' and s in ('MATCH', 'PARTIAL') and expected_status in ('MATCH', 'PARTIAL')))::int as hit from (
         select e.expected_dimension, e.expected_status, case e.expected_dimension {" ".join(f"when '{d}' then c.{d}_status" for d in C.DIMENSIONS)} end as s from eval_cases e join ({_sql_compare()}) c using (item_id))) where hit is not null group by 1""",
     "metrics_confusion": f"""select outcome, count(*) as n from (select case when e and f then 'TP' when not e and not f then 'TN' when f then 'FP' else 'FN' end as outcome from (
