@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 #: Characters that a landmark depends on.
 WINDOW = 16
 BASE = 0x100000001B3
@@ -95,7 +97,7 @@ def split_oversized(df: DataFrame, record_id: str, text: str, limits: DataFrame,
     named = F.when(F.col(record_id).isNotNull(), named)
     rows = df.select(named.alias("record_kind"), F.col(record_id).cast("string").alias("record_id"), F.col(text).alias("text")).where("record_id is not null and text is not null")
     bounds = limits.where("max_chars is not null").groupBy(F.lower(F.trim("record_kind")).alias("record_kind")).agg(F.min(F.struct("max_chars", "overlap_chars")).alias("b"))
-    rows = rows.join(F.broadcast(bounds), "record_kind", "left").withColumn("n", F.char_length("text"))
+    rows = rows.join(broadcast_if_small(bounds), "record_kind", "left").withColumn("n", F.char_length("text"))
     over = rows.where("n > b.max_chars").select("record_kind", "record_id", "text", "b.max_chars", F.coalesce("b.overlap_chars", F.lit(0)).alias("overlap_chars"))
     schema = pa.schema([("record_kind", pa.string()), ("record_id", pa.string()), ("piece_no", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("piece", pa.string())])
 
