@@ -229,7 +229,10 @@ class InstantDictionary:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder beside the checkpoints that all executors share."""
+    """A fresh folder beside the checkpoints that all executors share; it goes when the driver's JVM ends."""
     from ..session import shared_folder
 
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
