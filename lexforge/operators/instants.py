@@ -234,5 +234,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)  # only what exists can be marked
+    fs.deleteOnExit(at)
     return path
