@@ -97,9 +97,10 @@ def item_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrase_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences in all documents of the stated phrases: first sentences of the evaluation cases with an id divisible by 100."""
+    """Occurrences in the sections of all documents of the stated phrases: first sentences of the evaluation cases with an id divisible by 100."""
     phrases = read(spark, sf_dir, "eval_cases").where("item_id % 100 = 0").select("item_id", F.substring_index("target_text", ". ", 1).alias("phrase"))
-    return occurrences.find_occurrences(read_spread(spark, sf_dir, "documents", "doc_id", "document_name", "text"), "doc_id", "document_name", "text", phrases, "item_id", "phrase")
+    sections = chunking.sections(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return occurrences.find_occurrences(sections, "section_id", "heading", "body", phrases, "item_id", "phrase", document="document_id", order="order_index")
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import zipfile
 import zlib
 
 from lexforge.operators import adapt, chunking, occurrences
+from lexforge.plans import source_queries
 from lexforge.sources import formats, ingest, parsers
 from pyspark.sql import functions as F
 
@@ -157,3 +158,20 @@ def test_occurrences(spark):
     got = {r["row_id"]: (r["layer"], r["relevance"]) for r in occurrences.find_occurrences(rows, "id", "section", "text", p, "p", "s").collect()}
     assert got == {"1": ("exact_match", "DIRECT"), "2": ("normalized_match", "DIRECT"), "3": ("structured_match", "INDIRECT"), "8": ("semantic_match", "INDIRECT")}
     assert occurrences.find_occurrences(rows, "id", "section", "text", p.limit(0), "p", "s").count() == 0
+
+
+def test_occurrences_count_once_within_one_document_only(spark):
+    same = "Take losartan 50 mg once daily with water or food, as the doctor says"
+    rows = spark.createDataFrame([("s1", 1, 0, "Dose", same + ", one."), ("s0", 1, 1, "Dose", same + ", two."), ("s2", 2, 0, "Dose", same + ", three."), ("s3", 2, 1, "Other", same)], "id string, doc long, o int, section string, text string")
+    p = spark.createDataFrame([(1, "Take losartan 50 mg")], "p long, s string")
+    got = occurrences.find_occurrences(rows, "id", "section", "text", p, "p", "s", document="doc", order="o")
+    assert {r["row_id"] for r in got.collect()} == {"s1", "s2", "s3"}
+    assert occurrences.find_occurrences(rows, "id", "section", "text", p, "p", "s").count() == 4
+
+
+def test_occurrence_query_reads_sections(spark, tmp_path):
+    text = "1 DOSAGE\nFirst words stand here, and these go on for well over sixty characters. {}\n2 WARNINGS\nTake losartan 50 mg. {}"
+    spark.createDataFrame([(i, "Label", text.format(i, i)) for i in (1, 2)], "doc_id long, document_name string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100, "Take losartan 50 mg. More.")], "item_id long, target_text string").write.parquet(str(tmp_path / "eval_cases.parquet"))
+    got = source_queries.phrase_occurrences(spark, str(tmp_path)).collect()
+    assert sorted((r["row_id"], r["section"], r["layer"]) for r in got) == [("sec_1_1_2", "2 WARNINGS", "exact_match"), ("sec_2_1_2", "2 WARNINGS", "exact_match")]
