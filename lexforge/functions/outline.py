@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from html.parser import HTMLParser
 
 from . import text as X
 
 _NUMBERED, _MARKDOWN, _BULLET, _ITEM = (re.compile(p) for p in (X.NUMBERED, X.MARKDOWN, X.BULLET, X.NUMBERED_ITEM))
 _RULE = re.compile(r"^\s*\|?(?:\s*:?-+:?\s*\|)+\s*(?::?-+:?)?\s*\|?\s*$")
+_HTML_TABLE = re.compile(r"<table\b.*?</table\s*>", re.I | re.S)
 _STANDARD = frozenset(X.STANDARD_HEADINGS)
 
 # Words behind whose full stop a sentence goes on.
@@ -96,6 +98,84 @@ def tables(lines: list[str]) -> list[tuple[int, int, list[str], list[list[str]]]
     return out
 
 
+class _Tables(HTMLParser):
+    """Rows of every closed HTML table; the first row that ends in a header cell is its header."""
+
+    def __init__(self):
+        super().__init__()
+        self.found: list[tuple[str | None, list[str], list[list[str]]]] = []
+        self.caption = None
+        self.headers, self.rows, self.row, self.cell, self.head = [], [], None, None, False
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.caption, self.headers, self.rows = None, [], []
+        elif tag == "caption":
+            self.cell = []
+        elif tag == "tr":
+            self.row = []
+        elif tag in ("th", "td"):
+            self.head, self.cell = tag == "th", []
+
+    def handle_endtag(self, tag):
+        if tag == "caption":
+            self.caption, self.cell = "".join(self.cell or []).strip(), None
+        elif tag in ("th", "td"):
+            if self.row is not None:
+                self.row.append("".join(self.cell or []).strip())
+            self.cell = None
+        elif tag == "tr":
+            if self.row and self.head and not self.headers:
+                self.headers = self.row
+            elif self.row:
+                self.rows.append(self.row)
+            self.row, self.head = None, False
+        elif tag == "table":
+            self.found.append((self.caption, self.headers, self.rows))
+            self.caption, self.headers, self.rows = None, [], []
+
+    def handle_data(self, data):
+        if self.cell is not None:
+            self.cell.append(data)
+
+
+def _named(headers: list[str], rows: list[list[str]]) -> tuple[list[str], list[list[str]]]:
+    """Headers for the longest row and rows filled up to them; a table without headers takes its first row's."""
+    if not headers and len(rows) > 1:
+        headers, rows = rows[0], rows[1:]
+    width = max([len(headers), *map(len, rows)])
+    return headers + [f"Column {j + 1}" for j in range(len(headers), width)], [r + [""] * (width - len(r)) for r in rows]
+
+
+def html_tables(text: str) -> list[tuple[str | None, list[str], list[list[str]]]]:
+    """(caption, headers, rows) of every HTML table with rows of data."""
+    if "<table" not in text.lower():
+        return []
+    parser = _Tables()
+    parser.feed(text)
+    return [(c, *_named(h, r)) for c, h, r in parser.found if r]
+
+
+def tsv_tables(text: str) -> list[tuple[list[str], list[list[str]]]]:
+    """(headers, rows) of runs of two lines or more with equally many tabs; blank lines do not end a run.
+
+    Lines of pipe and HTML tables belong to no run.
+    """
+    if "\t" not in text:
+        return []
+    lines = _HTML_TABLE.sub(lambda m: "\n".join("<" for _ in m[0].splitlines()), text).splitlines()
+    for first, end, _, _ in tables(lines):
+        lines[first:end] = ["|"] * (end - first)
+    runs: list[list[list[str]]] = []
+    for line in filter(str.strip, lines):
+        row = [c.strip() for c in line.split("\t")]
+        if runs and len(runs[-1][0]) == len(row):
+            runs[-1].append(row)
+        else:
+            runs.append([row])
+    return [(r[0], r[1:]) for r in runs if len(r) > 1 and len(r[0]) > 1]
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, sentence); full stops of numbers, abbreviations, initials and list marks do not end one."""
     cuts = [0]

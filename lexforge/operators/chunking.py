@@ -97,6 +97,12 @@ def chunks_of(section: dict, title: str, most: int = 1500, least: int = 25, over
         for i, row in enumerate(rows):
             content = " | ".join(f"{h}: {v}" if v else h for h, v in dict(zip(headers, row)).items())
             yield chunk("table_row", f"Table > Row {i + 1}", f"Table, Row {i + 1}", content)
+    for caption, headers, rows in outline.html_tables(section["body"]):
+        title = caption or "Table"
+        for i, row in enumerate(rows):
+            content = " | ".join(f"{h}: {v}" if v else h for h, v in dict(zip(headers, row)).items())
+            if content.strip():
+                yield chunk("table_row", f"{title} > Row {i + 1}", f"{title}, Row {i + 1}", content)
     # lists run across blank lines; the line before the first item is their stem if it ends with a colon
     groups: list[tuple[int | None, list[tuple[int, tuple[str, str, str]]]]] = []
     open_group, last = False, None
@@ -168,11 +174,12 @@ def sentence_spans(docs: DataFrame, document_id: str, text: str) -> DataFrame:
 
 
 def table_rows(docs: DataFrame, document_id: str, text: str) -> DataFrame:
-    """(document_id, table_no, row_no, header, value): the cells of every pipe table."""
+    """(document_id, table_no, row_no, header, value): the cells of every pipe, then HTML, then TSV table."""
     rows = docs.where(F.col(document_id).isNotNull() & F.col(text).isNotNull()).select(F.col(document_id).cast("string"), F.col(text))
 
     def make(r):
-        for t, (_, _, headers, data) in enumerate(outline.tables(r[1].splitlines())):
+        piped = [(headers, data) for _, _, headers, data in outline.tables(r[1].splitlines())]
+        for t, (headers, data) in enumerate([*piped, *(t[1:] for t in outline.html_tables(r[1])), *outline.tsv_tables(r[1])]):
             for i, row in enumerate(data):
                 for h, v in zip(headers, row):
                     yield {"document_id": r[0], "table_no": t, "row_no": i, "header": h, "value": v}

@@ -286,6 +286,31 @@ def compare(pairs: DataFrame, target: str = "target_text", candidate: str = "can
     return x.select(*keep, *columns, F.when(both, false_match).alias("false_match"), F.when(both, reasons).alias("false_match_reasons"), F.when(both, first).alias("differences"))
 
 
+_QUANTITY = r"(?iU)\b\d+(?:\.\d+)?\s*(?:mg|g|mcg|ml|kg|%|tablets?|capsules?|hours?|days?)\b"
+ASPECTS = ("dose", "frequency", "route", "population", "drug")
+
+
+def coarse_differences(differences: Column, target: Column, candidate: Column) -> Column:
+    """Differences that the dimensions leave out: other quantities where no dose or unit differs, and a length over twice or under half."""
+    a, b = (F.regexp_extract_all(t, F.lit(_QUANTITY), F.lit(0)) for t in (target, candidate))
+    dosed = F.coalesce(F.exists(differences, lambda d: d["attribute"].isin("dose", "dose_unit")), F.lit(False))
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("None detected")
+    other = (F.size(F.array_except(a, b)) > 0) | (F.size(F.array_except(b, a)) > 0)
+    ratio = F.length(candidate) / F.greatest(F.length(target), F.lit(1))
+    characters = lambda t: F.concat(F.length(t).cast("string"), F.lit(" characters"))
+    found = F.array(
+        _diff(~dosed & other, "key_information", listed(a), listed(b), "key_information"),
+        _diff((ratio > 2) | (ratio < 0.5), "structure", characters(target), characters(candidate), "structure"),
+    )
+    return F.filter(found, lambda d: d.isNotNull())
+
+
+def matched_aspects(target: Column, candidate: Column) -> Column:
+    """The aspects that both texts state alike."""
+    a, b = (F.struct(*K.key_information(t)) for t in (target, candidate))
+    return F.filter(F.array(*[F.when((a[n] != "") & (a[n] == b[n]), F.lit(n)) for n in ASPECTS]), lambda n: n.isNotNull())
+
+
 def warning(reasons: Column) -> Column:
     """The warning that false-match reasons add up to; null if there are none."""
     return F.when(F.size(reasons) > 0, F.concat(F.lit("FALSE MATCH WARNING: High semantic similarity masks critical regulatory discrepancy ("), F.array_join(reasons, "; "), F.lit(").")))

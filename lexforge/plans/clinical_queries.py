@@ -56,6 +56,17 @@ def compare_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("expected_dimension").agg(F.count("*").alias("n"), F.sum("hit").alias("n_hit"))
 
 
+def compare_coarse_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities and lengths that differ between the texts of every evaluation pair."""
+    found = C.coarse_differences(F.col("differences"), F.col("target_text"), F.col("candidate_text"))
+    return _compared(spark, sf_dir).select("item_id", F.posexplode(found).alias("pos", "d")).select("item_id", "pos", "d.*")
+
+
+def compare_matched_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aspects that both texts of an evaluation pair state alike."""
+    return read(spark, sf_dir, "eval_cases").select("item_id", F.posexplode(C.matched_aspects(F.col("target_text"), F.col("candidate_text"))).alias("pos", "aspect"))
+
+
 def compare_word_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word runs that differ between the texts of every evaluation pair."""
     return C.word_changes(read(spark, sf_dir, "eval_cases"), "case_id")
@@ -234,7 +245,7 @@ def _sql_warnings() -> str:
             ({count('MATCH')}) || '/' || ({count('PARTIAL')}) || '/' || ({count('MISMATCH')}) as summary from c join w using (item_id) where len(r) > 0"""
 
 
-QUERIES = {"key_information": key_information, "content_types": content_types, "canonical_values": canonical_values, "compare_dimensions": compare_dimensions, "compare_differences": compare_differences, "compare_warnings": compare_warnings, "compare_accuracy": compare_accuracy, "compare_word_changes": compare_word_changes}
+QUERIES = {"key_information": key_information, "content_types": content_types, "canonical_values": canonical_values, "compare_dimensions": compare_dimensions, "compare_differences": compare_differences, "compare_warnings": compare_warnings, "compare_accuracy": compare_accuracy, "compare_word_changes": compare_word_changes, "compare_coarse_differences": compare_coarse_differences, "compare_matched_aspects": compare_matched_aspects}
 ORACLES = {
     "key_information": f"select distinct content_id, {sql_key_information('t')} from (select content_id, {SQL_STRIP.format('text')} as t from content_items)",
     "content_types": f"select distinct content_id, {_sql_type('t', 'section')} as derived_type from (select content_id, section, {SQL_STRIP.format('text')} as t from content_items)",

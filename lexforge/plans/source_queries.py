@@ -29,7 +29,7 @@ def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the pipe tables in all documents."""
+    """Cells of the pipe, HTML and TSV tables in all documents."""
     return chunking.table_rows(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 

@@ -56,3 +56,13 @@ def test_sections_decide_context(spark):
 def test_word_changes(spark):
     df = spark.createDataFrame([("p", "take one small tablet daily", "take three enormous capsules daily"), ("n", None, "x"), ("e", "same", "same")], "k string, target_text string, candidate_text string")
     assert [tuple(r) for r in C.word_changes(df, "k").collect()] == [("p", 0, "replace", "one small tablet", "three enormous capsules")]
+
+
+def test_coarse_differences_and_aspects(spark):
+    rows = [("n", "Wait 2 hours before use.", "Wait 3 hours before use."), ("l", "Keep dry.", "Keep dry, and keep it out of the light."), ("s", "Keep dry.", "Keep dry."), ("d", "Take 5 mg daily.", "Take 7 mg daily."), ("z", None, "x")]
+    x = C.compare(spark.createDataFrame(rows, "id string, target_text string, candidate_text string"))
+    x = x.select("id", C.coarse_differences(F.col("differences"), F.col("target_text"), F.col("candidate_text")).alias("d"), C.matched_aspects(F.col("target_text"), F.col("candidate_text")).alias("m"))
+    got = {r["id"]: r for r in x.collect()}
+    assert [(d["attribute"], d["current_value"], d["candidate_value"]) for d in got["n"]["d"]] == [("key_information", "2 hours", "3 hours")]
+    assert [(d["attribute"], d["current_value"], d["candidate_value"]) for d in got["l"]["d"]] == [("structure", "9 characters", "39 characters")]
+    assert got["s"]["d"] == [] and got["d"]["d"] == [] and not got["z"]["d"] and got["d"]["m"] == ["frequency"] and got["s"]["m"] == []

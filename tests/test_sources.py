@@ -175,3 +175,16 @@ def test_occurrence_query_reads_sections(spark, tmp_path):
     spark.createDataFrame([(100, "Take losartan 50 mg. More.")], "item_id long, target_text string").write.parquet(str(tmp_path / "eval_cases.parquet"))
     got = source_queries.phrase_occurrences(spark, str(tmp_path)).collect()
     assert sorted((r["row_id"], r["section"], r["layer"]) for r in got) == [("sec_1_1_2", "2 WARNINGS", "exact_match"), ("sec_2_1_2", "2 WARNINGS", "exact_match")]
+
+
+def test_html_and_tsv_tables(spark):
+    html = "<table><caption>Doses</caption>\n\t<tr>\t<th>Group</th><th>Dose</th></tr>\n\t<tr>\t<td>Adults</td><td>5 mg</td><td>daily</td></tr></table>"
+    text = f"1 DOSAGE\n| A | B |\n|---|---|\n| x | y |\n{html}\nAge\tDose\n\n6\t1 mg\n7\t2 mg\nend\none\ttab"
+    df = spark.createDataFrame([(1, text, "Doc"), (2, "<table><tr><td>only</td></tr></table>", "Doc")], "id long, text string, name string")
+    got = {(r["document_id"], r["table_no"], r["row_no"], r["header"], r["value"]) for r in chunking.table_rows(df, "id", "text").collect()}
+    assert got == {
+        ("1", 0, 0, "A", "x"), ("1", 0, 0, "B", "y"), ("1", 1, 0, "Group", "Adults"), ("1", 1, 0, "Dose", "5 mg"), ("1", 1, 0, "Column 3", "daily"),
+        ("1", 2, 0, "Age", "6"), ("1", 2, 0, "Dose", "1 mg"), ("1", 2, 1, "Age", "7"), ("1", 2, 1, "Dose", "2 mg"), ("2", 0, 0, "Column 1", "only"),
+    }
+    rows = [r for r in chunking.chunk_documents(df, "id", "text", "name").collect() if r["chunk_type"] == "table_row"]
+    assert ("Doses, Row 1", "Group: Adults | Dose: 5 mg | Column 3: daily") in [(r["exact_location"], r["content"]) for r in rows]
