@@ -120,7 +120,31 @@ def covers(columns: list[tuple[int, int]], n: int, share: float, one_in: int) ->
     return False
 
 
-def leaks(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], share: float, one_in: int) -> bool:
+def qualifies(item: np.ndarray, window: np.ndarray, share: float, one_in: int) -> bool:
+    """Whether some stretch of the item stands somewhere in window with few enough edits.
+
+    Edit distances of all stretches from all starts to their nearest passage; starts beyond any allowance go.
+    """
+    n = len(item)
+    least = _least(n, share)
+    starts, place = np.arange(n - least + 1), np.arange(len(window) + 1, dtype=np.int32)
+    d = np.zeros((len(starts), len(place)), np.int32)
+    for i in range(1, n + 1):
+        left = starts + i <= n
+        starts, d = starts[left], d[left]
+        if not len(starts):
+            return False
+        step = np.minimum(d[:, :-1] + (item[starts + i - 1][:, None] != window), d[:, 1:] + 1)
+        d = np.concatenate([np.full((len(starts), 1), i, np.int32), step], axis=1)
+        d = np.minimum.accumulate(d - place, axis=1) + place
+        best = d.min(axis=1)
+        if i >= least and (best * one_in <= i).any():
+            return True
+        starts, d = starts[best <= n // one_in], d[best <= n // one_in]
+    return False
+
+
+def leaks(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], share: float, one_in: int, by_edits: bool = False) -> bool:
     """Whether doc has a leaking passage at one of the seed hits (item position, document position)."""
     n = len(item)
     least = _least(n, share)
@@ -141,16 +165,18 @@ def leaks(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], share:
                 return True
         if np.isin(item, window).sum() < least - least // one_in:
             continue
-        if covers(align(item, window), n, share, one_in):
+        # the best alignment decides most cases at once, but may trim or outscore a stretch that qualifies
+        if covers(align(item, window), n, share, one_in) or by_edits and qualifies(item, window, share, one_in):
             return True
     return False
 
 
-def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_texts: list[str], share: float = 0.5, one_in: int = 8, max_items: int = 100_000) -> DataFrame:
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_texts: list[str], share: float = 0.5, one_in: int = 8, max_items: int = 100_000, by_edits: bool = False) -> DataFrame:
     """(doc_id, item_id) of every document that leaks an item.
 
     items is the held-out set: it is collected to the driver, and more than max_items rows are refused.
-    What leaves the corpus is bounded by it: one count for each n-gram of the items.
+    What leaves the corpus is bounded by it: one count for each n-gram of the items. by_edits also finds
+    passages that qualify by edit distance but not on the best local alignment.
     """
     held = items.select(item_id, *item_texts).distinct().limit(max_items + 1).collect()
     if len(held) > max_items:
@@ -224,7 +250,7 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
                 done = set()
                 for index, at in hits.items():
                     item, words, _ = texts[index]
-                    if item not in done and leaks(words, w, at, share, one_in):
+                    if item not in done and leaks(words, w, at, share, one_in, by_edits):
                         done.add(item)
                         out[0].append(d)
                         out[1].append(str(item))

@@ -44,7 +44,7 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a passage of an evaluation case."""
-    return leakage.find_leaks(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", read(spark, sf_dir, "eval_cases"), "item_id", ["target_text", "candidate_text"])
+    return leakage.find_leaks(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", read(spark, sf_dir, "eval_cases"), "item_id", ["target_text", "candidate_text"], by_edits=True)
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

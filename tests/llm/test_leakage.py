@@ -75,3 +75,32 @@ def test_seeds_suffice():
 
 def test_words():
     assert L.words_of("Night-shift, ﬁne HYPO­kal​emia_x 2.5") == ["night", "shift", "fine", "hypokalemia", "x", "2", "5"]
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_verification_equals_edit_distance():
+    item = np.arange(1, 17)
+    doc = np.array([0, 0, 1, 0, 3, 4, 5, 6, 7, 8, 0, 0])
+    assert L.leaks(item, doc, [(2, 4)], 0.5, 8, by_edits=True)
+    rng = random.Random(5)
+    seen = set()
+    for _ in range(60):
+        a = rng.randrange(0, 9)
+        passage = list(range(a + 1, a + rng.randrange(7, 10)))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(passage))
+            passage[at : at + 1] = rng.choice([[], [0], [passage[at], 0]])
+        doc = [0] * rng.randrange(3) + passage + [0] * rng.randrange(3)
+        want = any(_edits(range(i + 1, j + 1), doc[x:y]) * 8 <= j - i for i in range(16) for j in range(i + 8, 17) for x in range(len(doc)) for y in range(x + 1, len(doc) + 1) if abs((y - x) - (j - i)) <= 2)
+        hits = [(w - 1, q) for q, w in enumerate(doc) if 0 < w <= 16]
+        assert L.leaks(item, np.array(doc), hits, 0.5, 8, by_edits=True) == want, doc
+        seen.add(want)
+    assert seen == {True, False}
