@@ -45,6 +45,11 @@ def label_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.label_items(_labels(spark, sf_dir), "payload").select("document_id", "drug", "section", F.md5("text").alias("text_md5"))
 
 
+def label_unpivot_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with whole texts; the other keeps the reference's cut."""
+    return ingest.label_items(_labels(spark, sf_dir), "payload", chars=None).select("document_id", "drug", "section", F.md5("text").alias("text_md5"))
+
+
 def _escaped(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
@@ -122,6 +127,11 @@ def standard_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.standard_segments(read(spark, sf_dir, "documents"), "doc_id", "text").select("document_id", "segment_no", "section", F.md5("text").alias("text_md5"))
 
 
+def standard_segments_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with whole texts; the other keeps the reference's cut."""
+    return ingest.standard_segments(read(spark, sf_dir, "documents"), "doc_id", "text", chars=None).select("document_id", "segment_no", "section", F.md5("text").alias("text_md5"))
+
+
 _FLAT = r"trim(regexp_replace(text, '[\s\x{A0}]+', ' ', 'g'))"
 _STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x{{A0}}]+', ''), '[\s\x{{A0}}]+$', '')"
 _SECTIONS_SQL = rf"""
@@ -134,7 +144,7 @@ _SECTIONS_SQL = rf"""
     named as (select *, 'sec_' || doc_id || '_' || order_index || '_' || left(regexp_replace(lower(coalesce(section_number, heading)), '[^a-zA-Z0-9]', '_', 'g'), 20) as section_id from numbered),
     parents as (select c.doc_id, c.order_index, arg_max(p.section_id, p.order_index) as parent_section_id from named c join named p on p.doc_id = c.doc_id and p.order_index < c.order_index and p.level < c.level group by 1, 2)
     select n.doc_id::varchar as document_id, section_id, parent_section_id, n.order_index, level, section_number, heading, concept, body from named n left join parents p on p.doc_id = n.doc_id and p.order_index = n.order_index"""
-QUERIES = {"document_sections": document_sections, "document_chunks": document_chunks, "document_sentences": document_sentences, "document_tables": document_tables, "source_label_unpivot": label_unpivot, "source_parsed_formats": parsed_formats, "source_resolved_formats": resolved_formats, "adapt_chunk_items": chunk_items, "adapt_item_sections": item_sections, "occurrence_layers": phrase_occurrences, "stream_windows": stream_windows, "source_standard_segments": standard_segments}
+QUERIES = {"document_sections": document_sections, "document_chunks": document_chunks, "document_sentences": document_sentences, "document_tables": document_tables, "source_label_unpivot": label_unpivot, "source_parsed_formats": parsed_formats, "source_resolved_formats": resolved_formats, "adapt_chunk_items": chunk_items, "adapt_item_sections": item_sections, "occurrence_layers": phrase_occurrences, "stream_windows": stream_windows, "source_standard_segments": standard_segments, "source_label_unpivot_whole": label_unpivot_whole, "source_standard_segments_whole": standard_segments_whole}
 ORACLES = {
     "document_sections": _SECTIONS_SQL,
     "source_label_unpivot": "select distinct content_id as document_id, coalesce(drug, 'none') as drug, 'Indications and Usage' as section, md5(left(trim(text), 4000)) as text_md5 from content_items where trim(text) <> ''",

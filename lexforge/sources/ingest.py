@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,10 @@ LABEL_SECTIONS = {
 ITEM_CHARS = 4000
 
 
+def _kept(text: str, chars: int | None) -> Column:
+    return F.col(text) if chars is None else F.left(text, F.lit(chars))
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of all files below a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
@@ -76,10 +80,11 @@ SEGMENT_LINE = r"(?im)^\s*(?:[0-9]+\s+)?(" + "|".join(STANDARD_SEGMENTS) + r")[:
 SEGMENT_CHARS = 5000
 
 
-def standard_segments(docs: DataFrame, document_id: str, text: str) -> DataFrame:
+def standard_segments(docs: DataFrame, document_id: str, text: str, chars: int | None = SEGMENT_CHARS) -> DataFrame:
     """(document_id, segment_no, section, text): texts cut at standard headings, on the JVM.
 
-    A text without such a heading is one segment, "General Content"; blank segments are left out.
+    A text without such a heading is one segment, "General Content"; blank segments are left out. chars of
+    each are kept; None keeps all.
     """
     clean = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
     rows = docs.select(F.col(document_id).alias("document_id"), clean.alias("t")).where("document_id is not null and t != ''")
@@ -87,19 +92,19 @@ def standard_segments(docs: DataFrame, document_id: str, text: str) -> DataFrame
     cut = F.zip_with("heads", F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(1))), lambda h, p: F.struct(F.initcap(F.lower(h)).alias("section"), p.alias("text")))
     found = F.when(F.size("heads") == 0, F.array(F.struct(F.lit("General Content").alias("section"), F.element_at("parts", 1).alias("text")))).otherwise(cut)
     out = rows.select("document_id", F.posexplode(found).alias("segment_no", "s")).select("document_id", "segment_no", "s.section", F.regexp_replace("s.text", r"(?U)^\s+|\s+$", "").alias("text"))
-    return out.where("text != ''").withColumn("text", F.left("text", F.lit(SEGMENT_CHARS)))
+    return out.where("text != ''").withColumn("text", _kept("text", chars))
 
 
-def spl_items(files: DataFrame, document_id: str = "path", content: str = "content", least: int = 15) -> DataFrame:
-    """Items of structured product labels: sections with text of ``least`` characters or more, cut at ITEM_CHARS."""
+def spl_items(files: DataFrame, document_id: str = "path", content: str = "content", least: int = 15, chars: int | None = ITEM_CHARS) -> DataFrame:
+    """Items of structured product labels: sections with text of ``least`` characters or more, of which chars are kept (None: all)."""
     rows = parse_files(files.withColumn("_kind", F.lit("xml")), document_id, content, document_id, "_kind").where("error is null")
-    return rows.where(F.length("body") >= least).select("document_id", F.col("title").alias("document_name"), F.col("heading").alias("section"), "loinc_code", F.left("body", F.lit(ITEM_CHARS)).alias("text"))
+    return rows.where(F.length("body") >= least).select("document_id", F.col("title").alias("document_name"), F.col("heading").alias("section"), "loinc_code", _kept("body", chars).alias("text"))
 
 
-def label_items(payloads: DataFrame, json_col: str) -> DataFrame:
+def label_items(payloads: DataFrame, json_col: str, chars: int | None = ITEM_CHARS) -> DataFrame:
     """Items of openFDA-shaped payloads: one for each filled section of each result.
 
-    Parsed by a fixed schema and unpivoted on the JVM.
+    Parsed by a fixed schema and unpivoted on the JVM. chars of each text are kept; None keeps all.
     """
     strings = T.ArrayType(T.StringType())
     openfda = T.StructType([T.StructField(n, strings) for n in ("brand_name", "generic_name", "application_number", "manufacturer_name", "route")])
@@ -108,4 +113,4 @@ def label_items(payloads: DataFrame, json_col: str) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(title).alias("section"), F.trim(F.array_join(F.col(f"r.{key}"), " ")).alias("text")) for key, title in LABEL_SECTIONS.items()])
     first = lambda n: F.try_element_at(F.col(f"r.openfda.{n}"), F.lit(1))
     items = rows.select(F.col("r.id").alias("document_id"), F.col("r.version").alias("version"), F.col("r.effective_time").alias("publication_date"), first("brand_name").alias("product"), first("generic_name").alias("drug"), first("route").alias("route"), F.explode(cells).alias("s"))
-    return items.where("s.text != ''").select("document_id", "version", "publication_date", "product", "drug", "route", "s.section", F.left("s.text", F.lit(ITEM_CHARS)).alias("text"))
+    return items.where("s.text != ''").select("document_id", "version", "publication_date", "product", "drug", "route", "s.section", _kept("s.text", chars).alias("text"))

@@ -188,3 +188,10 @@ def test_html_and_tsv_tables(spark):
     }
     rows = [r for r in chunking.chunk_documents(df, "id", "text", "name").collect() if r["chunk_type"] == "table_row"]
     assert ("Doses, Row 1", "Group: Adults | Dose: 5 mg | Column 3: daily") in [(r["exact_location"], r["content"]) for r in rows]
+
+
+def test_whole_texts(spark):
+    payload = spark.createDataFrame([(json.dumps({"results": [{"id": "2", "overdosage": ["o" * 5000]}]}),)], "j string")
+    docs = spark.createDataFrame([(1, "OVERDOSAGE\n" + "x" * 6000)], "id long, text string")
+    assert [len(r["text"]) for r in ingest.label_items(payload, "j", chars=None).collect()] == [5000]
+    assert [len(r["text"]) for r in ingest.standard_segments(docs, "id", "text", chars=None).collect()] == [6000]
