@@ -1,13 +1,17 @@
 """Quantities written in different units to common base units (problem 2).
 
 A dose is stated up to three times: in its own text, in a unit column, and in running text. The identity
-that ties the statements is that they are the same amount. For a number without a unit, every unit that
-stands behind a number in the text is a candidate; the combination with the least log residual
-|ln(dose x unit factor) - ln(text amount)| is taken, and a result is flagged as not unique when
-different combinations share that least residual.
+that ties the statements is that they are the same amount. Every unit of the table of standards is a
+hypothesis; its cost is the weighted sum of the log residuals |ln(number x factor) - ln(stated amount)|
+against all statements, and the cheapest combination of units is taken (``resolve``). Units that some
+statement gives the number outrank those that only fit an amount in the text ("0.5" beside "500 mg" is
+implied to be grams). The weights are such that a statement outweighs all that come after it.
+
+``tied``: another combination of the same rank has the same cost. ``is_unique``: not tied, and no other
+unit fits the amounts in the text better. Tied and contradicted results are flagged, not dropped.
 
 Defined results: null, blank and non-amounts (also amounts per weight or surface, concentrations, and
-numbers for which no unit can be found) give no row; a range in reverse order is put in order; a
+numbers for which no statement has an amount) give no row; a range in reverse order is put in order; a
 residual is null where the text states no amount of that kind. Frequencies that are null, on demand, a
 range, or not an interval give 0 minutes.
 """
@@ -103,75 +107,116 @@ def quantities(text: str, symbols: dict[str, str]) -> list[tuple[Fraction, Fract
     return out
 
 
-def read_dose(dose: str | None, unit: str | None, text: str | None, factors: dict[str, tuple[str, int]], symbols: dict[str, str]):
-    """(kind, low, high, log residual, unique, where the unit stands) of a stated dose, or None."""
+#: What a statement weighs: more than twice all that come after it, so that earlier ones decide.
+WEIGHTS = {"dose": 6.0, "unit column": 2.0, "text": 0.5}
+#: The log residual of amounts of different kinds, beyond any between amounts of one kind.
+OTHER_KIND = 100.0
+#: Log residual below which amounts are equal; units that stand nowhere must make them so.
+AGREES = 1e-9
+#: Where a unit stands, the most trusted place first; implied: in no place, but it makes the amounts agree.
+PLACES = ("dose", "unit column", "text", "implied")
+# Words behind a number that are no units.
+NO_UNITS = ("daily", "once", "twice", "every", "each", "at", "for", "in", "of", "taken", "or")
+
+
+def _statements(dose: str | None, unit: str | None, symbols: dict[str, str]):
+    """(low, high, units in the dose, unit of the column) as written, or None where it is no absolute amount."""
     plain = _plain(dose)
     m = _QUANTITY.search(plain)
-    if not m:
-        return None
-    if _PER.match(plain, m.end()) or (m["u1"] and not m["n2"] and _PER.match(plain, m.end("u1"))):
+    if not m or _PER.match(plain, m.end()) or (m["u1"] and not m["n2"] and _PER.match(plain, m.end("u1"))):
         return None
     low, high = number(m["n1"]), number(m["n2"]) if m["n2"] else None
     if low is None or (m["n2"] and high is None):
         return None
-    ranged = high is not None
-    high = low if high is None else high
-    s1 = SCALES.get(m["s1"] or (m["s2"] if ranged else None), 1)
-    s2 = SCALES.get(m["s2"] or m["s1"], 1) if ranged else s1
+    s1 = SCALES.get(m["s1"] or (m["s2"] if m["n2"] else None), 1)
+    s2 = SCALES.get(m["s2"] or m["s1"], 1) if m["n2"] else s1
     first, second = _unit(m["u1"], symbols), _unit(m["u2"], symbols)
     written = m["u2"] or m["u1"]
-    known, place = second or first, "dose"
-    if written and not known:
-        if written not in ("daily", "once", "twice", "every", "each", "at", "for", "in", "of", "taken", "or"):
-            return None  # a unit that is no amount in the table of standards
-    if not known and (lead := _LEADING.search(plain[: m.start()])):
-        known = _unit(lead["u"], symbols)
-    if not known:
-        column = _plain(unit)
-        if _PER.search(column):
-            return None
-        words = column.split()
+    if written and not (first or second) and written not in NO_UNITS:
+        return None  # a unit that is no amount in the table of standards
+    if not (first or second) and (lead := _LEADING.search(plain[: m.start()])):
+        first = _unit(lead["u"], symbols)
+    column = None
+    if not (first or second):
+        beside = _plain(unit)
+        words = beside.split()
         if words and words[0] in SCALES:
-            s1, s2, column = s1 * SCALES[words[0]], s2 * SCALES[words[0]], " ".join(words[1:])
-        known, place = _unit(column, symbols), "unit column"
-        if column and not known:
+            s1, s2, beside = s1 * SCALES[words[0]], s2 * SCALES[words[0]], " ".join(words[1:])
+        column = _unit(beside, symbols)
+        if _PER.search(beside) or (beside and not column):
             return None
-    stated = quantities(_plain(text), symbols) if text else []
-    low, high = low * s1, high * s2
-
-    def residual(symbol: str, low: Fraction, high: Fraction) -> tuple[float, set] | None:
-        kind, factor = factors[symbol]
-        least, at = None, set()
-        for a, b, u in stated:
-            if u in factors and factors[u][0] == kind and a > 0 and b > 0 and low > 0 and high > 0:
-                r = abs(math.log(low * factor) - math.log(a * factors[u][1])) + abs(math.log(high * factor) - math.log(b * factors[u][1]))
-                if least is None or r < least - 1e-9:
-                    least, at = r, set()
-                if r < least + 1e-9:
-                    at.add(u)
-        return None if least is None else (least, at)
-
-    unique = True
-    if not known:
-        # candidates: units that stand behind the same number; all combinations compete by their residual
-        place, best = "text", None
-        for candidate in dict.fromkeys(u for a, b, u in stated if u in factors and (a in (low, high) or b in (low, high))):
-            r = residual(candidate, low, high)
-            if r and (best is None or r[0] < best[0] - 1e-9):
-                best, unique, known = r, True, candidate
-            elif r and r[0] < best[0] + 1e-9 and factors[candidate] != factors[known]:
-                unique = False
-        if not known:
+    else:
+        words = _plain(unit).split()
+        column = _unit(" ".join(words[1:] if words and words[0] in SCALES else words), symbols)
+    in_dose = (first or second, second or first) if first or second else None
+    return low * s1, (low if high is None else high) * s2, in_dose, column
+
+
+def resolve(dose: str | None, unit: str | None, text: str | None, factors: dict[str, tuple[str, int]], symbols: dict[str, str]):
+    """(kind, low, high, log residual, is unique, place of the unit, tied) of a stated dose, or None."""
+    said = _statements(dose, unit, symbols)
+    if said is None:
+        return None
+    low, high, in_dose, column = said
+    if any(u not in factors for u in (in_dose or ((column,) if column else ()))):
+        return None
+    stated = [(a, b, u) for a, b, u in quantities(_plain(text), symbols) if u in factors] if text else []
+    amounts = [(factors[u][0], math.log(a * factors[u][1]), math.log(b * factors[u][1])) for a, b, u in stated if a > 0 and b > 0]
+    log_low, log_high = (math.log(low), math.log(high)) if low > 0 and high > 0 else (None, None)
+
+    def apart(one: tuple[str, str], other: tuple[str, str]) -> float:
+        """Log residual of the same numbers in two combinations of units."""
+        return sum(abs(math.log(factors[a][1] / factors[b][1])) if factors[a][0] == factors[b][0] else OTHER_KIND for a, b in zip(one, other))
+
+    def against_text(pair: tuple[str, str]) -> float | None:
+        if log_low is None:
             return None
-    if known not in factors:
+        (kind, f1), (_, f2) = factors[pair[0]], factors[pair[1]]
+        x, y = log_low + math.log(f1), log_high + math.log(f2)
+        return min((abs(x - a) + abs(y - b) for k, a, b in amounts if k == kind), default=None)
+
+    places: dict[tuple[str, str], str] = {}
+    if in_dose:
+        mixed = factors[in_dose[0]][0] != factors[in_dose[1]][0]
+        places[(in_dose[1], in_dose[1]) if mixed else in_dose] = "dose"
+    if column in factors:
+        places.setdefault((column, column), "unit column")
+    for a, b, u in stated:
+        if a in (low, high) or b in (low, high):
+            places.setdefault((u, u), "text")
+    kinds = {k for k, *_ in amounts} | {factors[u][0] for pair in places for u in pair}
+    for u, (kind, _) in factors.items():
+        if kind in kinds:
+            places.setdefault((u, u), "implied")
+    ranked, fits = [], {}
+    for pair, place in places.items():
+        fits[pair] = against_text(pair)
+        if place == "implied" and not (fits[pair] is not None and fits[pair] < AGREES):
+            continue
+        cost = WEIGHTS["text"] * (fits[pair] or 0.0)
+        if in_dose:
+            cost += WEIGHTS["dose"] * apart(pair, in_dose)
+        if column in factors:
+            cost += WEIGHTS["unit column"] * apart(pair, (column, column))
+        ranked.append((place == "implied", round(cost, 9), PLACES.index(place), pair))
+    if not ranked:
         return None
-    kind, factor = factors[known]
-    amounts = (low * (factors[first][1] if first in factors and second and factors[first][0] == kind else factor), high * factor)
-    amounts = tuple(sorted(round(x) for x in amounts))
-    if amounts[1] >= 2**63:
+    # the first of equals is the one named first
+    best = min(ranked, key=lambda r: r[:3])
+    pair = best[3]
+    amount = lambda p: (factors[p[0]][0], *sorted((round(low * factors[p[0]][1]), round(high * factors[p[1]][1]))))
+    found, residual = amount(pair), fits[pair]
+    if found[2] >= 2**63:
         return None
-    r = residual(known, low, high)
-    return kind, *amounts, None if r is None else r[0], unique, place
+    tied = any(r[:3] == best[:3] and amount(r[3]) != found for r in ranked)
+    better = residual is not None and any(f is not None and f < residual - AGREES for f in fits.values())
+    return *found, residual, not tied and not better, PLACES[best[2]], tied
+
+
+def read_dose(dose: str | None, unit: str | None, text: str | None, factors: dict[str, tuple[str, int]], symbols: dict[str, str]):
+    """The first six values of ``resolve``, of units that stand somewhere."""
+    found = resolve(dose, unit, text, factors, symbols)
+    return found[:6] if found else None
 
 
 _COUNT = {"once": 1, "twice": 2, "thrice": 3} | NUMBERS
@@ -215,38 +260,29 @@ def interval_minutes(frequency: str | None) -> int:
     return {"hourly": 60, "weekly": 10080, "once weekly": 10080, "fortnightly": 20160, "biweekly": 0}.get(t, 0)
 
 
-AMOUNTS = "kind string, amount_low long, amount_high long, log_residual double, is_unique boolean, unit_source string, interval_min long"
+AMOUNTS = "kind string, amount_low long, amount_high long, log_residual double, is_unique boolean, unit_source string, tied boolean, interval_min long"
 
 
 def normalise_doses(df: DataFrame, key: str, standards: DataFrame, dose: str = "dose", unit: str = "dose_unit", frequency: str = "frequency", text: str = "text", verify: bool = True, max_standards: int = 10_000) -> DataFrame:
     """One row for each row of df that states an absolute amount: key and the columns of AMOUNTS.
 
-    verify: also compare amounts whose unit is known with those in the text; else the text is only read
-    where neither other column has a unit. standards (unit_symbol, kind, factor) is a small reference
-    table; more than max_standards rows are refused.
+    verify: the text takes part in every decision; else it is only read where neither other column has a
+    unit. standards (unit_symbol, kind, factor) is a reference table of at most max_standards rows: it
+    names physical units, and more are refused.
     """
     rows = standards.select("unit_symbol", "kind", "factor").distinct().limit(max_standards + 1).collect()
     if len(rows) > max_standards:
         raise ValueError(f"more than {max_standards} units")
     factors = {r[0]: (r[1], int(r[2])) for r in rows if None not in r}
     symbols = _symbols() | {s.lower(): s for s in factors if s.lower() not in _symbols()}
-    schema = pa.schema([(key, pa.string()), ("kind", pa.string()), ("amount_low", pa.int64()), ("amount_high", pa.int64()), ("log_residual", pa.float64()), ("is_unique", pa.bool_()), ("unit_source", pa.string()), ("interval_min", pa.int64())])
+    schema = pa.schema([(key, pa.string()), ("kind", pa.string()), ("amount_low", pa.int64()), ("amount_high", pa.int64()), ("log_residual", pa.float64()), ("is_unique", pa.bool_()), ("unit_source", pa.string()), ("tied", pa.bool_()), ("interval_min", pa.int64())])
 
     def run(batches):
         intervals: dict[str | None, int] = {}
-        doses: dict[tuple, tuple | None] = {}
         for b in batches:
             out = []
             for k, d, u, f, t in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if t is None:
-                    if (d, u) not in doses:
-                        if len(doses) > 50_000:
-                            doses.clear()
-                        doses[d, u] = read_dose(d, u, None, factors, symbols)
-                    found = doses[d, u]
-                else:
-                    found = read_dose(d, u, t, factors, symbols)
-                if found:
+                if found := resolve(d, u, t, factors, symbols):
                     if f not in intervals:
                         if len(intervals) > 50_000:
                             intervals.clear()

@@ -27,16 +27,25 @@ def _doses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_spread(spark, sf_dir, "content_items", "content_id", "text", info).select("content_id", "text", *[F.col(f"{info}.{c}").alias(c) for c in ("dose", "dose_unit", "frequency")])
 
 
+def p2_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stated dose with its cheapest combination of units, its residual, and whether that is unique."""
+    return units.normalise_doses(_doses(spark, sf_dir), "content_id", read(spark, sf_dir, "unit_standards"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Absolute doses of content_items in base units, with their interval."""
-    amounts = units.normalise_doses(_doses(spark, sf_dir), "content_id", read(spark, sf_dir, "unit_standards"), verify=False)
-    return amounts.where("is_unique").select("content_id", "kind", "amount_low", "amount_high", "interval_min").distinct()
+    """Absolute doses of content_items in base units, with their interval.
+
+    The rows of p2_amounts whose unit stands in one of the places of the query's definition; a number with
+    two units behind it has no single reading there.
+    """
+    decided = p2_amounts(spark, sf_dir).where("unit_source != 'implied' and not tied")
+    return decided.select("content_id", "kind", "amount_low", "amount_high", "interval_min").distinct()
 
 
 def p2_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the stated doses agree with the amounts in their texts, by kind and place of the unit."""
-    amounts = units.normalise_doses(_doses(spark, sf_dir), "content_id", read(spark, sf_dir, "unit_standards"))
-    return amounts.groupBy("kind", "unit_source", "is_unique").agg(F.count("*").alias("n"), F.count_if(F.col("log_residual") < 1e-9).alias("n_confirmed"), F.count_if(F.col("log_residual") >= 1e-9).alias("n_off"))
+    amounts = p2_amounts(spark, sf_dir)
+    return amounts.groupBy("kind", "unit_source", "is_unique", "tied").agg(F.count("*").alias("n"), F.count_if(F.col("log_residual") < 1e-9).alias("n_confirmed"), F.count_if(F.col("log_residual") >= 1e-9).alias("n_off"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +57,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.where("record_id is not null").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_path_profile": p1_path_profile, "p2_found": p2_found, "p2_residuals": p2_residuals, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_path_profile": p1_path_profile, "p2_amounts": p2_amounts, "p2_found": p2_found, "p2_residuals": p2_residuals, "p5_found": p5_found}
 ORACLES: dict[str, str] = {}

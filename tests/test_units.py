@@ -57,6 +57,23 @@ def test_unit_from_text():
     assert read("10", "mg/kg", "10 mg") is None
 
 
+def test_resolution_is_one_minimisation():
+    resolve = lambda *x: units.resolve(*x, FACTORS, units._symbols())
+    # implied: no unit stands behind this number, but grams make the amounts agree
+    assert resolve("0.5", "", "Dose: 500 mg") == ("mass", 5 * 10**8, 5 * 10**8, 0.0, True, "implied", False)
+    assert resolve("20", None, "Take 3 mL.") is None
+    # earlier statements decide, contradictions are flagged
+    assert resolve("5 mg", "g", "Take 5 g.")[:3] == ("mass", 5 * 10**6, 5 * 10**6) and resolve("5 mg", "g", "Take 5 g.")[4:] == (False, "dose", False)
+    assert resolve("5 mg", None, "Take 5 g.")[4:] == (False, "dose", False)
+    assert resolve("2 tablets", "mg", "2 mg")[0] == "count"
+    assert resolve("5 mg", None, "At most 40 mg; 10 mg at first.")[4:] == (True, "dose", False)
+    assert resolve("5", "mg", "Take 5 mg with 5 mL of water.")[4:] == (True, "unit column", False)
+    # ties of one rank are returned and flagged; a unit behind the number outranks an implied one
+    assert resolve("5", None, "Take 5 mg with 5 mL of water.")[4:] == (False, "text", True)
+    assert resolve("5", None, "Take 5 mg, at most 5000 mg.")[:3] == ("mass", 5 * 10**6, 5 * 10**6)
+    assert resolve("5", None, "Take 5 mg, at most 5000 mg.")[5:] == ("text", False)
+
+
 def test_numbers():
     assert units.number("1,234,567.5") == Fraction("1234567.5")
     assert units.number("12,34") == Fraction("12.34")
