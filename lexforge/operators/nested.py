@@ -1,15 +1,16 @@
 """Deeply nested JSON records to flat, linked tables (problem 1).
 
-``shred`` parses each record once and streams it out as path-value-ordinal triples; ``group_tables``
-groups the paths by their repeated ancestor (the object that holds them) and pivots each group into
-one table; ``identified_objects`` is the pivot of the identity fields with each object's nearest
-identified ancestor as its parent.
+``shred`` reads each record once and streams it out as path-value-ordinal triples. ``objects`` groups the
+triples by their repeated ancestor, the object that holds them, as they stream by: the triples of one
+object never leave their record, so nothing is shuffled. ``group_tables`` pivots each group of paths into
+one table; ``identified_objects`` reads the identity columns of the same objects and links each to its
+nearest identified ancestor.
 
 Defined results: null, empty or invalid JSON gives no triples; JSON kept as text inside JSON is
 entered at any depth, text that only looks like JSON stays a value; field names are compared without
 case and separators; a repeated name within one object keeps the last value, as in JSON practice; a
 list of objects, a single object in its place, and objects that only stand for a list ("items", "item_0")
-belong to the same table.
+belong to the same table; an object without values of its own is a row without fields, so that links hold.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
+OBJECTS = "record_id string, delivery long, table_path string, node int, parent_path string, parent_node int, ancestors array<int>, ordinals array<int>, cells map<string,array<string>>"
 TRIPLES = "record_id string, delivery long, table_path string, node int, ancestors array<int>, ordinals array<int>, field string, value string"
 
 #: The fields that give an object its identity, in order of precedence.
@@ -151,11 +155,12 @@ def _unwrap(value):
     return value
 
 
-def walk(root, wanted: set[str] | None = None) -> Iterator[tuple]:
+def walk(root, wanted: set[str] | None = None, opened=None) -> Iterator[tuple]:
     """(table path, node, ancestors, ordinals, field, value) of every scalar, in document order.
 
     node is the object's number in document order; ancestors are the numbers of the enclosing objects,
-    outermost first; ordinals are the list positions on the way. wanted: squashed names to keep.
+    outermost first; ordinals are the list positions on the way. wanted: squashed names to keep. opened is
+    called with (table path, node, ancestors, ordinals) of every object before its first triple.
     """
     count = 0
     # path is where objects found here belong, home the table of the object that holds the value
@@ -166,6 +171,8 @@ def walk(root, wanted: set[str] | None = None) -> Iterator[tuple]:
             node, count = count, count + 1
             if owner >= 0:
                 ancestors = (*ancestors, owner)
+            if opened:
+                opened(path, node, ancestors, ordinals)
             for k, v in reversed(value.items()):
                 v = _unwrap(_enter(v))
                 if isinstance(v, (dict, list)):
@@ -182,6 +189,25 @@ def walk(root, wanted: set[str] | None = None) -> Iterator[tuple]:
             yield home, owner, ancestors, ordinals, snake(name), text
 
 
+def grouped(root) -> list[tuple]:
+    """(table path, node, parent path, parent node, ancestors, ordinals, cells) of every object of a record.
+
+    cells are the object's triples by field, values in document order. A record that is a list of scalars
+    hangs on no object (node -1).
+    """
+    found: dict[int, tuple] = {}
+
+    def opened(path, node, ancestors, ordinals):
+        parent = ancestors[-1] if ancestors else None
+        found[node] = (path, node, None if parent is None else found[parent][0], parent, ancestors, ordinals, {})
+
+    for path, node, ancestors, ordinals, field, text in walk(root, opened=opened):
+        if node not in found:
+            found[node] = (path, node, None, None, ancestors, (), {})
+        found[node][6].setdefault(field, []).append(text)
+    return list(found.values())
+
+
 def shred(df: DataFrame, record_id: str, json_col: str, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Path-value-ordinal triples of every record; fields restricts them to these names (any spelling).
 
@@ -211,49 +237,113 @@ def shred(df: DataFrame, record_id: str, json_col: str, fields: tuple[str, ...]
     return source.select(F.col(record_id).cast("string"), F.xxhash64(json_col), json_col).mapInArrow(run, TRIPLES)
 
 
-def group_tables(triples: DataFrame, fields: dict[str, list[str]] | None = None, max_fields: int = 20_000) -> dict[str, DataFrame]:
+def objects(df: DataFrame, record_id: str, json_col: str) -> DataFrame:
+    """One row (columns OBJECTS) for each object of every record: its triples grouped as they stream by.
+
+    parent_path and parent_node name the enclosing object's row. Repeated deliveries repeat their rows.
+    """
+    ints = pa.list_(pa.int32())
+    schema = pa.schema(
+        [("record_id", pa.string()), ("delivery", pa.int64()), ("table_path", pa.string()), ("node", pa.int32()), ("parent_path", pa.string()), ("parent_node", pa.int32()), ("ancestors", ints), ("ordinals", ints), ("cells", pa.map_(pa.string(), pa.list_(pa.string())))]
+    )
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for rid, delivery, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                try:
+                    value = parse(text)
+                except ValueError:
+                    continue
+                rows += [(rid, delivery, *o[:6], list(o[6].items())) for o in grouped(value)]
+                if len(rows) > 20_000:
+                    yield table(rows)
+                    rows = []
+            if rows:
+                yield table(rows)
+
+    source = df.where(F.col(json_col).isNotNull() & (F.trim(json_col) != "") & F.col(record_id).isNotNull())
+    return source.select(F.col(record_id).cast("string"), F.xxhash64(json_col), json_col).mapInArrow(run, OBJECTS)
+
+
+def objects_of(triples: DataFrame) -> DataFrame:
+    """The same from triples that come from elsewhere, by a shuffle on their object; repetitions fall away."""
+    cell = F.struct("field", "ordinals", "value")
+    rows = triples.groupBy("record_id", "delivery", "table_path", "node").agg(F.first("ancestors").alias("ancestors"), F.min("ordinals").alias("ordinals"), F.array_sort(F.collect_set(cell)).alias("x"))
+    names = F.array_distinct(F.transform("x", lambda c: c["field"]))
+    cells = F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter("x", lambda c: c["field"] == n), lambda c: c["value"])))
+    dot = F.size(F.split("table_path", r"\.")) - 1
+    above = F.when(F.col("table_path") != "", F.array_join(F.slice(F.split("table_path", r"\."), F.lit(1), dot), "."))
+    return rows.select("record_id", "delivery", "table_path", "node", above.alias("parent_path"), F.try_element_at("ancestors", F.lit(-1)).alias("parent_node"), "ancestors", "ordinals", cells.alias("cells"))
+
+
+#: Folders over which the tables of staged objects are spread, whatever the number of tables.
+FOLDERS = 64
+
+
+def _folder(path) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(FOLDERS)).cast("int")
+
+
+def stage_objects(rows: DataFrame, name: str = "objects") -> DataFrame:
+    """objects written once, in folders by table, so that a table reads little more than its own rows.
+
+    The rows are balanced over files by table first: a hot table is split, small ones fill few files.
+    """
+    return stage(rows.withColumn("folder", _folder("table_path")).hint("rebalance", "table_path"), name, "folder")
+
+
+def group_tables(rows: DataFrame, fields: dict[str, list[str]] | None = None, max_fields: int = 20_000) -> dict[str, DataFrame]:
     """One table for each group of paths that hang on the same (repeated) ancestor.
 
-    Each row is one object: record_id, delivery, node, parent_node, ordinals and its fields as columns; a
-    field with several values (a list of scalars) is their JSON list. fields gives the columns of each
-    path; if it is None they are looked up, which collects schema names only, never values. More than
-    max_fields names (as where ids serve as field names) are refused: give the fields then.
+    rows: objects (best staged by ``stage_objects``) or triples. Each row of a table is one object:
+    record_id, delivery, node, parent_path, parent_node, ordinals and its fields as columns; a field with
+    several values (a list of scalars) is their JSON list. fields gives the columns of each path; if it is
+    None they are looked up, which collects schema names only, never values. More than max_fields names
+    (as where ids serve as field names) are refused, as they are data then: give the fields.
     """
+    if "cells" not in rows.columns:
+        rows = objects_of(rows)
     if fields is None:
-        names = triples.select("table_path", "field").distinct().limit(max_fields + 1).collect()
+        names = rows.select("table_path", F.explode_outer(F.map_keys("cells")).alias("field")).distinct().limit(max_fields + 1).collect()
         if len(names) > max_fields:
             raise ValueError(f"more than {max_fields} fields")
         fields = {}
-        for path, name in sorted(names):
-            fields.setdefault(path, []).append(name)
-    reserved = {"record_id", "delivery", "node", "parent_node", "ordinals"}
+        for path, name in sorted(names, key=lambda r: (r[0], r[1] or "")):
+            fields.setdefault(path, []).extend([] if name is None else [name])
+    fixed = ("record_id", "delivery", "node", "parent_path", "parent_node", "ordinals")
     out = {}
     for path, names in fields.items():
-        cells = triples.where((F.col("table_path") == path) & (F.col("node") >= 0))
-        values = [F.array_sort(F.collect_list(F.when(F.col("field") == n, F.struct("ordinals", "value")))).alias(f"c{i}") for i, n in enumerate(names)]
-        # identical deliveries of one record have identical cells, so their repetitions fall away first
-        rows = cells.distinct().groupBy("record_id", "delivery", "node").agg(F.first(F.try_element_at("ancestors", F.lit(-1))).alias("parent_node"), F.min("ordinals").alias("ordinals"), *values)
-        one = [F.when(F.size(f"c{i}") > 1, F.to_json(F.transform(f"c{i}", lambda x: x["value"]))).otherwise(F.try_element_at(f"c{i}", F.lit(1))["value"]).alias(n if n not in reserved else f"{n}_") for i, n in enumerate(names)]
-        out[path] = rows.select("record_id", "delivery", "node", "parent_node", "ordinals", *one)
+        mine = rows.where((F.col("table_path") == path) & (F.col("node") >= 0))
+        if "folder" in rows.columns:
+            mine = mine.where(F.col("folder") == _folder(F.lit(path)))
+        one = lambda n: F.try_element_at("cells", F.lit(n))
+        values = [F.when(F.size(one(n)) > 1, F.to_json(one(n))).otherwise(F.try_element_at(one(n), F.lit(1))).alias(n if n not in fixed else f"{n}_") for n in names]
+        out[path] = mine.select(*fixed, *values)
     return out
 
 
-def identified_objects(df: DataFrame, record_id: str, json_col: str, identity: tuple[str, ...] = IDENTITY_FIELDS) -> DataFrame:
-    """(record_id, parent_id, child_id) of every object that holds an identity field.
+def identified(rows: DataFrame, identity: tuple[str, ...] = IDENTITY_FIELDS) -> DataFrame:
+    """(record_id, parent_id, child_id) of every object among the rows (columns OBJECTS) that has an identity.
 
     The parent is the nearest enclosing object with an identity, else the record. An object with several
     identity fields takes the first of ``identity``. Equal rows of several deliveries count once.
     """
     order = F.create_map(*[x for i, f in enumerate(identity) for x in (F.lit(squash(f)), F.lit(i))])
-    cells = shred(df, record_id, json_col, identity).where("value is not null and node >= 0")
-    cells = cells.withColumn("rank", order[F.regexp_replace("field", "_", "")])
+    named = F.transform(F.map_entries("cells"), lambda e: F.struct(order[F.replace(e["key"], F.lit("_"), F.lit(""))].alias("rank"), F.try_element_at(F.filter(e["value"], lambda v: v.isNotNull()), F.lit(1)).alias("value")))
+    own = F.array_min(F.filter(named, lambda x: x["rank"].isNotNull() & x["value"].isNotNull()))["value"]
+    found = rows.where("node >= 0").select("record_id", "delivery", "node", "ancestors", own.alias("id")).where("id is not null")
     # collect_set is combined map-side; a group is one JSON text, however often it was delivered
-    groups = cells.groupBy("record_id", "delivery").agg(F.collect_set(F.struct("node", "rank", "ordinals", "value", "ancestors")).alias("found"))
-    ordered = groups.select("record_id", F.array_sort("found").alias("found"))
-    first = F.filter("found", lambda x, i: (i == 0) | (F.try_element_at("found", i)["node"] != x["node"]))
-    named = ordered.select("record_id", first.alias("found")).select(
-        "record_id", "found", F.map_from_arrays(F.transform("found", lambda x: x["node"]), F.transform("found", lambda x: x["value"])).alias("ids")
-    )
-    flat = named.select("record_id", "ids", F.explode("found").alias("x"))
-    nearest = F.try_element_at(F.filter(F.transform("x.ancestors", lambda a: F.col("ids")[a]), lambda v: v.isNotNull()), F.lit(-1))
-    return flat.select("record_id", F.coalesce(nearest, F.col("record_id")).alias("parent_id"), F.col("x.value").alias("child_id")).distinct()
+    groups = found.groupBy("record_id", "delivery").agg(F.collect_set(F.struct("node", "id", "ancestors")).alias("found"))
+    ids = groups.select("record_id", "found", F.map_from_arrays(F.transform("found", lambda x: x["node"]), F.transform("found", lambda x: x["id"])).alias("ids"))
+    flat = ids.select("record_id", "ids", F.explode("found").alias("x"))
+    nearest = F.try_element_at(F.filter(F.transform("x.ancestors", lambda a: F.try_element_at("ids", a)), lambda v: v.isNotNull()), F.lit(-1))
+    return flat.select("record_id", F.coalesce(nearest, F.col("record_id")).alias("parent_id"), F.col("x.id").alias("child_id")).distinct()
+
+
+def identified_objects(df: DataFrame, record_id: str, json_col: str, identity: tuple[str, ...] = IDENTITY_FIELDS) -> DataFrame:
+    """``identified`` of all objects of df's records."""
+    return identified(objects(df, record_id, json_col), identity)

@@ -9,11 +9,38 @@ from ..operators import instants, nested, units
 from ..session import read, read_spread
 
 
+def _objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All objects of proposals.data and of content_items.metadata."""
+    return (
+        nested.objects(read_spread(spark, sf_dir, "proposals", "change_id", "data"), "change_id", "data"),
+        nested.objects(read_spread(spark, sf_dir, "content_items", "content_id", "metadata"), "content_id", "metadata"),
+    )
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every identified object of proposals.data and content_items.metadata with its parent."""
-    proposals = nested.identified_objects(read_spread(spark, sf_dir, "proposals", "change_id", "data"), "change_id", "data")
-    items = nested.identified_objects(read_spread(spark, sf_dir, "content_items", "content_id", "metadata"), "content_id", "metadata")
-    return proposals.unionByName(items)
+    proposals, items = _objects(spark, sf_dir)
+    return nested.identified(proposals).unionByName(nested.identified(items))
+
+
+def p1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that all records flatten to, one below the other: each object with the row of its parent.
+
+    A delivery repeated word for word counts once. Columns, which differ from table to table, are given as
+    the JSON of a row.
+    """
+    sources = (("proposals", "change_id", "data"), ("content_items", "content_id", "metadata"))
+    parts = []
+    for table, record_id, data in sources:
+        rows = read_spread(spark, sf_dir, table, record_id, data).distinct()
+        for path, rows in nested.group_tables(nested.stage_objects(nested.objects(rows, record_id, data))).items():
+            fixed = ["record_id", "delivery", "node", "parent_path", "parent_node", "ordinals"]
+            columns = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in fixed])) if len(rows.columns) > len(fixed) else F.lit("{}")
+            parts.append(rows.select(F.lit(table).alias("source_table"), F.lit(path).alias("table_path"), *fixed, columns.alias("fields")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def p1_path_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +84,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.where("record_id is not null").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_path_profile": p1_path_profile, "p2_amounts": p2_amounts, "p2_found": p2_found, "p2_residuals": p2_residuals, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_path_profile": p1_path_profile, "p2_amounts": p2_amounts, "p2_found": p2_found, "p2_residuals": p2_residuals, "p5_found": p5_found}
 ORACLES: dict[str, str] = {}

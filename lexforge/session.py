@@ -32,16 +32,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; one of our own is set only where that is
-    unset, as in tests. The copy survives the loss of executors.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, set first if nobody has."""
     sc = spark.sparkContext
@@ -69,15 +59,15 @@ def read_spread(spark: SparkSession, sf_dir: str, table: str, *columns: str) ->
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, *partition: str) -> DataFrame:
     """Write df as a Parquet table in the shared checkpoint folder and read it back.
 
-    Cuts lineage, survives lost executors, and gives the planner the true size. The folder goes when the
-    driver's JVM ends.
+    Cuts lineage, survives lost executors, and gives the planner the true size. partition: columns that
+    become folders. The folder goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)

@@ -75,3 +75,32 @@ def test_objects_in_place_of_lists(spark):
     tables = nested.group_tables(nested.shred(df, "id", "data"))
     assert set(tables) == {"", "rows", "notes", "notes.items"}
     assert sorted((r["ref_id"], list(r["ordinals"])) for r in tables["notes"].collect()) == [("c", [0]), ("d", [1])]
+
+
+def flat(tables):
+    out = set()
+    for path, t in tables.items():
+        for r in t.collect():
+            d = r.asDict()
+            out.add((path, d.pop("record_id"), d.pop("node"), d.pop("parent_path"), d.pop("parent_node"), tuple(d.pop("ordinals")), tuple(sorted((k, v) for k, v in d.items() if k != "delivery" and v is not None))))
+    return out
+
+
+def test_tables_of_staged_objects(spark):
+    """Links resolve, objects without values are rows too, and every scalar stands in one cell."""
+    deep = {"a": {"only": {"child": {"k": 1}}}, "rows": [{"v": [1, None, "x"], "sub": []}, {}, {"v": "y", "sub": {"w": False}}], "top": "t"}
+    texts = [("r", json.dumps(deep)), ("s", json.dumps([{"top": "u"}, {"rows": json.dumps([{"v": 5}])}])), ("n", "[1, 2]"), ("bad", "{"), ("z", "{}")]
+    df = spark.createDataFrame(texts, "id string, data string")
+    tables = nested.group_tables(nested.stage_objects(nested.objects(df, "id", "data")))
+    rows = flat(tables)
+    keys = {(path, record, node) for path, record, node, *_ in rows}
+    assert len(keys) == len(rows)
+    assert all((parent_path, record, parent) in keys for _, record, _, parent_path, parent, _, _ in rows if parent is not None)
+    assert set(tables) == {"", "a", "a.only", "a.only.child", "rows", "rows.sub"}
+    cells = {(path, record, *c) for path, record, _, _, _, _, fields in rows for c in fields}
+    assert ("rows", "r", "v", '["1",null,"x"]') in cells and ("rows", "s", "v", "5") in cells and ("rows.sub", "r", "w", "false") in cells and ("a.only.child", "r", "k", "1") in cells
+    assert {r[1] for r in rows} == {"r", "s", "z"} and sum(r[0] == "rows" for r in rows) == 4
+    # grouped by a shuffle, objects without values are missing, and ordinals are those of the first value
+    bare = lambda rows: {(*r[:5], r[6]) for r in rows if r[6]}
+    assert bare(flat(nested.group_tables(nested.shred(df.union(df), "id", "data")))) == bare(rows)
+    assert nested.group_tables(nested.objects(df.limit(0), "id", "data")) == {}
