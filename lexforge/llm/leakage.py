@@ -20,7 +20,6 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,19 +46,27 @@ def seed_length(n: int, share: float, one_in: int) -> int:
     return min(runs, default=0) if n else 0
 
 
-def _stabs(positions: list[int], length: int, low: int, high: int) -> int:
-    """Fewest words whose change spoils every seed that lies within [low, high)."""
-    count, last = 0, -1
-    for p in positions:
-        if p >= low and p + length <= high and p > last:
-            count, last = count + 1, p + length - 1
-    return count
-
-
 def certain(positions: list[int], length: int, n: int, share: float, one_in: int) -> bool:
-    """Whether every leaking passage keeps one of the seeds at these (sorted) positions."""
+    """Whether every leaking passage keeps one of the seeds at these (sorted) positions.
+
+    It does if no stretch of the text can have all its seeds spoilt by the changes that it may hold. Fewest
+    changes that spoil a stretch's seeds: one at the end of the first seed, one at that of the next seed
+    behind it, and so on; followed for all starts of stretches at once, in n / one_in steps.
+    """
     least = _least(n, share)
-    return all(_stabs(positions, length, a, a + span) > span // one_in for span in range(least, n + 1) for a in range(n - span + 1))
+    start = np.arange(n - least + 1)
+    following = np.full(n + 1, 2 * n + length)
+    for p in positions:
+        following[p] = p
+    following = np.minimum.accumulate(following[::-1])[::-1]
+    end = start
+    for changes in range(n // one_in + 1):
+        # the shortest stretch that may hold so many changes must hold one seed more
+        span = max(least, changes * one_in)
+        end = following[np.minimum(end, n)] + length
+        if (end[: n - span + 1] > start[: n - span + 1] + span).any():
+            return False
+    return True
 
 
 def choose_seeds(frequency: list[int], length: int, n: int, share: float, one_in: int) -> list[int]:
@@ -144,12 +151,33 @@ def qualifies(item: np.ndarray, window: np.ndarray, share: float, one_in: int) -
     return False
 
 
-def leaks(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], share: float, one_in: int, by_edits: bool = False) -> bool:
-    """Whether doc has a leaking passage at one of the seed hits (item position, document position)."""
+#: Words of the runs that are counted before anything is aligned.
+RUN = 3
+
+
+def runs(words: np.ndarray) -> np.ndarray:
+    """A number for each run of RUN words; word numbers stay below 2^21."""
+    w = words.astype(np.int64)
+    return (w[:-2] << 42) | (w[1:-1] << 21) | w[2:] if len(w) >= RUN else np.zeros(0, np.int64)
+
+
+def fewest_runs(n: int, share: float, one_in: int) -> int:
+    """Runs of the text that any leaking passage keeps: each change spoils RUN of them at most."""
+    return min((span - RUN + 1 - RUN * (span // one_in) for span in range(_least(n, share), n + 1)), default=0)
+
+
+def leaks(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], share: float, one_in: int, by_edits: bool = False, doc_runs: np.ndarray | None = None) -> bool:
+    """Whether doc has a leaking passage at one of the seed hits (item position, document position).
+
+    doc_runs: ``runs(doc)``, where it is at hand.
+    """
     n = len(item)
     least = _least(n, share)
     slack = n // one_in + 1
     ends = -n - slack
+    needed = fewest_runs(n, share, one_in)
+    if needed > 0:
+        mine, doc_runs = runs(item), runs(doc) if doc_runs is None else doc_runs
     for p, q in sorted(hits, key=lambda h: h[1] - h[0]):
         if q - p <= ends:
             continue
@@ -157,74 +185,125 @@ def leaks(item: np.ndarray, doc: np.ndarray, hits: list[tuple[int, int]], share:
         ends = q - p + slack
         low, high = max(0, q - p - slack), min(len(doc), q - p + n + 2 * slack)
         window = doc[low:high]
+        if needed > 0:
+            if np.isin(mine, doc_runs[low : max(low, high - RUN + 1)]).sum() < needed:
+                continue
+        elif np.isin(item, window).sum() < least - least // one_in:
+            continue
         at = q - p - low
         if 0 <= at and at + n <= len(window):
             same = window[at : at + n] == item
             run = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
             if len(run) and (run[1::2] - run[::2]).max() >= least:
                 return True
-        if np.isin(item, window).sum() < least - least // one_in:
-            continue
         # the best alignment decides most cases at once, but may trim or outscore a stretch that qualifies
         if covers(align(item, window), n, share, one_in) or by_edits and qualifies(item, window, share, one_in):
             return True
     return False
 
 
-def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_texts: list[str], share: float = 0.5, one_in: int = 8, max_items: int = 100_000, by_edits: bool = False) -> DataFrame:
+def grams(w: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each run of k words."""
+    h = np.full(max(0, len(w) - k + 1), k, np.uint64)
+    for i in range(k):
+        h = (h ^ w[i : len(w) - k + 1 + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def known_grams(words: np.ndarray, offsets: np.ndarray, known: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, gram), each pair once, of all known grams in documents whose words stand one after another.
+
+    A run with a word that no item has (number 0), or from two documents, is none.
+    """
+    document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    stops = np.concatenate(([0], np.cumsum(words == 0)))
+    found = []
+    for k, mine in known.items():
+        if len(words) < k:
+            continue
+        at = np.flatnonzero((stops[k:] == stops[:-k]) & (document[: len(document) - k + 1] == document[k - 1 :]))
+        g = np.full(len(at), k, np.uint64)
+        for i in range(k):
+            g = (g ^ words[at + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            g ^= g >> np.uint64(29)
+        met = mine[np.minimum(np.searchsorted(mine, g), len(mine) - 1)] == g
+        found.append((document[at[met]], g[met]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    d, g = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((g, d))
+    d, g = d[order], g[order]
+    first = np.r_[True, (d[1:] != d[:-1]) | (g[1:] != g[:-1])] if len(d) else np.zeros(0, bool)
+    return d[first], g[first]
+
+
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_texts: list[str], share: float = 0.5, one_in: int = 8, max_items: int = 100_000, by_edits: bool = False, max_chars: int = 1 << 24) -> DataFrame:
     """(doc_id, item_id) of every document that leaks an item.
 
-    items is the held-out set: it is collected to the driver, and more than max_items rows are refused.
-    What leaves the corpus is bounded by it: one count for each n-gram of the items. by_edits also finds
-    passages that qualify by edit distance but not on the best local alignment.
+    items is the held-out set. It is taken in blocks of about max_items rows and max_chars characters, each
+    block against all documents, so what the driver holds and broadcasts is bounded whatever the set's
+    size: one block's texts, and one count for each of its n-grams. by_edits also finds passages that
+    qualify by edit distance but not on the best local alignment.
     """
-    held = items.select(item_id, *item_texts).distinct().limit(max_items + 1).collect()
-    if len(held) > max_items:
-        raise ValueError(f"more than {max_items} items")
+    if max_items < 1 or max_chars < 1:
+        raise ValueError("a block holds at least one item")
+    held = items.select(F.col(item_id).alias("id"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(item_texts)]).where("id is not null").distinct()
+    n, chars = held.agg(F.count("*"), F.sum(sum((F.coalesce(F.char_length(c), F.lit(0)) for c in held.columns[1:]), F.lit(0)))).first()
+    blocks = max(1, -(-n // max_items), -(-(chars or 0) // max_chars))
+    out = None
+    for block in range(blocks):
+        mine = held if blocks == 1 else held.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        pairs = _leaks_of(docs, doc_id, text, mine.collect(), share, one_in, by_edits)
+        if pairs is not None:
+            pairs = pairs if blocks == 1 else stage(pairs, "leaks")
+            out = pairs if out is None else out.unionByName(pairs)
+    kinds = docs.schema[doc_id].dataType, items.schema[item_id].dataType
+    if out is None:
+        return docs.select(F.col(doc_id), F.lit(None).cast(kinds[1]).alias(item_id)).limit(0)
+    return out.select(F.col("doc").cast(kinds[0]).alias(doc_id), F.col("item").cast(kinds[1]).alias(item_id)).distinct()
+
+
+def _leaks_of(docs: DataFrame, doc_id: str, text: str, held: list, share: float, one_in: int, by_edits: bool) -> DataFrame | None:
+    """(doc, item), both as strings, for the items of one block."""
     vocabulary: dict[str, int] = {}
-    texts: list[tuple[int, np.ndarray, int]] = []  # (item, word numbers, seed length)
+    texts: list[tuple[str, np.ndarray, int]] = []  # (item, word numbers, seed length)
     for row in held:
         for t in dict.fromkeys(x for x in row[1:] if x):
             w = words_of(t)
-            if row[0] is not None and (k := seed_length(len(w), share, one_in)):
-                texts.append((row[0], np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int64), k))
-    lengths = sorted({k for *_, k in texts})
-
-    def grams(w: np.ndarray, k: int) -> np.ndarray:
-        """A 64-bit hash of each run of k words; runs with a word that no item has are marked by -1 before."""
-        h = np.full(max(0, len(w) - k + 1), k, np.uint64)
-        for i in range(k):
-            h = (h ^ w[i : len(w) - k + 1 + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return h
-
-    known = {k: np.unique(np.concatenate([grams(w, k) for _, w, j in texts if j == k])) for k in lengths}
+            if k := seed_length(len(w), share, one_in):
+                texts.append((str(row[0]), np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int64), k))
+    if not texts:
+        return None
+    if len(vocabulary) >= 1 << 21:
+        raise ValueError("too many different words in one block of items: lower max_chars")
+    known = {k: np.unique(np.concatenate([grams(w, k) for _, w, j in texts if j == k])) for k in sorted({k for *_, k in texts})}
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vocabulary, known))
     schema = pa.schema([("doc", pa.string()), ("words", pa.list_(pa.int32())), ("hits", pa.list_(pa.int64()))])
 
     def seek(batches):
         vocabulary, known = shared.value
+        number = vocabulary.get
         for b in batches:
-            out = ([], [], [])
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = np.array([vocabulary.get(x, 0) for x in words_of(t)], np.int32)
-                hits = []
-                for k, mine in known.items():
-                    if len(w) >= k:
-                        g = grams(w, k)
-                        at = np.minimum(np.searchsorted(mine, g), len(mine) - 1)
-                        hits.append(g[mine[at] == g])
-                hits = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.uint64)
-                if len(hits):
-                    for column, value in zip(out, (d, w, hits.view(np.int64))):
-                        column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+            ids, numbers, size = [], [], 0
+            for i, (d, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                ids.append(d)
+                numbers.append(np.array([number(x, 0) for x in words_of(t)], np.int32))
+                size += len(numbers[-1])
+                if size < 500_000 and i + 1 < b.num_rows:
+                    continue
+                # enough words for one pass over arrays
+                at, hits = known_grams(np.concatenate(numbers), np.cumsum([0, *map(len, numbers)]), known)
+                met, starts = np.unique(at, return_index=True)
+                if len(met):
+                    kept = [numbers[j] for j in met]
+                    words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]), pa.int32()), pa.array(np.concatenate(kept)))
+                    lists = pa.ListArray.from_arrays(pa.array([*starts, len(hits)], pa.int32()), pa.array(hits.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in met], pa.string()), words, lists], schema=schema)
+                ids, numbers, size = [], [], 0
 
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("string"), F.col(text))
-    if not texts:
-        return rows.select(F.col(doc_id).cast(docs.schema[doc_id].dataType).alias(doc_id), F.lit(None).cast(items.schema[item_id].dataType).alias(item_id)).limit(0)
     met = stage(rows.mapInArrow(seek, "doc string, words array<int>, hits array<long>"), "seeds")
     counted = met.select(F.explode("hits").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()
     frequency = {r[0] & (2**64 - 1): r[1] for r in counted}
@@ -233,29 +312,36 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
         g = grams(w, k).tolist()
         for p in choose_seeds([frequency.get(x, 0) for x in g], k, len(w), share, one_in):
             seeds.setdefault(k, {}).setdefault(g[p], []).append((index, p))
-    plan = spark.sparkContext.broadcast((texts, seeds))
+    # sorted, to be sought in arrays
+    tables = {k: (np.array(sorted(mine), np.uint64), [mine[g] for g in sorted(mine)]) for k, mine in seeds.items()}
+    plan = spark.sparkContext.broadcast((texts, tables))
     found = pa.schema([("doc", pa.string()), ("item", pa.string())])
 
     def verify(batches):
-        texts, seeds = plan.value
+        texts, tables = plan.value
         for b in batches:
             out = ([], [])
             for d, w in zip(b.column(0).to_pylist(), b.column(1)):
-                w = w.values.to_numpy().astype(np.int64)
+                w = w.values.to_numpy()
                 hits: dict[int, list[tuple[int, int]]] = {}
-                for k, mine in seeds.items():
-                    for q, g in enumerate(grams(w, k).tolist()):
-                        for index, p in mine.get(g, ()):
+                for k, (mine, entries) in tables.items():
+                    g = grams(w, k)
+                    if not len(g):
+                        continue
+                    at = np.minimum(np.searchsorted(mine, g), len(mine) - 1)
+                    places = np.flatnonzero(mine[at] == g)
+                    for q, e in zip(places.tolist(), at[places].tolist()):
+                        for index, p in entries[e]:
                             hits.setdefault(index, []).append((p, q))
                 done = set()
+                doc_runs = runs(w) if hits else None
                 for index, at in hits.items():
                     item, words, _ = texts[index]
-                    if item not in done and leaks(words, w, at, share, one_in, by_edits):
+                    if item not in done and leaks(words, w, at, share, one_in, by_edits, doc_runs):
                         done.add(item)
                         out[0].append(d)
-                        out[1].append(str(item))
+                        out[1].append(item)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], schema=found)
 
-    pairs = met.select("doc", "words").mapInArrow(verify, "doc string, item string")
-    return pairs.select(F.col("doc").cast(docs.schema[doc_id].dataType).alias(doc_id), F.col("item").cast(items.schema[item_id].dataType).alias(item_id)).distinct()
+    return met.select("doc", "words").mapInArrow(verify, "doc string, item string")

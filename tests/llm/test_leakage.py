@@ -104,3 +104,71 @@ def test_verification_equals_edit_distance():
         assert L.leaks(item, np.array(doc), hits, 0.5, 8, by_edits=True) == want, doc
         seen.add(want)
     assert seen == {True, False}
+
+
+def exact(item, doc, share=0.5, one_in=8):
+    """Whether some stretch of item stands in doc with few enough edits, by plain edit distances."""
+    least = -int(-len(item) * share // 1)
+    for a in range(len(item) - least + 1):
+        row = [0] * (len(doc) + 1)
+        for i, x in enumerate(item[a:], 1):
+            last, row = row, [i]
+            for j, y in enumerate(doc, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            if i >= least and min(row) * one_in <= i:
+                return True
+    return False
+
+
+@pytest.mark.parametrize("size", [15, 60, 1000])
+def test_borderline_passages_are_complete(spark, size):
+    """Passages of just enough words with just as many edits as allowed, or one more, also in the last words."""
+    r = random.Random(size)
+    vocabulary = [f"v{i}" for i in range(size)]
+    items = [(i, " ".join(r.choices(vocabulary, k=r.randint(8, 30)))) for i in range(60)]
+    docs, source = [], {}
+    for d in range(400):
+        i, t = r.choice(items)
+        words = t.split()
+        least = -(-len(words) // 2)
+        span = min(len(words), least + r.choice([0, 0, 0, 1, 4]))
+        start = r.randint(0, len(words) - span)
+        passage = words[start : start + span]
+        for _ in range(span // 8 + r.choice([-1, 0, 0, 0, 1])):
+            at = r.choice([r.randrange(len(passage)), max(0, len(passage) - r.randint(1, 4)), r.randrange(min(4, len(passage)))])
+            passage[at : at + 1] = r.choice([[], ["x"], [r.choice(vocabulary)], [passage[at], "y"]])
+        docs.append((d, " ".join([*r.choices(vocabulary, k=r.randint(0, 6)), *passage, *r.choices(vocabulary, k=r.randint(0, 6))])))
+        source[d] = i
+    by_id = dict(items)
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, a string")
+    planted = {(d, i) for d, i in source.items() if exact(by_id[i].split(), docs[d][1].split())}
+    for blocks in ({}, {"max_items": 25, "max_chars": 1000}):
+        found = {tuple(x) for x in L.find_leaks(df, "doc_id", "text", it, "item_id", ["a"], by_edits=True, **blocks).collect()}
+        assert planted <= found and len(planted) > 100 and len(planted) < 400
+        assert all(exact(by_id[i].split(), docs[d][1].split()) for d, i in found)
+
+
+def test_seed_choice_equals_the_definition():
+    def spoilt(positions, length, low, high):
+        count, last = 0, -1
+        for p in positions:
+            if p >= low and p + length <= high and p > last:
+                count, last = count + 1, p + length - 1
+        return count
+
+    r = random.Random(3)
+    for _ in range(200):
+        n = r.randint(1, 40)
+        k = L.seed_length(n, 0.5, 8)
+        positions = sorted(r.sample(range(n - k + 1), r.randint(0, n - k + 1)))
+        least = -(-n // 2)
+        want = all(spoilt(positions, k, a, a + span) > span // 8 for span in range(least, n + 1) for a in range(n - span + 1))
+        assert L.certain(positions, k, n, 0.5, 8) == want
+
+
+def test_long_items_choose_quickly():
+    n = 10_000
+    k = L.seed_length(n, 0.5, 8)
+    r = random.Random(1)
+    chosen = L.choose_seeds([r.randrange(50) for _ in range(n - k + 1)], k, n, 0.5, 8)
+    assert L.certain(chosen, k, n, 0.5, 8)
