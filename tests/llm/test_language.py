@@ -73,3 +73,29 @@ def test_labels(spark):
 def test_train_without_labels(spark):
     df = spark.createDataFrame([(1, "some text", None)], "id long, body string, label string")
     assert G.train(df, "id", "body", "label") == {} and os.path.exists(G.__file__)
+
+
+def test_short_sentences_are_joined_with_their_neighbours(spark, model):
+    short = {"en": "The nurse reads.", "de": "Ein Arzt liest.", "fr": "Un médecin lit.", "it": "Un medico legge."}
+    rows = [(lang, " ".join([s] * 50)) for lang, s in short.items()]
+    rows += [("list", "- the old sister\n- before the next visit\n- these simple rules\n- morning treatment"), ("digits", "1. 2. 3. " * 30), ("lone", "Zq xw."), ("heading", "Overdosage"), ("none", " \n\n ")]
+    df = spark.createDataFrame(rows, "id string, body string")
+    by = {x["id"]: x for x in G.identify(df, "id", "body", model).collect()}
+    for lang in short:
+        assert by[lang]["language"] == lang, lang
+        assert sum(s["end_char"] - s["start_char"] for s in by[lang]["segments"]) > 600
+    assert by["list"]["language"] == "en"
+    assert by["digits"]["segments"] == by["heading"]["segments"] == by["none"]["segments"] == []
+    # too short to be judged: rejected, not lost
+    assert by["lone"]["language"] is None and [(s["seg_lang"], s["start_char"], s["end_char"]) for s in by["lone"]["segments"]] == [(None, 0, 6)]
+    assert G.mislabelled(G.identify(df, "id", "body", model).withColumn("l", F.lit(None).cast("string")), "id", "l").where("seg_lang is null").count() == 0
+
+
+def test_batches_of_sentences_agree_with_single_ones(model):
+    r = random.Random(9)
+    models = G.compressors(model)
+    pieces = [sentence(r, r.choice(list(PARTS))) for _ in range(200)]
+    sizes = [[len(m.compress(p.lower().encode())) for m in models.values()] for p in pieces]
+    best, gaps = G.judge(pieces, models)
+    assert [s.index(min(s)) for s in sizes] == best.tolist()
+    assert all(abs(g - (sorted(s)[1] - min(s)) / sorted(s)[1]) < 1e-12 for g, s in zip(gaps, sizes))
