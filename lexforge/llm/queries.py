@@ -42,6 +42,11 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(both, "class_id", "left").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links between classes of equal statements, each once; p4_classes has the members."""
+    return _statements(spark, sf_dir)[1]
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a passage of an evaluation case."""
     return leakage.find_leaks(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", read(spark, sf_dir, "eval_cases"), "item_id", ["target_text", "candidate_text"], by_edits=True)
@@ -81,7 +86,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _identified(spark, sf_dir).select("doc_id", F.posexplode("segments").alias("segment_no", "s")).select("doc_id", "segment_no", "s.*")
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_classes": p4_classes, "p6_found": p6_found, "p7_uses": p7_uses, "p7_shares": p7_shares, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_classes": p4_classes, "p4_links": p4_links, "p6_found": p6_found, "p7_uses": p7_uses, "p7_shares": p7_shares, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 ORACLES = {
     "p3_found": """
         select distinct record_id from (
