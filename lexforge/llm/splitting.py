@@ -6,8 +6,9 @@ the pieces around it. Pieces after the first begin ``overlap`` characters before
 
 Defined results: null texts or ids give no row; empty texts and texts within their limit are one piece; a
 kind that is null or blank means ``default_kind``, a kind without a limit is never split; where there is
-no natural boundary the landmark, else the limit, is the cut, never before a combining mark. An overlap
-of half the limit or more is taken as just under half. Sizes are Unicode code points. Repeated rows give
+no natural boundary the landmark, else the limit, is the cut, never before a combining mark. Limits whose
+overlap is half of them or more cannot be kept by pieces that only overlap their neighbours: they are
+refused (``cuts`` alone takes just under half). Sizes are Unicode code points. Repeated rows give
 repeated pieces.
 """
 
@@ -88,7 +89,7 @@ def split_oversized(df: DataFrame, record_id: str, text: str, limits: DataFrame,
     """Ordered pieces (columns of PIECES) of every row's text.
 
     kind: a column or expression that names the row's kind; limits (record_kind, max_chars,
-    overlap_chars) is a small table, of which the least limit counts where a kind stands twice. Texts
+    overlap_chars) is a reference table, of which the least limit counts where a kind stands twice. Texts
     within their limit never leave the JVM; with keep_whole=False they are left out.
     """
     kind = F.lower(F.trim(kind if not isinstance(kind, str) else F.col(kind)))
@@ -97,15 +98,25 @@ def split_oversized(df: DataFrame, record_id: str, text: str, limits: DataFrame,
     named = F.when(F.col(record_id).isNotNull(), named)
     rows = df.select(named.alias("record_kind"), F.col(record_id).cast("string").alias("record_id"), F.col(text).alias("text")).where("record_id is not null and text is not null")
     bounds = limits.where("max_chars is not null").groupBy(F.lower(F.trim("record_kind")).alias("record_kind")).agg(F.min(F.struct("max_chars", "overlap_chars")).alias("b"))
+    if (wide := bounds.where("b.max_chars > 0 and 2 * b.overlap_chars >= b.max_chars").first()) is not None:
+        raise ValueError(f"an overlap of half the limit or more: {wide[0]}")
     rows = rows.join(broadcast_if_small(bounds), "record_kind", "left").withColumn("n", F.char_length("text"))
     over = rows.where("n > b.max_chars").select("record_kind", "record_id", "text", "b.max_chars", F.coalesce("b.overlap_chars", F.lit(0)).alias("overlap_chars"))
     schema = pa.schema([("record_kind", pa.string()), ("record_id", pa.string()), ("piece_no", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("piece", pa.string())])
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     def run(batches):
         for b in batches:
+            rows: list[tuple] = []
             for k, rid, t, limit, overlap in zip(*(b.column(i).to_pylist() for i in range(5))):
-                rows = [(k, rid, i, a, e, t[a:e]) for i, (a, e) in enumerate(cuts(t, limit, overlap))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows += [(k, rid, i, a, e, t[a:e]) for i, (a, e) in enumerate(cuts(t, limit, overlap))]
+                if len(rows) > 5_000:
+                    yield table(rows)
+                    rows = []
+            if rows:
+                yield table(rows)
 
     pieces = over.mapInArrow(run, PIECES)
     if not keep_whole:

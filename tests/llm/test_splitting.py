@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lexforge.llm import splitting
@@ -58,3 +61,23 @@ def test_table(spark):
     only = splitting.split_oversized(df, "id", "text", limits, "kind", keep_whole=False)
     assert {r[0] for r in only.select("record_id").distinct().collect()} == {"a", "b", "f"}
     assert splitting.split_oversized(df.limit(0), "id", "text", limits, F.lit("paragraph")).count() == 0
+
+
+def test_impossible_overlaps_are_refused(spark):
+    df = spark.createDataFrame([("a", "x " * 99)], "id string, text string")
+    limits = lambda overlap: spark.createDataFrame([("paragraph", 40, overlap)], "record_kind string, max_chars int, overlap_chars int")
+    assert splitting.split_oversized(df, "id", "text", limits(19), F.lit("paragraph")).count() > 5
+    with pytest.raises(ValueError):
+        splitting.split_oversized(df, "id", "text", limits(20), F.lit("paragraph"))
+
+
+def test_edits_stay_local_in_many_texts():
+    r = random.Random(4)
+    worst = total = 0
+    for n in range(40):
+        text = "".join(f"{''.join(r.choices('abcdefgh ', k=r.randint(20, 120)))}{r.choice(['. ', '.\n', ';', '. '])}" for _ in range(150))
+        at = r.randrange(len(text))
+        changed = text[:at] + " An inserted remark. " + text[at:]
+        before, after = ({t[a:b] for a, b in splitting.cuts(t, 400, 40)} for t in (text, changed))
+        worst, total = max(worst, len(before - after)), total + len(before - after)
+    assert worst <= 8 and total / 40 < 3
