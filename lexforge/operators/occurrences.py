@@ -3,9 +3,11 @@
 exact (the phrase stands in the text), normalized (its normal form does), structured (same drug and same
 dose or route), semantic (hash-embedding cosine). Texts that name another drug are no occurrences.
 
-Phrases are a stated, bounded set and travel to the rows. Defined results: null texts, texts under 5 and
-phrases under 3 characters have none; equal beginnings of 60 characters within one section of one document
-count once, by the first of them in ``order``. Without a document column every row is a document.
+Phrases are a stated, bounded set and travel to the rows. Facts are read only from texts that may match.
+
+Defined results: null texts, texts under 5 and phrases under 3 characters have none; equal beginnings of
+``snippet`` characters (None: equal texts) within one section of one document count once, by the first of
+them in ``order``. Without a document column every row is a document.
 """
 
 from __future__ import annotations
@@ -15,32 +17,40 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as K
 from ..functions import text as X
+from ..session import broadcast_if_small, stage
 from . import search
 
 SEMANTIC = 0.55
+# Fixed value: characters of a text by which occurrences within one section are told apart.
+SNIPPET = 60
 
 
-def find_occurrences(rows: DataFrame, row_id: str, section: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str, threshold: float = SEMANTIC, document: str | None = None, order: str | None = None) -> DataFrame:
+def find_occurrences(rows: DataFrame, row_id: str, section: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str, threshold: float = SEMANTIC, document: str | None = None, order: str | None = None, snippet: int | None = SNIPPET) -> DataFrame:
     """(phrase_id, row_id, section, layer, relevance, similarity) of every occurrence.
 
     document names the column within which equal beginnings count once, order the one that ranks its rows.
     """
     held = search.collect_queries(phrases.select(phrase_id, phrase).where(F.length(F.trim(phrase)) >= 3))
     facts = ("drug", "dose", "route")
-    known = [c for c in K.key_information(F.col("p"))]
     spark = rows.sparkSession
-    table = spark.createDataFrame([(int(r[0]), r[1].strip()) for r in held], "phrase_id long, p string").select("phrase_id", "p", X.conservative(F.col("p")).alias("norm"), *known)
+    table = spark.createDataFrame([(int(r[0]), r[1].strip()) for r in held], "phrase_id long, p string").select("phrase_id", "p", X.conservative(F.col("p")).alias("norm"), *K.key_information(F.col("p")))
     asked = table.collect()  # as many rows as phrases
-    block = F.array(*[F.struct(F.lit(r["phrase_id"]).alias("id"), F.lit(r["p"]).alias("p"), F.lit(r["norm"]).alias("norm"), *[F.lit(r[f]).cast("string").alias(f) for f in facts]) for r in asked]) if asked else None
     sections = rows.where(F.col(row_id).isNotNull() & (F.length(F.trim(F.col(text))) >= 5)).select(F.col(row_id).alias("row_id"), F.coalesce(section, F.lit("Unspecified Section")).alias("section"), F.col(text).alias("t"), F.col(document or row_id).alias("document"), F.col(order or row_id).alias("o"))
-    if block is None:
+    if not asked:
         return sections.select(F.lit(None).cast("long").alias("phrase_id"), "row_id", "section", F.lit(None).cast("string").alias("layer"), F.lit(None).cast("string").alias("relevance"), F.lit(None).cast("double").alias("similarity")).limit(0)
-    near = search.cosine_top_k(sections.select(F.xxhash64("t").alias("h"), "t").distinct(), "h", "t", table.select("phrase_id", "p"), "phrase_id", "p", k=2**31 - 1, threshold=threshold)
-    # only the facts asked for are left to compute
-    staged = sections.select("*", X.conservative(F.col("t")).alias("norm"), F.xxhash64("t").alias("h"), *K.key_information(F.col("t"))).select(*sections.columns, "norm", "h", F.struct(*facts).alias("k"))
-    pairs = staged.withColumn("q", F.explode(block)).withColumn("phrase_id", F.col("q.id"))
-    pairs = pairs.join(near.select("phrase_id", "h", "similarity"), ["phrase_id", "h"], "left")
+    sections = sections.withColumn("h", F.xxhash64("t"))
+    block = F.array(*[F.struct(F.lit(r["phrase_id"]).alias("id"), F.lit(r["p"]).alias("p"), F.lit(r["norm"]).alias("norm"), *[F.lit(r[f]).cast("string").alias(f) for f in facts]) for r in asked])
     low = lambda c: F.lower(F.trim(c))
+    # whatever names the phrase's drug may match by its facts; the rest must hold the phrase or be near it
+    may = lambda q: F.contains(F.col("t"), q["p"]) | F.contains(F.col("norm"), q["norm"]) | F.coalesce(F.contains(F.lower("t"), low(q["drug"])), F.lit(False))
+    texts = sections.withColumn("norm", X.conservative(F.col("t")))
+    direct = texts.withColumn("q", F.explode(F.filter(block, may)))
+    near = stage(search.cosine_near(sections.select("h", "t"), "h", "t", table.select("phrase_id", "p"), "phrase_id", "p", threshold).distinct(), "near")
+    by_id = F.map_from_entries(F.transform(block, lambda q: F.struct(q["id"], q)))
+    alike = texts.join(broadcast_if_small(near.select("h", "phrase_id")), "h").withColumn("q", F.element_at(by_id, F.col("phrase_id"))).drop("phrase_id")
+    # a pair found both ways once: staged, so that facts are read from few texts
+    pairs = stage(direct.unionByName(alike).distinct(), "pairs").withColumn("phrase_id", F.col("q.id"))
+    pairs = pairs.join(broadcast_if_small(near), ["phrase_id", "h"], "left").withColumn("k", F.struct(*[c for c in K.key_information(F.col("t"))]))
     a, b = low(F.col("q.drug")), low(F.col("k.drug"))
     conflict = F.coalesce((a != b) & ~F.contains(a, b) & ~F.contains(b, a), F.lit(False))
     same = lambda f: F.coalesce(low(F.col(f"q.{f}")) == low(F.col(f"k.{f}")), F.lit(False))
@@ -51,5 +61,6 @@ def find_occurrences(rows: DataFrame, row_id: str, section: str, text: str, phra
         .when(F.col("similarity").isNotNull(), "semantic_match")
     )
     found = pairs.where(~conflict).withColumn("layer", layer).where("layer is not null")
-    first = found.groupBy("phrase_id", "document", "section", F.left("t", F.lit(60)).alias("snippet")).agg(F.min(F.struct("o", "row_id", "layer", "similarity")).alias("x"))
+    opening = F.col("t") if snippet is None else F.left("t", F.lit(snippet))
+    first = found.groupBy("phrase_id", "document", "section", F.md5(opening).alias("snippet")).agg(F.min(F.struct("o", "row_id", "layer", "similarity")).alias("x"))
     return first.select("phrase_id", "x.row_id", "section", "x.layer", F.when(F.col("x.layer").isin("exact_match", "normalized_match"), "DIRECT").otherwise("INDIRECT").alias("relevance"), "x.similarity")

@@ -1,8 +1,8 @@
 """Retrieval: lexical scores, hash-embedding and dense cosine top-k for a set of queries against all rows.
 
-Queries are a stated, bounded set (``max_queries`` rows at most): they travel to the rows, in blocks,
-and each task keeps its own best k before the best of all are taken. No join is involved and the rows
-are never shuffled.
+Queries are a stated set: they travel to the rows in blocks of bounded size, and each task keeps its own
+best k before the best of all are taken, so of the scored pairs only these are shuffled. Word overlap goes
+through an inverted index of the queries: a row meets the queries that share a word with it.
 
 Defined results: null texts score nothing; ties are ordered by the row's id; an empty query set gives no
 rows; a blank query, section or target leaves its terms out, and with none of them every row scores 1.
@@ -11,6 +11,8 @@ rows; a blank query, section or target leaves its terms out, and with none of th
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +28,36 @@ DIMENSIONS = 256
 FALLBACK_SCORE = 0.30
 
 
-def collect_queries(queries: DataFrame, max_queries: int = 10_000) -> list:
+#: Queries that meet the rows at a time.
+BLOCK = 10_000
+
+
+def collect_queries(queries: DataFrame, max_queries: int | None = None) -> list:
+    """The query set; more than max_queries rows, if that is given, are refused."""
+    if max_queries is None:
+        return queries.collect()
     rows = queries.limit(max_queries + 1).collect()
     if len(rows) > max_queries:
         raise ValueError(f"more than {max_queries} queries")
     return rows
 
 
+def in_blocks(queries: DataFrame, query_id: str, search: Callable[[DataFrame], DataFrame], size: int = BLOCK) -> DataFrame:
+    """search(queries), block by block where there are more than size: what the driver holds stays bounded."""
+    blocks = max(1, -(-queries.count() // size))
+    if blocks == 1:
+        return search(queries)
+    parts = [search(queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i)) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_k(scored: DataFrame, query: str, score: Column, tie: str, k: int) -> DataFrame:
-    """The best k rows of each query with their rank; limited within each task first."""
+    """The best k rows of each query with their rank; limited within each task first.
+
+    Repeated (score, tie) count once: they share a rank, so nothing has to be deduplicated before.
+    """
     order = Window.partitionBy(query).orderBy(score.desc(), F.col(tie))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).distinct()
 
 
 def excluded(query_document: Column, query_fingerprint: Column, query_content: Column, document: Column, fingerprint: Column, content: Column) -> Column:
@@ -45,13 +66,16 @@ def excluded(query_document: Column, query_fingerprint: Column, query_content: C
     return same(query_document, document) | same(query_fingerprint, fingerprint) | same(query_content, content)
 
 
-def lexical_search(items: DataFrame, queries: DataFrame, item_id: str = "content_id", k: int = 10, max_queries: int = 10_000) -> DataFrame:
+def lexical_search(items: DataFrame, queries: DataFrame, item_id: str = "content_id", k: int = 10, max_queries: int | None = None) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best items for each query.
 
     queries has query_id, query, section and target_text. The score adds 4 for the query in the text, 5, 3
     and 3 in drug, product and indication, 1.5 for each shared word, 3 times the overlap with the target,
     and 2.5 for an aligned section.
     """
+    if max_queries is None:
+        # these queries become part of the plan, so blocks are small
+        return in_blocks(queries, "query_id", lambda q: lexical_search(items, q, item_id, k, BLOCK), 500)
     rows = collect_queries(queries.select("query_id", "query", "section", "target_text"), max_queries)
     texts = items.where(F.col("text").isNotNull()).select(F.col(item_id).alias("item_id"), "drug", "product", "indication", "section", "subsection", F.lower("text").alias("low"))
     pairs = texts.withColumn("words", X.words3(F.col("low"))).withColumn("q", F.explode(_literal_block(rows)))
@@ -69,20 +93,51 @@ def lexical_search(items: DataFrame, queries: DataFrame, item_id: str = "content
         + points(placed & (F.contains(sec, q("section")) | F.contains(q("section"), sec) | F.contains(sub, q("section"))), 2.5)
         + points(~asked & ~aimed & ~placed, 1.0)
     )
-    scored = pairs.select(q("query_id").alias("query_id"), "item_id", score.alias("score")).where("score > 0").distinct()
+    scored = pairs.select(q("query_id").alias("query_id"), "item_id", score.alias("score")).where("score > 0")
     return top_k(scored, "query_id", F.col("score"), "item_id", k).select("query_id", F.col("item_id").alias(item_id), "score", "rank")
 
 
-def jaccard_top_k(rows: DataFrame, row_id: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int = TOP_K, max_queries: int = 10_000) -> DataFrame:
-    """(query, row, score, rank) by overlap of content words, rounded to 4 digits; pairs without overlap are left out."""
-    held = collect_queries(queries.select(query_id, query_text).where(F.col(query_text).isNotNull()), max_queries)
+def jaccard_top_k(rows: DataFrame, row_id: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int = TOP_K, block: int = BLOCK) -> DataFrame:
+    """(query, row, score, rank) by overlap of content words, rounded to 4 digits; pairs without overlap are left out.
+
+    The queries' inverted index travels to the rows; a row looks its words up, counts those it shares with
+    each query, and only each task's best rows move.
+    """
+    return in_blocks(queries, query_id, lambda q: _jaccard_block(rows, row_id, text, q, query_id, query_text, k), block)
+
+
+def _jaccard_block(rows: DataFrame, row_id: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int) -> DataFrame:
+    held = collect_queries(queries.select(query_id, query_text).where(F.col(query_id).isNotNull() & F.col(query_text).isNotNull()).distinct())
+    kinds = dict(queries.dtypes)[query_id], dict(rows.dtypes)[row_id]
     stop = set(X.STOP_WORDS)
-    block = [F.struct(F.lit(r[0]).cast("long").alias("id"), F.array(*[F.lit(w) for w in _words(r[1].lower()) if w not in stop]).cast("array<string>").alias("w")) for r in held]
-    given = rows.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("row"), X.content_words(F.col(text)).alias("words"))
-    pairs = given.withColumn("q", F.explode(F.array(*block) if block else F.array().cast("array<struct<id:bigint,w:array<string>>>")))
-    overlap = X.jaccard(F.col("q.w"), F.col("words"))
-    scored = pairs.select(F.col("q.id").alias("query"), "row", F.bround(overlap, 4).alias("score")).where("score > 0").distinct()
-    return top_k(scored, "query", F.col("score"), "row", k).select(F.col("query").alias(query_id), F.col("row").alias(row_id), "score", "rank")
+    sizes: list[int] = []
+    index: dict[str, list[int]] = {}
+    for i, r in enumerate(held):
+        words = [w for w in _words(r[1].lower()) if w not in stop]
+        sizes.append(len(words))
+        for w in words:
+            index.setdefault(w, []).append(i)
+    shared = rows.sparkSession.sparkContext.broadcast((index, np.array(sizes, np.int64), [str(r[0]) for r in held]))
+    schema = pa.schema([("query", pa.string()), ("row", pa.string()), ("score", pa.float64())])
+
+    def run(batches):
+        index, sizes, ids = shared.value
+        for b in batches:
+            out: list[tuple] = []
+            for row, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                places = [i for w in words for i in index.get(w, ())]
+                if places:
+                    met, n = np.unique(places, return_counts=True)
+                    out += [(ids[i], row, s) for i, s in zip(met.tolist(), (n / (sizes[met] + len(words) - n)).tolist())]
+                if len(out) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    given = rows.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).cast("string"), X.content_words(F.col(text)))
+    scored = given.mapInArrow(run, "query string, row string, score double").select(F.col("query").cast(kinds[0]).alias(query_id), F.col("row").cast(kinds[1]).alias(row_id), F.bround("score", 4).alias("score"))
+    return top_k(scored.where("score > 0"), query_id, F.col("score"), row_id, k).select(query_id, row_id, "score", "rank")
 
 
 # Fixed value: what a section heading, as opposed to a drug's name, begins with.
@@ -133,13 +188,25 @@ def embed(texts: list[str | None], places: dict[str, tuple[int, float]]) -> np.n
     return np.divide(out, norm, out=out, where=norm > 1e-9)
 
 
-def cosine_top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int = TOP_K, threshold: float = THRESHOLD, match: tuple[str, str] | None = None, max_queries: int = 10_000) -> DataFrame:
+def cosine_top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int = TOP_K, threshold: float = THRESHOLD, match: tuple[str, str] | None = None, block: int = BLOCK) -> DataFrame:
     """(query, row, similarity, rank): the k nearest rows of each query by cosine, rounded to 4 digits.
 
     vector columns hold text (hash embeddings) or arrays of numbers; match names a column of rows and one
     of queries that must be equal without case. Rows meet the query matrix batch by batch.
     """
-    held = collect_queries(queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("v"), (F.lower(F.col(match[1]).cast("string")) if match else F.lit("")).alias("m")), max_queries)
+    near = in_blocks(queries, query_id, lambda q: _near(rows, row_id, vector, q, query_id, query_vector, threshold, match, k), block)
+    return top_k(near, "query", F.col("similarity"), "row", k).select(F.col("query").alias(query_id), F.col("row").alias(row_id), "similarity", "rank")
+
+
+def cosine_near(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, threshold: float, match: tuple[str, str] | None = None) -> DataFrame:
+    """(query, row, similarity) of all rows within the threshold of a query: no ranking, nothing is held or shuffled."""
+    near = in_blocks(queries, query_id, lambda q: _near(rows, row_id, vector, q, query_id, query_vector, threshold, match, None))
+    return near.select(F.col("query").alias(query_id), F.col("row").alias(row_id), "similarity")
+
+
+def _near(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, threshold: float, match: tuple[str, str] | None, k: int | None) -> DataFrame:
+    """(query, row, similarity) from the threshold on; with k, each task keeps its best k rows of each query."""
+    held = collect_queries(queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("v"), (F.lower(F.col(match[1]).cast("string")) if match else F.lit("")).alias("m")))
     textual = dict(rows.dtypes)[vector] == "string"
     matrix = (embed([r[1] for r in held], {}) if textual else np.array([r[1] for r in held], float)) if held else np.zeros((0, DIMENSIONS))
     keys = np.array([r[2] or "" for r in held], object)
@@ -147,6 +214,9 @@ def cosine_top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame,
     shared = rows.sparkSession.sparkContext.broadcast((matrix, keys, ids))
     schema = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("similarity", pa.float64())])
 
+    def table(columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
     def run(batches):
         matrix, keys, ids = shared.value
         places: dict = {}
@@ -161,20 +231,25 @@ def cosine_top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame,
                 v = embed(b.column(1).to_pylist(), places)
             else:
                 v = np.array([x if x is not None else np.zeros(matrix.shape[1]) for x in b.column(1).to_numpy(zero_copy_only=False)], float)
-            sim = np.round(np.clip(v @ matrix.T, 0.0, 1.0), 12)
-            if match:
-                sim = np.where(np.array([x or "" for x in b.column(2).to_pylist()], object)[:, None] == keys[None, :], sim, -1.0)
-            r, q = np.nonzero(sim >= threshold)
-            best.append((ids[q], at[r], sim[r, q]))
-            if sum(len(x[0]) for x in best) > 200_000:
-                best = [_keep(best, k)]
+            labels = np.array([x or "" for x in b.column(2).to_pylist()], object)[:, None] if match else None
+            # some queries at a time, so that a batch's similarities stay small
+            for low in range(0, len(ids), 1000):
+                sim = np.round(np.clip(v @ matrix[low : low + 1000].T, 0.0, 1.0), 12)
+                if match:
+                    sim = np.where(labels == keys[None, low : low + 1000], sim, -1.0)
+                r, q = np.nonzero(sim >= threshold)
+                if k is None:
+                    if len(r):
+                        yield table((ids[low + q], at[r], sim[r, q]))
+                    continue
+                best.append((ids[low + q], at[r], sim[r, q]))
+                if sum(len(x[0]) for x in best) > 200_000:
+                    best = [_keep(best, k)]
         if best:
-            out = _keep(best, k)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+            yield table(_keep(best, k))
 
     given = rows.where(F.col(row_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(row_id).cast("long"), F.col(vector), (F.lower(F.col(match[0]).cast("string")) if match else F.lit("")).alias("m"))
-    near = given.mapInArrow(run, "query long, row long, similarity double").withColumn("similarity", F.bround("similarity", 4))
-    return top_k(near, "query", F.col("similarity"), "row", k).select(F.col("query").alias(query_id), F.col("row").alias(row_id), "similarity", "rank")
+    return given.mapInArrow(run, "query long, row long, similarity double").withColumn("similarity", F.bround("similarity", 4))
 
 
 def _keep(parts: list, k: int) -> tuple[np.ndarray, ...]:
@@ -182,6 +257,9 @@ def _keep(parts: list, k: int) -> tuple[np.ndarray, ...]:
     q, r, s = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((r, -np.round(s, 4), q))
     q, r, s = q[order], r[order], s[order]
+    # a repeated row counts once
+    first = np.r_[True, (q[1:] != q[:-1]) | (r[1:] != r[:-1]) | (np.round(s[1:], 4) != np.round(s[:-1], 4))] if len(q) else np.zeros(0, bool)
+    q, r, s = q[first], r[first], s[first]
     start = np.r_[0, np.flatnonzero(np.diff(q)) + 1] if len(q) else np.zeros(0, int)
     rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
     return q[rank < k], r[rank < k], s[rank < k]
@@ -193,12 +271,16 @@ def with_fallback(hits: DataFrame, queries: DataFrame, query_id: str, row_id: st
     return hits.unionByName(none.select(query_id, F.lit(first_row).cast("long").alias(row_id), F.lit(FALLBACK_SCORE).alias("similarity"), F.lit(1).alias("rank")))
 
 
-def phrase_matches(rows: DataFrame, row_id: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str, max_phrases: int = 100_000) -> DataFrame:
+def phrase_matches(rows: DataFrame, row_id: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str, block: int = 100_000) -> DataFrame:
     """(phrase_id, row_id) of every text that contains a phrase, without case and runs of white space.
 
-    All phrases are sought at once with an Aho-Corasick automaton.
+    A block of phrases is sought at once with an Aho-Corasick automaton.
     """
-    held = collect_queries(phrases.select(phrase_id, phrase).where(F.col(phrase).isNotNull() & (F.trim(phrase) != "")), max_phrases)
+    return in_blocks(phrases, phrase_id, lambda p: _phrase_block(rows, row_id, text, p, phrase_id, phrase), block)
+
+
+def _phrase_block(rows: DataFrame, row_id: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str) -> DataFrame:
+    held = collect_queries(phrases.select(phrase_id, phrase).where(F.col(phrase).isNotNull() & (F.trim(phrase) != "")))
     flat = lambda t: " ".join(t.lower().split())
     by_text: dict[str, list] = {}
     for r in held:

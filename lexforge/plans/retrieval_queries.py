@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..functions import extract as K
 from ..operators import compare as C
 from ..operators import dedup, ledger, metrics, search, store
-from ..session import read
+from ..session import read, read_spread, stage
 from .text_queries import _CONSERVATIVE, _STOPS, _WORDS3, _fp
 
 
@@ -110,12 +110,13 @@ def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verification of every chain."""
-    return ledger.verify(ledger.build_chain(_events(spark, sf_dir), "change_id", "pos"), "change_id")
+    # read twice, so built once
+    return ledger.verify(stage(ledger.build_chain(_events(spark, sf_dir), "change_id", "pos"), "chain"), "change_id")
 
 
 def audit_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verification after every 50th event's type was changed."""
-    chain = ledger.build_chain(_events(spark, sf_dir), "change_id", "pos")
+    chain = stage(ledger.build_chain(_events(spark, sf_dir), "change_id", "pos"), "chain")
     return ledger.verify(chain.withColumn("event_type", F.when(F.col("pos") % 50 == 0, "changed").otherwise(F.col("event_type"))), "change_id")
 
 
@@ -199,14 +200,29 @@ def federated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per proposal: occurrences by status and the sections they touch, from the nested records."""
+    """What each delivery of a proposal affects: sections, documents and occurrences, from the nested records.
+
+    Excluded occurrences never count. Once one was confirmed or excluded, only confirmed ones do; before
+    that all do. The proposal's own section and document belong in, and its own text is one content more.
+    """
     from ..operators import nested
 
-    cells = nested.shred(read(spark, sf_dir, "proposals"), "change_id", "data", ("status", "section"))
-    found = cells.where(F.col("table_path").endswith("related_occurrences"))
-    objects = found.groupBy("record_id", "delivery", "node").agg(F.max(F.when(F.col("field") == "status", F.col("value"))).alias("status"), F.max(F.when(F.col("field") == "section", F.col("value"))).alias("section"))
-    rows = objects.where("status is null or status != 'EXCLUDED'").groupBy("record_id").agg(F.count("*").alias("n_occurrences"), F.count_if(F.col("status") == "CONFIRMED").alias("n_confirmed"), F.array_join(F.array_sort(F.collect_set("section")), "|").alias("sections"))
-    return rows
+    rows = nested.objects(read_spread(spark, sf_dir, "proposals", "change_id", "data").distinct(), "change_id", "data")
+    one = lambda n: F.try_element_at(F.try_element_at("cells", F.lit(n)), F.lit(1))
+    last = F.element_at(F.split("table_path", r"\."), -1)
+    proposal, occurrence = one("section").isNotNull() & F.col("table_path").isin("", "payload.proposal"), last == "related_occurrences"
+    seen = rows.where(proposal | occurrence).select("record_id", "delivery", occurrence.alias("is_occurrence"), F.coalesce(F.upper(F.trim(one("status"))), F.lit("PENDING")).alias("status"), one("section").alias("section"), one("document_name").alias("document_name"))
+    deliveries = seen.groupBy("record_id", "delivery").agg(F.max(F.col("is_occurrence") & F.col("status").isin("CONFIRMED", "EXCLUDED")).alias("reviewed"), F.count_if("is_occurrence").alias("n_occurrences"), F.count_if(F.col("is_occurrence") & (F.col("status") == "CONFIRMED")).alias("n_confirmed"))
+    counted = seen.join(deliveries, ["record_id", "delivery"])
+    pending = F.col("is_occurrence") & F.col("reviewed") & ~F.col("status").isin("CONFIRMED", "EXCLUDED")
+    affected = ~F.col("is_occurrence") | ((F.col("status") != "EXCLUDED") & (~F.col("reviewed") | (F.col("status") == "CONFIRMED")))
+    named = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(affected, F.col(c)))), "|")
+    return counted.groupBy("record_id", "delivery", "reviewed", "n_occurrences", "n_confirmed").agg(
+        named("section").alias("sections"), named("document_name").alias("documents"), F.count_if(pending).alias("n_pending"),
+    ).select(
+        "record_id", F.col("delivery").cast("string").alias("delivery"), "reviewed", "n_occurrences", "n_confirmed", "n_pending", "sections", "documents",
+        (F.lit(1) + F.when(F.col("reviewed"), F.col("n_confirmed")).otherwise(F.col("n_occurrences"))).alias("n_contents"),
+    )
 
 
 _SEARCH_SQL = f"""

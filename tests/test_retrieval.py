@@ -104,3 +104,59 @@ def test_metrics(spark):
     assert rows == {1: (0.5, 0.6667, 1.0, 0.5), 2: (0.0, 0.0, 0.0, 0.0), 3: (1.0, 0.0, 0.0, 0.0)}
     df = spark.createDataFrame([("a  B", "x A b y"), (None, "x"), ("", "x"), ("q" * 60, "q" * 50)], "q string, s string")
     assert [r[0] for r in df.select(metrics.grounded(F.col("q"), F.col("s"))).collect()] == [True, False, False, True]
+
+
+def test_pairs_of_whole_tables_equal_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    vocabulary = [f"w{c}{d}" for c in "abcdefgh" for d in "xyz"]
+    rows = []
+    for i in range(120):
+        if rows and r.random() < 0.7:
+            words = r.choice(rows)[-1].split()
+            for _ in range(r.randint(0, 2)):
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+        else:
+            words = r.choices(vocabulary, k=r.choice([4, 12, 20]))
+        rows.append((f"c{i % 110}", "S", "d", r.choice(["i", "j", None]), r.choice(["Dosage", "Warnings", None]), r.choice(["X", "Y", None]), None, " ".join(words)))
+    df = dedup.prepared(spark.createDataFrame(rows, ITEM)).withColumn("g", F.lit(1)).withColumn("n", F.xxhash64("content_id", "text", "drug", "section", "source_identifier"))
+    df = df.dropDuplicates(["n"])
+    both = df.select(F.struct("*").alias("a")).crossJoin(df.select(F.struct("*").alias("b"))).where("a.n < b.n")
+    want = {(x[0], x[1]) for x in both.where(dedup.are_duplicates("a", "b")).select("a.n", "b.n").collect()}
+    got = [(x[1], x[2]) for x in dedup.duplicate_pairs(df, "g", "n").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
+    assert dedup.near_classes(spark.createDataFrame(rows, ITEM)).where("n_links > 0").count() > 10
+
+
+def test_merging_takes_what_the_leader_lacks(spark):
+    rows = [(1, 1, "a", "S", "d1", None, None, "X", None, "same text"), (1, 2, "b", "T", "d2", "i", "Sec", "X", 7, "same text"), (1, 3, "c", "S", "d3", None, None, "X", 9, "Same text."), (1, 4, "e", "S", "d4", None, None, "X", 1, "another"), (2, 1, "a", "S", "d1", None, None, "X", None, "same text")]
+    got = {(r["g"], r["content_id"]): (r["section"], r["page"], r["cross_sources"], r["duplicate_ids"]) for r in dedup.merge_greedily(spark.createDataFrame(rows, f"g int, pos int, {ITEM}"), "g", "pos").collect()}
+    assert got == {(1, "b"): ("Sec", 7, "S|T", "a|c"), (1, "e"): (None, 1, "S", ""), (2, "a"): (None, None, "S", "")}
+    assert dedup.merge_greedily(spark.createDataFrame([], f"g int, pos int, {ITEM}"), "g", "pos").count() == 0
+
+
+def test_query_blocks_change_nothing(spark):
+    r = [(i, f"alpha{i % 7} beta{i % 5} gamma delta{i % 3}") for i in range(60)]
+    rows, queries = spark.createDataFrame(r + r[:9], "id long, t string"), spark.createDataFrame([(i, t) for i, t in r[:20]], "q long, s string")
+    for search_by in (lambda b: search.jaccard_top_k(rows, "id", "t", queries, "q", "s", block=b), lambda b: search.cosine_top_k(rows, "id", "t", queries, "q", "s", block=b), lambda b: search.phrase_matches(rows, "id", "t", queries, "q", "s", block=b)):
+        whole, parts = ({tuple(x) for x in search_by(b).collect()} for b in (1000, 6))
+        assert whole == parts and whole
+    top = search.jaccard_top_k(rows, "id", "t", queries, "q", "s", k=3).groupBy("q").count().collect()
+    assert {x[1] for x in top} == {3} and len(top) == 20
+
+
+def test_impact_follows_the_review(spark, tmp_path):
+    """Occurrences count once confirmed; before any review all count; excluded ones never do."""
+    from lexforge.plans import retrieval_queries
+
+    occ = lambda section, status=None, doc=None: {"section": section, "status": status, "document_name": doc}
+    data = [
+        ("open", {"section": "Dose", "document_name": "D", "related_occurrences": [occ("A"), occ("B", "PENDING", "E")]}),
+        ("begun", {"section": "Dose", "related_occurrences": [occ("A", "CONFIRMED", "E"), occ("B", "PENDING", "F"), occ("C", "EXCLUDED")]}),
+        ("out", {"section": "Dose", "related_occurrences": [occ("A", "EXCLUDED")]}),
+        ("none", {"section": "Dose", "related_occurrences": []}),
+    ]
+    spark.createDataFrame([(k, json.dumps(v)) for k, v in data], "change_id string, data string").write.parquet(str(tmp_path / "proposals.parquet"))
+    got = {r["record_id"]: (r["reviewed"], r["sections"], r["documents"], r["n_contents"], r["n_pending"]) for r in retrieval_queries.change_impact(spark, str(tmp_path)).collect()}
+    assert got == {"open": (False, "A|B|Dose", "D|E", 3, 0), "begun": (True, "A|Dose", "E", 2, 1), "out": (True, "Dose", "", 1, 0), "none": (False, "Dose", "", 1, 0)}
