@@ -19,7 +19,7 @@ DRUG_NOISE = "tablets? capsules? solution injection oral calcium sodium hydrochl
 # Units that belong to a number in numeric tokens.
 NUMBER_UNITS = "mg mcg g kg ml l % hours? hrs? days? weeks? months? years? tablet capsule tablets capsules".split()
 # Texts that a scanned page leaves behind.
-SCANNED_MARKERS = ("no digital text layer detected. image-only pdf",)
+SCANNED_MARKERS = ("[scanned image-only pdf", "no digital text layer detected. image-only pdf")
 
 # Section concepts, the first that matches a heading.
 CONCEPTS = {

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import extract as K
 from ..functions import text as X
@@ -31,8 +32,10 @@ FLAGS = {
     "contra_use": r"\b(contraindicated|contraindication|do\s+not\s+use)\b",
     "ind_use": r"\b(indicated|treatment\s+of|management\s+of)\b",
 }
+# Words that bind and words that advise.
 MANDATORY = ["must", "shall", "required", "contraindicated", "do not"]
 ADVISORY = ["may", "should", "consider", "recommended", "optional"]
+# Patient groups by pattern, the first that matches.
 SUBGROUPS = [
     (r"\b(renal\s+impairment|kidney\s+disease|crcl\b|creatinine\s+clearance|dialysis|esrd|gfr\b|<\s*30\s*ml/min)\b", "renal impairment"),
     (r"\b(hepatic\s+impairment|liver\s+disease|cirrhosis|child-pugh)\b", "hepatic impairment"),
@@ -42,6 +45,7 @@ SUBGROUPS = [
     (r"\b(geriatric|elderly|65\s+years\s+(?:of\s+age\s+)?and\s+older)\b", "geriatric"),
     (r"\b(adults?|adult\s+patients?)\b", "general adult"),
 ]
+# Label sections by pattern, the first that matches.
 SECTIONS = [
     (r"\bcontraindications?\b", "Contraindications"),
     (r"\b(?:overdose|overdosage)\b", "Overdosage"),
@@ -52,6 +56,7 @@ SECTIONS = [
     (r"\b(?:clinical\s+pharmacology|pharmacodynamics?|pharmacokinetics?)\b", "Clinical Pharmacology"),
     (r"\b(?:specific\s+populations?|special\s+populations?)\b", "Use in Specific Populations"),
 ]
+# Sections whose contents do not stand for each other.
 INCOMPATIBLE = [
     ("Dosage and Administration", "Adverse Reactions"),
     ("Dosage and Administration", "Overdosage"),
@@ -322,6 +327,55 @@ def summary(prefix: str = "") -> Column:
     return F.concat_ws("/", n("MATCH"), n("PARTIAL"), n("MISMATCH"))
 
 
+# What the statuses of a pair add up to.
+ALERT = "FALSE MATCH ALERT: "
+CONTEXT_OFF = "Context Discrepancy: "
+STRONG = "Strong Multi-Dimensional Alignment across meaning, template, and key parameters."
+MODERATE = "Moderate Multi-Dimensional Alignment: shared regulatory template with specific attribute variations."
+LOW = "Low Alignment: significant divergence in key parameters or regulatory context."
+
+
+def overall(warned: Column) -> Column:
+    """One sentence for a compared pair: the warning first, then context, then meaning and key information."""
+    status = lambda d: F.col(f"{d}_status")
+    return (
+        F.when(status("meaning").isNull(), F.lit(None))
+        .when(warned.isNotNull(), F.concat(F.lit(ALERT), warned))
+        .when(status("context") == "MISMATCH", F.concat(F.lit(CONTEXT_OFF), status("context")))
+        .when((status("key_information") == "MATCH") & (status("meaning") == "MATCH"), STRONG)
+        .when((status("key_information") == "PARTIAL") | (status("meaning") == "PARTIAL"), MODERATE)
+        .otherwise(LOW)
+    )
+
+
+def evidence(target: Column, candidate: Column, observed: dict[str, Column]) -> Column:
+    """What was observed in the candidate's source beside the facts of either text; nothing is interpreted.
+
+    observed: provenance columns of the candidate by name.
+    """
+    names = ("drug", "dose", "population", "indication")
+    facts = lambda t: F.struct(*[c for c in K.key_information(t)])
+    a, b = facts(target), facts(candidate)
+    said = [candidate.alias("exact_quote"), *[c.alias(n) for n, c in observed.items()], *[b[n].alias(f"extracted_{n}") for n in names]]
+    return F.struct(F.struct(*said).alias("observed"), F.struct(*[a[n].alias(f"extracted_{n}") for n in names]).alias("target"))
+
+
+def all_differences(compared: DataFrame, key: str, target: str = "target_text", candidate: str = "candidate_text", most: int | None = None) -> DataFrame:
+    """(key, pos, attribute, current_value, candidate_value, source_dimension): differences of the dimensions, then coarse ones, then changed wording.
+
+    Equal ones count once. most caps them a pair, as for display; None keeps all.
+    """
+    listed = F.concat("differences", coarse_differences(F.col("differences"), F.col(target), F.col(candidate)))
+    first = compared.select(F.col(key).cast("string").alias("key"), F.posexplode(listed).alias("place", "d")).select("key", F.lit(0).alias("part"), "place", "d.*")
+    changed = word_changes(compared, key, target, candidate)
+    wording = changed.select("key", F.lit(1).alias("part"), F.col("change_no").alias("place"), F.when(F.col("kind") == "replace", "format").otherwise("content").alias("attribute"), F.col("current_text").alias("current_value"), F.col("candidate_text").alias("candidate_value"), F.lit("wording").alias("source_dimension"))
+    once = first.unionByName(wording).groupBy("key", "attribute", "current_value", "candidate_value").agg(F.min(F.struct("part", "place", "source_dimension")).alias("x"))
+    # a pair's differences are as many as its texts have words, at most
+    ranked = once.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("x.part", "x.place", "attribute")) - 1)
+    kept = ranked if most is None else ranked.where(F.col("pos") < most)
+    return kept.select(F.col("key").cast(dict(compared.dtypes)[key]).alias(key), "pos", "attribute", "current_value", "candidate_value", "x.source_dimension")
+
+
 def adapted(candidate: Column, candidate_dose: Column, target_dose: Column, candidate_drug: Column, target_drug: Column) -> Column:
     """The candidate's text with its dose, then its drug, put as in the target, where both are known and differ."""
 

@@ -31,8 +31,9 @@ def outcome(expected: Column, flagged: Column) -> Column:
     return F.when(expected & flagged, "TP").when(~expected & ~flagged, "TN").when(flagged, "FP").otherwise("FN")
 
 
-def grounded(quote: Column, source: Column) -> Column:
-    """Whether a quote, or its first 50 characters, stands in the source, without case and white space runs."""
+def grounded(quote: Column, source: Column, prefix: int | None = 50) -> Column:
+    """Whether a quote, or its first ``prefix`` characters (None: only the whole), stands in the source, without case and white space runs."""
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
     q, s = flat(quote), flat(source)
-    return F.coalesce((q != "") & (s != "") & (F.contains(s, q) | F.contains(s, F.left(q, F.lit(50)))), F.lit(False))
+    found = F.contains(s, q) if prefix is None else F.contains(s, q) | F.contains(s, F.left(q, F.lit(prefix)))
+    return F.coalesce((q != "") & (s != "") & found, F.lit(False))

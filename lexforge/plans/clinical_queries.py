@@ -48,6 +48,23 @@ def compare_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("warning is not null")
 
 
+def compare_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the comparison of every evaluation pair adds up to."""
+    return _compared(spark, sf_dir).select("item_id", C.overall(C.warning(F.col("false_match_reasons"))).alias("overall"))
+
+
+def compare_all_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of dimensions, quantities, lengths and wording of every evaluation pair, each once."""
+    return C.all_differences(C.compare(read(spark, sf_dir, "eval_cases")), "item_id")
+
+
+def compare_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed quotes and facts of either side of every evaluation pair."""
+    e = C.evidence(F.col("target_text"), F.col("candidate_text"), {"case_id": F.col("case_id"), "section": F.lit(None).cast("string")})
+    rows = read(spark, sf_dir, "eval_cases").select("item_id", e.alias("e"))
+    return rows.select("item_id", F.md5("e.observed.exact_quote").alias("quote_md5"), *[F.col(f"e.observed.extracted_{n}").alias(n) for n in ("drug", "dose", "population", "indication")], *[F.col(f"e.target.extracted_{n}").alias(f"target_{n}") for n in ("drug", "dose", "population", "indication")])
+
+
 def compare_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of pairs with the expected status, by dimension; for meaning MATCH and PARTIAL count as equal."""
     status = F.coalesce(*[F.when(F.col("expected_dimension") == d, F.col(f"{d}_status")) for d in C.DIMENSIONS])
@@ -245,7 +262,13 @@ def _sql_warnings() -> str:
             ({count('MATCH')}) || '/' || ({count('PARTIAL')}) || '/' || ({count('MISMATCH')}) as summary from c join w using (item_id) where len(r) > 0"""
 
 
-QUERIES = {"key_information": key_information, "content_types": content_types, "canonical_values": canonical_values, "compare_dimensions": compare_dimensions, "compare_differences": compare_differences, "compare_warnings": compare_warnings, "compare_accuracy": compare_accuracy, "compare_word_changes": compare_word_changes, "compare_coarse_differences": compare_coarse_differences, "compare_matched_aspects": compare_matched_aspects}
+def _sql_overall() -> str:
+    return f"""select c.item_id, case when w.warning is not null then {q(C.ALERT)} || w.warning when c.context_status = 'MISMATCH' then {q(C.CONTEXT_OFF)} || c.context_status
+        when c.key_information_status = 'MATCH' and c.meaning_status = 'MATCH' then {q(C.STRONG)} when c.key_information_status = 'PARTIAL' or c.meaning_status = 'PARTIAL' then {q(C.MODERATE)} else {q(C.LOW)} end as overall
+        from ({_sql_compare()}) c left join ({_sql_warnings()}) w using (item_id)"""
+
+
+QUERIES = {"compare_overall": compare_overall, "compare_all_differences": compare_all_differences, "compare_evidence": compare_evidence, "key_information": key_information, "content_types": content_types, "canonical_values": canonical_values, "compare_dimensions": compare_dimensions, "compare_differences": compare_differences, "compare_warnings": compare_warnings, "compare_accuracy": compare_accuracy, "compare_word_changes": compare_word_changes, "compare_coarse_differences": compare_coarse_differences, "compare_matched_aspects": compare_matched_aspects}
 ORACLES = {
     "key_information": f"select distinct content_id, {sql_key_information('t')} from (select content_id, {SQL_STRIP.format('text')} as t from content_items)",
     "content_types": f"select distinct content_id, {_sql_type('t', 'section')} as derived_type from (select content_id, section, {SQL_STRIP.format('text')} as t from content_items)",
@@ -255,6 +278,9 @@ ORACLES = {
         case when u is not null then {_sql_canonical('u', K.CANONICAL_UNITS, 'u')} end as unit
         from (select nullif(trim(route), '') as r, nullif(lower(trim(key_information.frequency)), '') as f, nullif(lower(trim(key_information.dose_unit)), '') as u from content_items)) group by all""",
     "compare_dimensions": _sql_compare(),
+    "compare_overall": _sql_overall(),
+    "compare_evidence": f"""with k as (select item_id, candidate_text, {sql_key_information(SQL_STRIP.format('target_text'), 'a_')}, {sql_key_information(SQL_STRIP.format('candidate_text'), 'b_')} from eval_cases)
+        select item_id, md5(candidate_text) as quote_md5, {', '.join(f'b_{n} as {n}, a_{n} as target_{n}' for n in ('drug', 'dose', 'population', 'indication'))} from k""",
     "compare_differences": _sql_differences(),
     "compare_warnings": _sql_warnings(),
     "compare_accuracy": f"""select expected_dimension, count(*) as n, sum(hit)::bigint as n_hit from (select expected_dimension, (s = expected_status or (expected_dimension = 'meaning' and s in ('MATCH', 'PARTIAL') and expected_status in ('MATCH', 'PARTIAL')))::int as hit from (

@@ -113,13 +113,8 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
-
-    counts = jobs.windowed_counts(stream, "ts", "event_type")
-    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("window_start", "event_type", "n", F.round("total", 6).alias("total"))
+    jobs.start_windows(stream, "ts", "event_type", f"{base}/out", f"{base}/state").awaitTermination()
+    return jobs.windows(spark, f"{base}/out", "event_type").select("window_start", "event_type", "n", F.round("total", 6).alias("total"))
 
 
 def standard_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def standard_segments(docs: DataFrame, document_id: str, text: str, chars: int |
 
 def spl_items(files: DataFrame, document_id: str = "path", content: str = "content", least: int = 15, chars: int | None = ITEM_CHARS) -> DataFrame:
     """Items of structured product labels: sections with text of ``least`` characters or more, of which chars are kept (None: all)."""
-    rows = parse_files(files.withColumn("_kind", F.lit("xml")), document_id, content, document_id, "_kind").where("error is null")
+    rows = parse_files(files.withColumn("_kind", F.lit("spl")), document_id, content, document_id, "_kind").where("error is null")
     return rows.where(F.length("body") >= least).select("document_id", F.col("title").alias("document_name"), F.col("heading").alias("section"), "loinc_code", _kept("body", chars).alias("text"))
 
 

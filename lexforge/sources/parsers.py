@@ -134,8 +134,13 @@ def _xml_body(node) -> list[str]:
     return out
 
 
-def parse_xml(content: bytes) -> tuple[str | None, list[dict]]:
-    """Nested <section> elements with title, code and LOINC; other XML by its elements."""
+def parse_spl(content: bytes) -> tuple[str | None, list[dict]]:
+    """Structured product labels: a section is named by its code's display name, else by its title."""
+    return parse_xml(content, coded=True)
+
+
+def parse_xml(content: bytes, coded: bool = False) -> tuple[str | None, list[dict]]:
+    """Nested <section> elements with title, code and LOINC; other XML by its elements. coded: the code names them first."""
     if re.search(rb"<!(?:DOCTYPE|ENTITY)", content[:4096]):
         content = re.sub(rb"<!(?:DOCTYPE[^>\[]*(?:\[.*?\])?|ENTITY[^>]*)>", b"", content, flags=re.S)
     root = ET.fromstring(content)
@@ -147,7 +152,8 @@ def parse_xml(content: bytes) -> tuple[str | None, list[dict]]:
                 visit(child, level)
                 continue
             code = next((x for x in child if _local(x.tag) == "code"), None)
-            head = next((_flat(x) for x in child if _local(x.tag) == "title" and _flat(x)), None) or (code.get("displayName") if code is not None else None) or "Section"
+            names = [next((_flat(x) for x in child if _local(x.tag) == "title" and _flat(x)), None), code.get("displayName") if code is not None else None]
+            head = next(filter(None, reversed(names) if coded else names), "Section")
             h = outline.heading(head)
             out.append(_section(head, "\n\n".join(_xml_body(child)), level, h.number if h else None, code.get("code") if code is not None else None))
             visit(child, level + 1)
@@ -293,4 +299,4 @@ def parse_pdf(content: bytes) -> tuple[str | None, list[dict]]:
     return None, _by_lines("\n".join(f"[Page {i + 1}]\n{p}" for i, p in enumerate(pages)), outline.heading)
 
 
-PARSERS = {"pdf": parse_pdf, "txt": parse_txt, "md": parse_md, "json": parse_json, "xml": parse_xml, "html": parse_html, "docx": parse_docx}
+PARSERS = {"pdf": parse_pdf, "txt": parse_txt, "md": parse_md, "json": parse_json, "xml": parse_xml, "html": parse_html, "docx": parse_docx, "spl": parse_spl}

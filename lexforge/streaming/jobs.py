@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import ledger as L
@@ -29,6 +28,26 @@ def new_documents(docs: DataFrame, text: str, time: str, horizon: str = "1 day")
     return prints.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
+def start_windows(stream: DataFrame, time: str, key: str, out: str, checkpoint: str, width: str = "1 hour", late: str = "2 hours"):
+    """``windowed_counts`` of a stream, written batch by batch; read back by ``windows``.
+
+    Each batch writes the windows that changed (update mode), so the watermark drops late rows and the state
+    of windows that are over, and windows still open are readable too.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    counts = windowed_counts(stream, time, key, width, late)
+    return counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def windows(spark, out: str, key: str) -> DataFrame:
+    """The last state of each window and key over all batches."""
+    rows = spark.read.parquet(f"{out}/batch=*").groupBy("window_start", key).agg(F.max(F.struct("_batch", "n", "total")).alias("x"))
+    return rows.select("window_start", key, "x.n", "x.total")
+
+
 def start_latest(stream: DataFrame, key: str, order: str, out: str, checkpoint: str):
     """Keep the latest row of each key: every batch writes its own folder, read back by ``latest``."""
 
@@ -51,26 +70,31 @@ def latest(spark, out: str, key: str, order: str) -> DataFrame:
 
 
 def start_ledger(stream: DataFrame, ledger: str, order: str, out: str, checkpoint: str):
-    """Append each batch's events to their ledgers' chains; every batch is one folder of the chain table."""
+    """Append each batch's events to their ledgers' chains; every batch is one folder of the chain table.
+
+    Beside it, in ``<out>_heads``, each batch writes the last event of every ledger so far, so the next one
+    reads one row a ledger and never the chain.
+    """
+    heads = f"{out}_heads"
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = L.build_chain(batch, ledger, order)
-        done = _before(spark, out, number)
-        if done is not None:
-            last = done.groupBy(ledger).agg(F.max(F.struct("seq", "event_hash")).alias("last"))
-            fresh = continue_chain(batch, ledger, order, last)
+        last = _last_before(spark, heads, number)
+        fresh = L.build_chain(batch, ledger, order) if last is None else continue_chain(batch, ledger, order, last)
         fresh.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        own = spark.read.parquet(f"{out}/batch={number}").groupBy(ledger).agg(F.max(F.struct("seq", "event_hash")).alias("last"))
+        every = own if last is None else own.unionByName(last).groupBy(ledger).agg(F.max("last").alias("last"))
+        every.write.mode("overwrite").parquet(f"{heads}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _before(spark, out: str, number: int) -> DataFrame | None:
-    """The chain written by earlier batches."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+def _last_before(spark, heads: str, number: int) -> DataFrame | None:
+    """The heads written by the latest earlier batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(heads)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = [str(s.getPath()) for s in fs.listStatus(path) if int(s.getPath().getName().split("=")[1]) < number] if fs.exists(path) else []
-    return spark.read.parquet(*parts) if parts else None
+    earlier = [n for n in (int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path)) if n < number] if fs.exists(path) else []
+    return spark.read.parquet(f"{heads}/batch={max(earlier)}") if earlier else None
 
 
 def continue_chain(batch: DataFrame, ledger: str, order: str, last: DataFrame) -> DataFrame:
@@ -78,8 +102,3 @@ def continue_chain(batch: DataFrame, ledger: str, order: str, last: DataFrame) -
     heads = last.select(F.col(ledger), F.col("last.seq").alias("_seq"), F.col("last.event_hash").alias("_hash"))
     rows = batch.join(heads, ledger, "left")
     return L.build_chain(rows, ledger, order, start=("_seq", "_hash")).drop("_seq", "_hash")
-
-
-def running_rank(batch: DataFrame, key: str, order: str) -> DataFrame:
-    """Position of each row within its key, for batch checks of streamed results."""
-    return batch.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(order)))

@@ -195,3 +195,10 @@ def test_whole_texts(spark):
     docs = spark.createDataFrame([(1, "OVERDOSAGE\n" + "x" * 6000)], "id long, text string")
     assert [len(r["text"]) for r in ingest.label_items(payload, "j", chars=None).collect()] == [5000]
     assert [len(r["text"]) for r in ingest.standard_segments(docs, "id", "text", chars=None).collect()] == [6000]
+
+
+def test_label_sections_take_their_code_names(spark):
+    xml = b'<document><title>T</title><component><section><code code="34067-9" displayName="INDICATIONS SECTION"/><title>1 Indications</title><text><paragraph>For pain in adults only.</paragraph></text></section><section><title>No code</title><text><paragraph>Some text of its own.</paragraph></text></section></component></document>'
+    df = spark.createDataFrame([("a", bytearray(xml)), ("b", bytearray(b"<document")), ("c", None)], "path string, content binary")
+    assert sorted(r["section"] for r in ingest.spl_items(df).collect()) == ["INDICATIONS SECTION", "No code"]
+    assert [s["heading"] for s in parsers.parse_xml(xml)[1]] == ["1 Indications", "No code"]

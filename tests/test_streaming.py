@@ -39,3 +39,13 @@ def test_latest_rows(spark, tmp_path):
 def test_windows(spark):
     rows = spark.createDataFrame([("2024-01-01 00:10:00", "k", 1.0), ("2024-01-01 00:50:00", "k", 2.0), ("2024-01-01 01:10:00", "k", None)], "ts string, k string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r["n"], r["total"]) for r in jobs.windowed_counts(rows, "ts", "k").collect()) == [(1, None), (2, 3.0)]
+
+
+def test_windows_of_a_stream_drop_late_rows_and_replace_open_windows(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = ([("01:10", 1.0), ("01:20", 2.0)], [("01:50", 4.0), ("09:00", 1.0)], [("01:55", 100.0), ("09:30", 2.0)])
+    for rows in batches:
+        spark.createDataFrame([(f"2024-01-01 {t}:00", "k", v) for t, v in rows], "ts string, k string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
+        jobs.start_windows(spark.readStream.schema("ts timestamp, k string, value double").parquet(src), "ts", "k", out, str(tmp_path / "c")).awaitTermination()
+    got = {(r["window_start"].hour, r["n"], r["total"]) for r in jobs.windows(spark, out, "k").collect()}
+    assert got == {(1, 3, 7.0), (9, 2, 3.0)}
