@@ -66,20 +66,25 @@ def excluded(query_document: Column, query_fingerprint: Column, query_content: C
     return same(query_document, document) | same(query_fingerprint, fingerprint) | same(query_content, content)
 
 
-def lexical_search(items: DataFrame, queries: DataFrame, item_id: str = "content_id", k: int = 10, max_queries: int | None = None) -> DataFrame:
+def lexical_search(items: DataFrame, queries: DataFrame, item_id: str = "content_id", k: int = 10, max_queries: int | None = None, exclude: bool = False) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best items for each query.
 
     queries has query_id, query, section and target_text. The score adds 4 for the query in the text, 5, 3
     and 3 in drug, product and indication, 1.5 for each shared word, 3 times the overlap with the target,
-    and 2.5 for an aligned section.
+    and 2.5 for an aligned section. exclude: queries also have document_id, fingerprint and content_id, and a
+    row (document_id, document_fingerprint, content_id) that is the query itself is none of its results.
     """
     if max_queries is None:
         # these queries become part of the plan, so blocks are small
-        return in_blocks(queries, "query_id", lambda q: lexical_search(items, q, item_id, k, BLOCK), 500)
-    rows = collect_queries(queries.select("query_id", "query", "section", "target_text"), max_queries)
-    texts = items.where(F.col("text").isNotNull()).select(F.col(item_id).alias("item_id"), "drug", "product", "indication", "section", "subsection", F.lower("text").alias("low"))
+        return in_blocks(queries, "query_id", lambda q: lexical_search(items, q, item_id, k, BLOCK, exclude), 500)
+    own = ["document_id", "fingerprint", "content_id"] if exclude else []
+    rows = collect_queries(queries.select("query_id", "query", "section", "target_text", *own), max_queries)
+    same = [F.col(c).alias(f"own_{n}") for n, c in zip(own, ("document_id", "document_fingerprint", "content_id"))]
+    texts = items.where(F.col("text").isNotNull()).select(F.col(item_id).alias("item_id"), "drug", "product", "indication", "section", "subsection", F.lower("text").alias("low"), *same)
     pairs = texts.withColumn("words", X.words3(F.col("low"))).withColumn("q", F.explode(_literal_block(rows)))
     q = lambda n: F.col(f"q.{n}")
+    if exclude:
+        pairs = pairs.where(~excluded(*[q(f"own_{n}") for n in own], *[F.col(f"own_{n}") for n in own]))
     asked, aimed, placed = q("query") != "", q("target") != "", q("section") != ""
     inside = lambda c: F.coalesce(F.contains(F.lower(F.col(c)), q("query")), F.lit(False))
     points = lambda when, n: F.when(when, n).otherwise(0.0)
@@ -166,7 +171,7 @@ def _literal_block(rows: list) -> Column:
     low = lambda s: (s or "").strip().lower()
     words = lambda s: F.array(*[F.lit(w) for w in _words(s)]).cast("array<string>")
     structs = [
-        F.struct(F.lit(r[0]).alias("query_id"), F.lit(low(r[1])).alias("query"), F.lit(low(r[2])).alias("section"), F.lit(low(r[3])).alias("target"), words(low(r[1])).alias("q_words"), words(low(r[3])).alias("t_words"))
+        F.struct(F.lit(r[0]).alias("query_id"), F.lit(low(r[1])).alias("query"), F.lit(low(r[2])).alias("section"), F.lit(low(r[3])).alias("target"), words(low(r[1])).alias("q_words"), words(low(r[3])).alias("t_words"), *[F.lit(x).cast("string").alias(f"own_{n}") for n, x in zip(("document_id", "fingerprint", "content_id"), r[4:])])
         for r in rows
     ]
     return F.array(*structs) if structs else F.array().cast("array<struct<query_id:bigint,query:string,section:string,target:string,q_words:array<string>,t_words:array<string>>>")
@@ -188,13 +193,13 @@ def embed(texts: list[str | None], places: dict[str, tuple[int, float]]) -> np.n
     return np.divide(out, norm, out=out, where=norm > 1e-9)
 
 
-def cosine_top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int = TOP_K, threshold: float = THRESHOLD, match: tuple[str, str] | None = None, block: int = BLOCK) -> DataFrame:
+def cosine_top_k(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int = TOP_K, threshold: float = THRESHOLD, match: tuple[str, str] | None = None, block: int = BLOCK, within: tuple[str, str] | None = None) -> DataFrame:
     """(query, row, similarity, rank): the k nearest rows of each query by cosine, rounded to 4 digits.
 
     vector columns hold text (hash embeddings) or arrays of numbers; match names a column of rows and one
-    of queries that must be equal without case. Rows meet the query matrix batch by batch.
+    of queries that must be equal without case; within names two of which one must contain the other. Rows meet the query matrix batch by batch.
     """
-    near = in_blocks(queries, query_id, lambda q: _near(rows, row_id, vector, q, query_id, query_vector, threshold, match, k), block)
+    near = in_blocks(queries, query_id, lambda q: _near(rows, row_id, vector, q, query_id, query_vector, threshold, match, k, within), block)
     return top_k(near, "query", F.col("similarity"), "row", k).select(F.col("query").alias(query_id), F.col("row").alias(row_id), "similarity", "rank")
 
 
@@ -204,13 +209,15 @@ def cosine_near(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, q
     return near.select(F.col("query").alias(query_id), F.col("row").alias(row_id), "similarity")
 
 
-def _near(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, threshold: float, match: tuple[str, str] | None, k: int | None) -> DataFrame:
+def _near(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, threshold: float, match: tuple[str, str] | None, k: int | None, within: tuple[str, str] | None = None) -> DataFrame:
     """(query, row, similarity) from the threshold on; with k, each task keeps its best k rows of each query."""
-    held = collect_queries(queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("v"), (F.lower(F.col(match[1]).cast("string")) if match else F.lit("")).alias("m")))
+    plain = lambda pair, i, name: (F.lower(F.trim(F.col(pair[i]).cast("string"))) if pair else F.lit("")).alias(name)
+    held = collect_queries(queries.select(F.col(query_id).alias("id"), F.col(query_vector).alias("v"), (F.lower(F.col(match[1]).cast("string")) if match else F.lit("")).alias("m"), plain(within, 1, "s")))
     textual = dict(rows.dtypes)[vector] == "string"
     matrix = (embed([r[1] for r in held], {}) if textual else np.array([r[1] for r in held], float)) if held else np.zeros((0, DIMENSIONS))
     keys = np.array([r[2] or "" for r in held], object)
     ids = np.array([r[0] for r in held], np.int64)
+    sections = [r[3] or "" for r in held]
     shared = rows.sparkSession.sparkContext.broadcast((matrix, keys, ids))
     schema = pa.schema([("query", pa.int64()), ("row", pa.int64()), ("similarity", pa.float64())])
 
@@ -232,11 +239,18 @@ def _near(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_i
             else:
                 v = np.array([x if x is not None else np.zeros(matrix.shape[1]) for x in b.column(1).to_numpy(zero_copy_only=False)], float)
             labels = np.array([x or "" for x in b.column(2).to_pylist()], object)[:, None] if match else None
+            if within:
+                # (row, query): whether one section contains the other, worked out once for each section
+                named = b.column(3).to_pylist()
+                placed = {x: np.array([bool(x) and bool(s) and (x in s or s in x) for s in sections]) for x in set(named)}
+                fits = np.array([placed[x] for x in named])
             # some queries at a time, so that a batch's similarities stay small
             for low in range(0, len(ids), 1000):
                 sim = np.round(np.clip(v @ matrix[low : low + 1000].T, 0.0, 1.0), 12)
                 if match:
                     sim = np.where(labels == keys[None, low : low + 1000], sim, -1.0)
+                if within:
+                    sim = np.where(fits[:, low : low + 1000], sim, -1.0)
                 r, q = np.nonzero(sim >= threshold)
                 if k is None:
                     if len(r):
@@ -248,7 +262,7 @@ def _near(rows: DataFrame, row_id: str, vector: str, queries: DataFrame, query_i
         if best:
             yield table(_keep(best, k))
 
-    given = rows.where(F.col(row_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(row_id).cast("long"), F.col(vector), (F.lower(F.col(match[0]).cast("string")) if match else F.lit("")).alias("m"))
+    given = rows.where(F.col(row_id).isNotNull() & F.col(vector).isNotNull()).select(F.col(row_id).cast("long"), F.col(vector), (F.lower(F.col(match[0]).cast("string")) if match else F.lit("")).alias("m"), plain(within, 0, "s"))
     return given.mapInArrow(run, "query long, row long, similarity double").withColumn("similarity", F.bround("similarity", 4))
 
 

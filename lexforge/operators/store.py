@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def register(documents: DataFrame, document_id: str, fingerprint: str, order: str) -> DataFrame:
     """The documents that are kept: the latest row of each id, then the latest id of each fingerprint.
@@ -41,3 +43,35 @@ def latest(table: DataFrame, order: str, n: int, where: str | None = None) -> Da
     """The n last rows in order, of those that fulfil a condition; only n rows of each task move."""
     rows = table.where(where) if where else table
     return rows.orderBy(F.col(order).desc(), *[F.col(c) for c in table.columns if c != order]).limit(n)
+
+
+def retain(files: DataFrame, table: str, document_id: str = "document_id", content: str = "content") -> DataFrame:
+    """Append source bytes that the table (a Parquet folder) does not hold yet; what was retained never changes.
+
+    Returns the rows added: document_id, content, n_bytes and sha256. Null ids or bytes are not retained.
+    """
+    spark = files.sparkSession
+    rows = files.where(F.col(document_id).isNotNull() & F.col(content).isNotNull()).select(F.col(document_id).alias("document_id"), F.col(content).alias("content"), F.octet_length(content).alias("n_bytes"), F.sha2(content, 256).alias("sha256")).dropDuplicates(["document_id"])
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        rows = rows.join(spark.read.parquet(table).select("document_id"), "document_id", "left_anti")
+    added = stage(rows, "retained")
+    added.write.mode("append").parquet(table)
+    return added
+
+
+def create_table(spark, name: str, schema: str, path: str, partition: tuple[str, ...] = ()) -> None:
+    """A Parquet table at path, laid out by its partition columns; nothing happens if it is there."""
+    by = f" PARTITIONED BY ({', '.join(partition)})" if partition else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{by} LOCATION '{path}'")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines, nulls kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def events_of(events: DataFrame, change: str, change_id, order: str, n: int | None = None) -> DataFrame:
+    """The events of one change in order; n: only its last ones."""
+    rows = events.where(F.col(change) == change_id)
+    return rows.orderBy(order) if n is None else rows.orderBy(F.col(order).desc()).limit(n)

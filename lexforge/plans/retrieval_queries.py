@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import extract as K
 from ..operators import compare as C
-from ..operators import dedup, ledger, metrics, search, store
+from ..operators import dedup, ledger, metrics, pipeline, search, store
 from ..session import read, read_spread, stage
 from .text_queries import _CONSERVATIVE, _STOPS, _WORDS3, _fp
 
@@ -225,6 +225,42 @@ def change_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated targets: evaluation cases whose id is divisible by 100, as passages of no document."""
+    null = F.lit(None).cast("string")
+    return _asked(spark, sf_dir).select(F.col("item_id").alias("target_id"), F.col("target_text").alias("text"), null.alias("section"), null.alias("document_id"), null.alias("fingerprint"), F.col("case_id").alias("content_id"))
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [*dedup.PROVENANCE, "document_fingerprint", "loinc_code", "drug", "product", "indication", "text"]
+    items = read_spread(spark, sf_dir, "content_items", *columns)
+    return pipeline.retrieve(_targets(spark, sf_dir), items, read(spark, sf_dir, "documents").select("document_id", "drug"))
+
+
+def retrieval_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every target: searched, merged, and the nearest kept."""
+    return _retrieved(spark, sf_dir).select("target_id", "content_id", "similarity", "rank", "derived_type", "cross_sources", "duplicate_ids")
+
+
+def compare_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same candidates compared with their targets, best first."""
+    rows = pipeline.compare_ranked(_targets(spark, sf_dir), _retrieved(spark, sf_dir))
+    return rows.select("target_id", "place", "content_id", "similarity", "warning", "overall", F.array_join("matched_aspects", "|").alias("matched_aspects"), *[f"{d}_status" for d in C.DIMENSIONS])
+
+
+def impact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all proposals: changes, sections they touch, confirmed and excluded occurrences."""
+    from ..operators import nested
+
+    rows = nested.objects(read_spread(spark, sf_dir, "proposals", "change_id", "data").distinct(), "change_id", "data")
+    one = lambda n: F.try_element_at(F.try_element_at("cells", F.lit(n)), F.lit(1))
+    occurrence = F.element_at(F.split("table_path", r"\."), -1) == "related_occurrences"
+    status = F.when(occurrence, F.upper(F.trim(one("status"))))
+    counted = F.when(~occurrence | (status == "CONFIRMED"), one("section"))
+    seen = rows.where(occurrence | F.col("table_path").isin("", "payload.proposal"))
+    return seen.agg(F.count_distinct("record_id").alias("n_changes"), F.count_distinct(counted).alias("n_sections"), F.count_if(status == "CONFIRMED").alias("n_confirmed"), F.count_if(status == "EXCLUDED").alias("n_excluded"))
+
+
 _SEARCH_SQL = f"""
     with asked as (select item_id as query_id, lower(string_split(description, ' ')[-1]) as query, 'dosage and administration' as section, lower(trim(target_text)) as target from eval_cases where item_id % 100 = 0),
     q as (select *, list_distinct({_WORDS3.format('query')}) as qw, list_distinct({_WORDS3.format('target')}) as tw from asked),
@@ -259,7 +295,7 @@ _CHAIN = f"""with recursive e as (select user_id::varchar as change_id, event_id
 QUERIES = {
     "search_lexical": lexical_top_k, "search_lexical_merged": lexical_merged, "search_hash_cosine": hash_cosine_top_k, "search_fallback": hash_cosine_fallback, "search_dense": dense_top_k, "search_dense_filtered": dense_top_k_filtered,
     "search_phrases": phrase_join, "search_self_excluded": self_excluded, "search_federated": federated, "metrics_retrieval": vector_metrics, "metrics_confusion": confusion, "metrics_grounded": groundedness, "dedup_classes": dedup_classes,
-    "audit_chain": audit_chain, "audit_verified": audit_verified, "audit_tampered": audit_tampered, "table_upsert": latest_upsert, "table_status_scan": status_scan, "table_stems": stem_join, "table_orphans": orphan_results, "change_impact": change_impact,
+    "audit_chain": audit_chain, "audit_verified": audit_verified, "audit_tampered": audit_tampered, "table_upsert": latest_upsert, "table_status_scan": status_scan, "table_stems": stem_join, "table_orphans": orphan_results, "change_impact": change_impact, "impact_totals": impact_totals, "retrieval_pipeline": retrieval_pipeline, "compare_ranked": compare_ranked,
     "search_jaccard": jaccard_top_k, "search_derived": derived_queries, "table_registered": registered, "table_removed": removed, "compare_adapted": adapted_texts,
 }
 ORACLES = {

@@ -101,6 +101,28 @@ def item_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt.items_to_sections(items, "o", F.floor(F.col("o") / 10).cast("int")).select("document_id", "section", "part", "position", F.md5("text").alias("text_md5"))
 
 
+def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of every document by what it has: chunks, else sections, else text."""
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "document_id", "document_name", "source", "source_identifier", "drug", "text")
+    chunks = read(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])
+    # a section is known by its row, its items by the document that it belongs to
+    sections = chunking.sections(docs, "doc_id", "text").withColumnRenamed("document_id", "doc")
+    named = sections.join(docs.select(F.col("doc_id").cast("string").alias("doc"), "document_id"), "doc").drop("doc")
+    items = adapt.documents_to_items(docs, chunks, named)
+    return items.select("content_id", "document_id", "branch", "content_type", "section", "exact_location", F.md5("text").alias("text_md5"))
+
+
+def item_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as chunks: ids, types and paths that they tell or that are built for them."""
+    items = read(spark, sf_dir, "content_items").drop("metadata")
+    return adapt.items_to_chunks(items).select("chunk_id", "document_id", "section_id", "chunk_type", "structure_path", F.md5("content").alias("content_md5")).distinct()
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents ingested from files: the items' texts as Markdown."""
+    return ingest.ingest(_as(spark, sf_dir, "md"), document_id="content_id")[0].select("document_id", "document_name", "fingerprint", "source_url", "n_sections", "format")
+
+
 def phrase_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences in the sections of all documents of the stated phrases: first sentences of the evaluation cases with an id divisible by 100."""
     phrases = read(spark, sf_dir, "eval_cases").where("item_id % 100 = 0").select("item_id", F.substring_index("target_text", ". ", 1).alias("phrase"))
@@ -139,8 +161,11 @@ _SECTIONS_SQL = rf"""
     named as (select *, 'sec_' || doc_id || '_' || order_index || '_' || left(regexp_replace(lower(coalesce(section_number, heading)), '[^a-zA-Z0-9]', '_', 'g'), 20) as section_id from numbered),
     parents as (select c.doc_id, c.order_index, arg_max(p.section_id, p.order_index) as parent_section_id from named c join named p on p.doc_id = c.doc_id and p.order_index < c.order_index and p.level < c.level group by 1, 2)
     select n.doc_id::varchar as document_id, section_id, parent_section_id, n.order_index, level, section_number, heading, concept, body from named n left join parents p on p.doc_id = n.doc_id and p.order_index = n.order_index"""
-QUERIES = {"document_sections": document_sections, "document_chunks": document_chunks, "document_sentences": document_sentences, "document_tables": document_tables, "source_label_unpivot": label_unpivot, "source_parsed_formats": parsed_formats, "source_resolved_formats": resolved_formats, "adapt_chunk_items": chunk_items, "adapt_item_sections": item_sections, "occurrence_layers": phrase_occurrences, "stream_windows": stream_windows, "source_standard_segments": standard_segments, "source_label_unpivot_whole": label_unpivot_whole, "source_standard_segments_whole": standard_segments_whole}
+QUERIES = {"document_items": document_items, "adapt_item_chunks": item_chunks, "source_ingested": ingested, "document_sections": document_sections, "document_chunks": document_chunks, "document_sentences": document_sentences, "document_tables": document_tables, "source_label_unpivot": label_unpivot, "source_parsed_formats": parsed_formats, "source_resolved_formats": resolved_formats, "adapt_chunk_items": chunk_items, "adapt_item_sections": item_sections, "occurrence_layers": phrase_occurrences, "stream_windows": stream_windows, "source_standard_segments": standard_segments, "source_label_unpivot_whole": label_unpivot_whole, "source_standard_segments_whole": standard_segments_whole}
 ORACLES = {
+    "adapt_item_chunks": """select distinct content_id as chunk_id, coalesce(document_id, 'doc_' || content_id) as document_id, 'sec_' || content_id as section_id, coalesce(content_type, 'paragraph') as chunk_type,
+        coalesce(nullif(concat_ws(' > ', nullif(document_name, ''), case when section is not null then trim(concat_ws(' ', subsection, section)) end, case when exact_location is distinct from section then exact_location end), ''), section, 'Document') as structure_path,
+        md5(text) as content_md5 from content_items where content_id is not null""",
     "document_sections": _SECTIONS_SQL,
     "source_label_unpivot": "select distinct content_id as document_id, coalesce(drug, 'none') as drug, 'Indications and Usage' as section, md5(left(trim(text), 4000)) as text_md5 from content_items where trim(text) <> ''",
     "source_parsed_formats": f"select content_id as document_id, f as format, case f when 'xml' then '34088-5' end as loinc_code, md5(t) as body_md5 from (select distinct content_id, {_FLAT} as t from content_items where text is not null), (select unnest(['html', 'xml', 'json', 'md']) as f)",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..session import stage
 from . import formats, parsers
 
 SECTIONS = "document_id string, title string, format string, order_index int, parent_index int, level int, section_number string, heading string, loinc_code string, body string, error string"
@@ -65,6 +66,27 @@ def parse_files(files: DataFrame, document_id: str = "path", content: str = "con
     return rows.select(F.col(document_id).cast("string"), F.col(content), kind.alias("_format")).mapInArrow(run, SECTIONS)
 
 
+def ingest(files: DataFrame, path: str = "path", content: str = "content", document_id: str | None = None, source: str = "InternalDraft") -> tuple[DataFrame, DataFrame]:
+    """(documents, sections) of files of any format.
+
+    documents: document_id (given, else from path and bytes), document_name (the file's own title, else its
+    name without suffix in words), fingerprint of all its text (of its bytes where it has none), source,
+    source_identifier, source_url, version, n_sections, format and error; one row a file.
+    """
+    name = F.element_at(F.split(F.col(path), "[/\\\\]"), -1)
+    own = F.concat(F.lit("doc_"), F.left(F.sha2(F.concat(F.coalesce(F.encode(F.col(path), "UTF-8"), F.lit(b"")), F.coalesce(F.col(content), F.lit(b""))), 256), F.lit(10)))
+    rows = files.select(F.col(path).alias("path"), F.col(content).alias("content"), (F.coalesce(F.col(document_id), own) if document_id else own).alias("document_id")).where("content is not null")
+    sections = stage(parse_files(rows, "document_id"), "sections")
+    # the texts of one document, in order; a document fits a row, as its file did
+    texts = sections.groupBy("document_id").agg(F.first("title", ignorenulls=True).alias("title"), F.first("format").alias("format"), F.max("error").alias("error"), F.count("order_index").alias("n_sections"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_index", "body"))), lambda x: x["body"]), "\n").alias("text"))
+    stem = F.initcap(F.lower(F.trim(F.replace(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("_"), F.lit(" ")))))
+    documents = rows.join(texts, "document_id", "left").select(
+        "document_id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.nullif(stem, F.lit(""))).alias("document_name"), X.fingerprint(F.coalesce("text", F.lit("")), F.col("content")).alias("fingerprint"),
+        F.lit(source).alias("source"), F.col("document_id").alias("source_identifier"), F.when(name != "", F.concat(F.lit("file://"), name)).alias("source_url"), F.lit("1.0").alias("version"), F.coalesce("n_sections", F.lit(0)).alias("n_sections"), "format", "error",
+    )
+    return documents, sections
+
+
 def sections_to_items(sections: DataFrame) -> DataFrame:
     """One item for each section with text, with its concept."""
     rows = sections.where("error is null and body != ''")
