@@ -12,6 +12,7 @@ offset wins over a zone name beside it. Bare dates and months stay dates and mon
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import re
 import uuid
 import zoneinfo
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, shared_folder, stage
+
 # Month names by number, in English, German, French, Spanish, Portuguese and Italian.
 MONTHS = {
     1: "january jan januar jänner janvier janv enero ene janeiro gennaio gen",
@@ -186,32 +189,49 @@ def dictionary(keys: DataFrame, abbr: dict[str, int]) -> DataFrame:
 def _keys(df: DataFrame, raw: str, feed: str, feeds: DataFrame) -> DataFrame:
     """(row, raw, tz_name, date_order): the rows with a value, packed so that no column name clashes."""
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "iso_utc"]).alias("row"), F.col(raw).alias("raw"), F.col(feed).alias("feed_id"))
-    zones = feeds.select("feed_id", "tz_name", "date_order").dropDuplicates(["feed_id"])
-    return packed.where(F.col("raw").isNotNull() & (F.trim("raw") != "")).join(F.broadcast(zones), "feed_id", "left").select("row", "raw", "tz_name", "date_order")
+    # staged, so that its size is known
+    zones = stage(feeds.select("feed_id", "tz_name", "date_order").dropDuplicates(["feed_id"]), "feeds")
+    return packed.where(F.col("raw").isNotNull() & (F.trim("raw") != "")).join(broadcast_if_small(zones), "feed_id", "left").select("row", "raw", "tz_name", "date_order")
 
 
 class InstantDictionary:
     """A parsed dictionary of stamps kept as a table in a shared folder and extended batch by batch.
 
-    feeds (feed_id, tz_name, date_order) is a small reference table; more than max_feeds rows are refused.
+    feeds (feed_id, tz_name, date_order) gives each feed's zone and day order; only the zones, of which there
+    are a few hundred in the world, reach the driver.
     """
 
-    def __init__(self, spark: SparkSession, feeds: DataFrame, path: str, max_feeds: int = 10_000):
-        held = feeds.select("feed_id", "tz_name").limit(max_feeds + 1).collect()
-        if len(held) > max_feeds:
-            raise ValueError(f"more than {max_feeds} feeds")
-        zones = sorted({r[1] for r in held} - {None})
+    def __init__(self, spark: SparkSession, feeds: DataFrame, path: str):
+        zones = sorted(r[0] for r in feeds.select("tz_name").where("tz_name is not null").distinct().collect())
         self.spark, self.feeds, self.path, self.abbr = spark, feeds, path, abbreviations(zones)
 
-    def table(self) -> DataFrame | None:
-        """All finished batches; each is a folder of its own, so plans over different states stay distinct."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        Path = jvm.org.apache.hadoop.fs.Path
-        fs = Path(self.path).getFileSystem(conf)
+    def batches(self) -> list[str]:
+        """The folders of all finished batches, so plans over different states stay distinct."""
+        Path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(Path(self.path)):
+            return []
+        return sorted(str(x.getPath()) for x in fs.listStatus(Path(self.path)) if fs.exists(Path(x.getPath(), "_SUCCESS")))
+
+    def table(self) -> DataFrame | None:
+        """All finished batches, each key once."""
+        batches = self.batches()
+        if not batches:
             return None
-        batches = [str(x.getPath()) for x in fs.listStatus(Path(self.path)) if fs.exists(Path(x.getPath(), "_SUCCESS"))]
-        return self.spark.read.parquet(*sorted(batches)) if batches else None
+        rows = self.spark.read.schema("raw string, tz_name string, date_order string, iso_utc string").parquet(*batches)
+        # a batch holds each key once; batches written at the same time may repeat one, never with another value
+        return rows if len(batches) == 1 else rows.dropDuplicates(["raw", "tz_name", "date_order"])
+
+    def compact(self) -> None:
+        """Make one batch of all; for times when nobody reads the table."""
+        batches = self.batches()
+        if len(batches) < 2:
+            return
+        self.table().write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
+        Path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for b in batches:
+            fs.delete(Path(b), True)
 
     def normalise(self, df: DataFrame, raw: str, feed: str) -> DataFrame:
         """df with iso_utc; values not met before are parsed and appended to the table first."""
@@ -219,19 +239,33 @@ class InstantDictionary:
         keys, known = rows.select("raw", "tz_name", "date_order"), self.table()
         if known is not None:
             same = [keys[c].eqNullSafe(known[c]) for c in ("raw", "tz_name", "date_order")]
-            keys = keys.distinct().join(known, same[0] & same[1] & same[2], "left_anti")
-        dictionary(keys, self.abbr).write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
-        # batches written at the same time may repeat a key, never with another value
-        known = self.table().where("iso_utc is not null").dropDuplicates(["raw", "tz_name", "date_order"])
+            keys = stage(keys.distinct().join(known, same[0] & same[1] & same[2], "left_anti"), "stamps")
+        if known is None or not keys.isEmpty():
+            dictionary(keys, self.abbr).write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
+        known = self.table().where("iso_utc is not null")
         # raw is the join key; the zone columns, null for unknown feeds, are compared null-safe
         on = (rows["raw"] == known["raw"]) & rows["tz_name"].eqNullSafe(known["tz_name"]) & rows["date_order"].eqNullSafe(known["date_order"])
         return rows.join(known, on).select("row.*", known["iso_utc"])
 
 
+#: Session setting that names a folder for dictionaries that outlive the session.
+KEPT = "spark.lexforge.instants.dir"
+
+
+def dictionary_path(spark: SparkSession, feeds: DataFrame) -> str:
+    """Where the dictionary of these feeds lies: kept from run to run below the folder named by KEPT, else fresh.
+
+    Kept ones are told apart by the zones, which decide how abbreviations are read.
+    """
+    kept = spark.conf.get(KEPT, None)
+    if kept is None:
+        return shared_path(spark, "instants")
+    zones = sorted(r[0] for r in feeds.select("tz_name").where("tz_name is not null").distinct().collect())
+    return f"{kept}/{hashlib.sha256('|'.join(zones).encode()).hexdigest()[:16]}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder beside the checkpoints that all executors share; it goes when the driver's JVM ends."""
-    from ..session import shared_folder
-
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -174,7 +174,7 @@ def _literal_block(rows: list) -> Column:
         F.struct(F.lit(r[0]).alias("query_id"), F.lit(low(r[1])).alias("query"), F.lit(low(r[2])).alias("section"), F.lit(low(r[3])).alias("target"), words(low(r[1])).alias("q_words"), words(low(r[3])).alias("t_words"), *[F.lit(x).cast("string").alias(f"own_{n}") for n, x in zip(("document_id", "fingerprint", "content_id"), r[4:])])
         for r in rows
     ]
-    return F.array(*structs) if structs else F.array().cast("array<struct<query_id:bigint,query:string,section:string,target:string,q_words:array<string>,t_words:array<string>>>")
+    return F.array(*structs) if structs else F.array().cast("array<struct<query_id:bigint,query:string,section:string,target:string,q_words:array<string>,t_words:array<string>,own_document_id:string,own_fingerprint:string,own_content_id:string>>")
 
 
 def embed(texts: list[str | None], places: dict[str, tuple[int, float]]) -> np.ndarray:

@@ -77,11 +77,12 @@ def p2_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instants of search_results.retrieved_at and provenance.publication_date."""
-    known = instants.InstantDictionary(spark, read(spark, sf_dir, "source_feeds"), instants.shared_path(spark, "instants"))
-    searches = known.normalise(read(spark, sf_dir, "search_results").select("search_id", "feed_id", "retrieved_at"), "retrieved_at", "feed_id")
-    dates = known.normalise(read(spark, sf_dir, "provenance").select("provenance_id", "feed_id", "publication_date"), "publication_date", "feed_id")
-    ids = searches.select(F.col("search_id").alias("record_id"), "iso_utc").unionByName(dates.select(F.col("provenance_id").alias("record_id"), "iso_utc"))
-    return ids.where("record_id is not null").distinct()
+    feeds = read(spark, sf_dir, "source_feeds")
+    sources = (("search_results", "search_id", "retrieved_at"), ("provenance", "provenance_id", "publication_date"))
+    rows = [read(spark, sf_dir, t).select(F.col(i).alias("record_id"), "feed_id", F.col(c).alias("raw")) for t, i, c in sources]
+    both = rows[0].unionByName(rows[1]).where("record_id is not null")
+    known = instants.InstantDictionary(spark, feeds, instants.dictionary_path(spark, feeds))
+    return known.normalise(both, "raw", "feed_id").select("record_id", "iso_utc").distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p1_path_profile": p1_path_profile, "p2_amounts": p2_amounts, "p2_found": p2_found, "p2_residuals": p2_residuals, "p5_found": p5_found}

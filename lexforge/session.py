@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,15 +60,37 @@ def read_spread(spark: SparkSession, sf_dir: str, table: str, *columns: str) ->
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+#: Staged tables of the scopes that are open, the innermost last.
+_SCOPES: list[list] = []
+
+
+@contextmanager
+def staging():
+    """A scope whose staged tables are deleted at its end: results must have been written or read by then.
+
+    A driver that runs many queries keeps no intermediate table this way.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for fs, at in _SCOPES.pop():
+            fs.delete(at, True)
+
+
 def stage(df: DataFrame, name: str, *partition: str) -> DataFrame:
     """Write df as a Parquet table in the shared checkpoint folder and read it back.
 
     Cuts lineage, survives lost executors, and gives the planner the true size. partition: columns that
-    become folders. The folder goes when the driver's JVM ends.
+    become folders. The folder goes at the end of the scope that ``staging``
+    opened, else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(at)
+    if _SCOPES:
+        _SCOPES[-1].append((fs, at))
     return spark.read.schema(df.schema).parquet(path)

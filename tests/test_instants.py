@@ -70,3 +70,35 @@ def test_dictionary_is_extended(spark, tmp_path):
     assert known.table().count() == 5
     assert known.normalise(second.limit(0), "stamp", "feed").count() == 0
     assert known.table().count() == 5
+
+
+def test_dictionary_outlives_runs_and_can_be_compacted(spark, tmp_path):
+    feeds = spark.createDataFrame([("f", "Europe/Berlin", "DMY"), ("g", None, None)], "feed_id string, tz_name string, date_order string")
+    spark.conf.set(I.KEPT, str(tmp_path / "kept"))
+    try:
+        path = I.dictionary_path(spark, feeds)
+        assert path == I.dictionary_path(spark, feeds) and path.startswith(str(tmp_path))
+    finally:
+        spark.conf.unset(I.KEPT)
+    rows = lambda *x: spark.createDataFrame([(i, "f", r) for i, r in enumerate(x)], "id int, feed_id string, raw string")
+    read = lambda df: {tuple(r) for r in I.InstantDictionary(spark, feeds, path).normalise(df, "raw", "feed_id").select("id", "iso_utc").collect()}
+    assert read(rows("2024-01-02", "junk")) == {(0, "2024-01-02")}
+    assert read(rows("03.02.2024", "2024-01-02")) == {(0, "2024-02-03"), (1, "2024-01-02")}
+    known = I.InstantDictionary(spark, feeds, path)
+    assert len(known.batches()) == 2
+    # nothing new: nothing is parsed or written
+    assert read(rows("junk", "03.02.2024")) == {(1, "2024-02-03")} and len(known.batches()) == 2
+    known.compact()
+    assert len(known.batches()) == 1 and known.table().count() == 3 and read(rows("2024-01-02")) == {(0, "2024-01-02")}
+
+
+def test_scopes_delete_what_was_staged(spark):
+    from lexforge.session import stage, staging
+
+    with staging():
+        inner = stage(spark.range(5), "scoped")
+        assert inner.count() == 5
+        file = inner.inputFiles()[0]
+    import os
+
+    assert not os.path.exists(file.removeprefix("file:").replace("///", "/").replace("//", "/"))
