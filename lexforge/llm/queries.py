@@ -87,7 +87,33 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_classes": p4_classes, "p4_links": p4_links, "p6_found": p6_found, "p7_uses": p7_uses, "p7_shares": p7_shares, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
+
+_SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _sql_neighbours() -> str:
+    """Every two texts of equal drug and numbers compared word set by word set."""
+    salts = "[" + ", ".join(f"'{w}'" for w in sorted(neardup.SALTS_AND_FORMS)) + "]"
+    parts = lambda x: f"regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')"
+    key = lambda x: f"coalesce(nullif(array_to_string(list_filter({parts(x)}, lambda z: not list_contains({salts}, z)), ''), ''), nullif(array_to_string({parts(x)}, ''), ''))"
+    plain = "case when regexp_full_match(n, '\\d{1,3}(,\\d{3})+(\\.\\d+)?') then replace(n, ',', '') else replace(n, ',', '.') end"
+    bare = f"list_transform(list_transform(regexp_extract_all(text, '\\d+(?:[.,]\\d+)*'), lambda n: {plain}), lambda n: case when len(n) - len(replace(n, '.', '')) = 1 then rtrim(rtrim(n, '0'), '.') else n end)"
+    return f"""
+        with r as (select distinct content_id as id, text, drug, list_filter(regexp_split_to_array(lower(text), '{_SPACE}'), lambda x: x <> '') as raw from content_items where content_id is not null and text is not null and length(text) <= 2000),
+        p as (select id, text, raw, {key("drug")} as drug, list_sort(list_distinct(list_transform({bare}, lambda n: case when ltrim(n, '0') = '' then '0' else ltrim(n, '0') end))) as numbers,
+            list_distinct(list_filter(list_transform(raw, lambda x: regexp_replace(regexp_replace(x, '^\\p{{P}}+', ''), '\\p{{P}}+$', '')), lambda x: x <> '')) as words from r),
+        known as (select distinct drug from p where drug is not null and len(words) > 0),
+        o as (select id, text, list_filter(list_transform(raw, lambda x, i: {{'pos': i, 'k': {key("x")}}}), lambda x: x.k is not null) as l from p where drug is null),
+        q as (select id, text, unnest([l, list_filter(l, lambda x: not list_contains({salts}, x.k))]) as l from o),
+        m as (select id, text, l[s].pos as pos, array_to_string(list_transform(l[s:s + n - 1], lambda x: x.k), '') as drug from (select *, unnest(range(1, len(l) + 1)) as s from q), (select unnest(range(1, 7)) as n) where s + n - 1 <= len(l)),
+        f as (select id, text, drug from m join known using (drug) qualify row_number() over (partition by id, text order by pos, length(drug) desc, drug) = 1),
+        t as (select id, coalesce(p.drug, f.drug) as drug, numbers, words from p left join f using (id, text) where len(words) > 0)
+        select distinct a.id as content_id_a, b.id as content_id_b from t a join t b on a.drug = b.drug and a.numbers = b.numbers and a.id < b.id
+        where 5 * len(list_intersect(a.words, b.words)) >= 4 * len(list_distinct(a.words || b.words))"""
+
+
 ORACLES = {
+    "p4_found": _sql_neighbours(),
     "p3_found": """
         select distinct record_id from (
             select chunk_id as record_id, content as t, coalesce(nullif(lower(trim(chunk_type)), ''), 'paragraph') as kind from chunks
