@@ -75,3 +75,16 @@ def events_of(events: DataFrame, change: str, change_id, order: str, n: int | No
     """The events of one change in order; n: only its last ones."""
     rows = events.where(F.col(change) == change_id)
     return rows.orderBy(order) if n is None else rows.orderBy(F.col(order).desc()).limit(n)
+
+
+def documents_of(contents: DataFrame, content_id: str, chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """(content_id, document_id, found_by): the document of each content id: its chunk's, else its item's, else the id without ``_item``.
+
+    Ids that stand several times in chunks or items take the least document id.
+    """
+    asked = contents.select(F.col(content_id).alias("content_id")).where("content_id is not null").distinct()
+    first = lambda df, key, name: df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("content_id")).agg(F.min("document_id").alias(name))
+    rows = asked.join(first(chunks, "chunk_id", "_chunk"), "content_id", "left").join(first(items, "content_id", "_item"), "content_id", "left")
+    stem = F.when(F.endswith("content_id", F.lit("_item")), F.regexp_replace("content_id", "_item$", ""))
+    by = F.when(F.col("_chunk").isNotNull(), "chunk").when(F.col("_item").isNotNull(), "item").when(stem.isNotNull(), "stem")
+    return rows.select("content_id", F.coalesce("_chunk", "_item", stem).alias("document_id"), by.alias("found_by"))

@@ -261,6 +261,13 @@ def impact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.agg(F.count_distinct("record_id").alias("n_changes"), F.count_distinct(counted).alias("n_sections"), F.count_if(status == "CONFIRMED").alias("n_confirmed"), F.count_if(status == "EXCLUDED").alias("n_excluded"))
 
 
+def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of all chunk and item ids, and of all document ids written as items."""
+    chunks, items = read(spark, sf_dir, "chunks"), read(spark, sf_dir, "content_items")
+    ids = chunks.select("chunk_id").union(items.select("content_id")).union(items.select(F.concat("document_id", F.lit("_item"))))
+    return store.documents_of(ids.toDF("id"), "id", chunks, items)
+
+
 _SEARCH_SQL = f"""
     with asked as (select item_id as query_id, lower(string_split(description, ' ')[-1]) as query, 'dosage and administration' as section, lower(trim(target_text)) as target from eval_cases where item_id % 100 = 0),
     q as (select *, list_distinct({_WORDS3.format('query')}) as qw, list_distinct({_WORDS3.format('target')}) as tw from asked),
@@ -295,7 +302,7 @@ _CHAIN = f"""with recursive e as (select user_id::varchar as change_id, event_id
 QUERIES = {
     "search_lexical": lexical_top_k, "search_lexical_merged": lexical_merged, "search_hash_cosine": hash_cosine_top_k, "search_fallback": hash_cosine_fallback, "search_dense": dense_top_k, "search_dense_filtered": dense_top_k_filtered,
     "search_phrases": phrase_join, "search_self_excluded": self_excluded, "search_federated": federated, "metrics_retrieval": vector_metrics, "metrics_confusion": confusion, "metrics_grounded": groundedness, "dedup_classes": dedup_classes,
-    "audit_chain": audit_chain, "audit_verified": audit_verified, "audit_tampered": audit_tampered, "table_upsert": latest_upsert, "table_status_scan": status_scan, "table_stems": stem_join, "table_orphans": orphan_results, "change_impact": change_impact, "impact_totals": impact_totals, "retrieval_pipeline": retrieval_pipeline, "compare_ranked": compare_ranked,
+    "audit_chain": audit_chain, "audit_verified": audit_verified, "audit_tampered": audit_tampered, "table_upsert": latest_upsert, "table_status_scan": status_scan, "table_stems": stem_join, "table_orphans": orphan_results, "change_impact": change_impact, "impact_totals": impact_totals, "table_lookup": document_lookup, "retrieval_pipeline": retrieval_pipeline, "compare_ranked": compare_ranked,
     "search_jaccard": jaccard_top_k, "search_derived": derived_queries, "table_registered": registered, "table_removed": removed, "compare_adapted": adapted_texts,
 }
 ORACLES = {
@@ -334,5 +341,9 @@ ORACLES = {
         select distinct content_id, query, coalesce(regexp_matches(trim(query), '{search.HEADING_START}'), false) as is_heading from q""",
     "table_registered": f"""with d as (select doc_id, {_fp('text')} as fingerprint, ingested_at, source from documents)
         select doc_id, fingerprint, source from d qualify row_number() over (partition by fingerprint order by ingested_at desc, doc_id desc) = 1""",
+    "table_lookup": """with c as (select chunk_id as content_id, min(document_id) as d from chunks group by 1), i as (select content_id, min(document_id) as d from content_items group by 1),
+        a as (select distinct id from (select chunk_id as id from chunks union all select content_id from content_items union all select document_id || '_item' from content_items) where id is not null)
+        select id as content_id, coalesce(c.d, i.d, case when ends_with(id, '_item') then left(id, length(id) - 5) end) as document_id,
+            case when c.d is not null then 'chunk' when i.d is not null then 'item' when ends_with(id, '_item') then 'stem' end as found_by from a left join c on c.content_id = a.id left join i on i.content_id = a.id""",
     "table_removed": "select source, count(*) as n from content_items where document_id is null or document_id not in (select top_document_id from search_results where top_document_id is not null) group by 1",
 }

@@ -54,10 +54,13 @@ def _escaped(c):
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def _as(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Items as files of one format, each with a title, one section and the text on one line."""
+_KINDS = ("html", "xml", "json", "md")
+
+
+def _as(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """Items as files of these formats, each with a title, one section and the text on one line."""
     flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
-    items = read(spark, sf_dir, "content_items").where("text is not null").select("content_id", flat.alias("t")).distinct()
+    items = read_spread(spark, sf_dir, "content_items", "content_id", "text").where("text is not null").select("content_id", flat.alias("t")).distinct()
     t = F.col("t")
     wrapped = {
         "html": F.concat(F.lit("<!DOCTYPE html><html><head><meta charset=utf-8><title>Label</title><style>p{}</style></head><body><nav>Menu</nav><h2>Overdosage</h2><p>"), _escaped(t), F.lit("</p></body></html>")),
@@ -65,27 +68,19 @@ def _as(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         "json": F.to_json(F.struct(F.lit("Label").alias("title"), F.array(F.struct(F.lit("Overdosage").alias("heading"), t.alias("content"))).alias("sections"))),
         "md": F.concat(F.lit("# Label\n\n## Overdosage\n\n"), t),
     }
-    return items.select("content_id", F.encode(wrapped[kind], "UTF-8").alias("content"), F.concat("content_id", F.lit(f".{kind}")).alias("path"))
+    files = F.array(*[F.struct(F.lit(k).alias("written"), F.encode(wrapped[k], "UTF-8").alias("content")) for k in kinds])
+    return items.select("content_id", F.explode(files).alias("f")).select("content_id", "f.content", F.concat("content_id", F.lit("."), "f.written").alias("path"), "f.written")
 
 
 def parsed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items' texts written as HTML, XML, JSON and Markdown files, and parsed back."""
-    parts = [ingest.parse_files(_as(spark, sf_dir, k), "content_id") for k in ("html", "xml", "json", "md")]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+    both = ingest.parse_files(_as(spark, sf_dir, *_KINDS), "content_id")
     return both.where("heading = 'Overdosage'").select("document_id", "format", "loinc_code", F.md5("body").alias("body_md5"))
 
 
 def resolved_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats that names and first bytes give for the same files, and how many agree."""
-    parts = []
-    for k in ("html", "xml", "json", "md"):
-        f = _as(spark, sf_dir, k)
-        parts.append(f.select(F.lit(k).alias("written"), formats.resolve(F.col("path"), F.col("content")).alias("by_name"), formats.resolve(F.lit(None).cast("string"), F.col("content")).alias("by_bytes")))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+    both = _as(spark, sf_dir, *_KINDS).select("written", formats.resolve(F.col("path"), F.col("content")).alias("by_name"), formats.resolve(F.lit(None).cast("string"), F.col("content")).alias("by_bytes"))
     return both.groupBy("written", "by_name", "by_bytes").agg(F.count("*").alias("n"))
 
 

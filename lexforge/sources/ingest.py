@@ -34,8 +34,6 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_files(files: DataFrame, document_id: str = "path", content: str = "content", path: str = "path", fmt: str | None = None) -> DataFrame:
     """Sections (columns SECTIONS) of every file; a file that cannot be read is one row with its error.
-
-    Formats without a parser here (doc) give such a row too.
     """
     schema = pa.schema([(f.split()[0], pa.int32() if f.split()[1] == "int" else pa.string()) for f in SECTIONS.split(", ")])
     names = schema.names

@@ -14,7 +14,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 
 from ..functions import outline
-from . import pdf
+from . import legacy, pdf
 
 #: Elements whose text is not content, and those that never have an end tag.
 SKIPPED = frozenset("script style noscript nav header footer aside svg iframe form".split())
@@ -172,6 +172,7 @@ class _Html(html.parser.HTMLParser):
         super().__init__(convert_charrefs=True)
         self.title, self.out, self.lines, self.text = None, [], [], []
         self.skip, self.head, self.inside, self.row, self.table = 0, None, None, None, None
+        self.lists = []  # the open lists: the last number of an ordered one, else None
 
     def _line(self, mark: str = "") -> None:
         s = " ".join("".join(self.text).split())
@@ -211,6 +212,10 @@ class _Html(html.parser.HTMLParser):
             self.text = []
         elif tag in ("p", "div", "li", "ul", "ol", "section", "article"):
             self._line()
+            if tag in ("ul", "ol"):
+                self.lists.append(0 if tag == "ol" else None)
+            elif tag == "li" and self.lists and self.lists[-1] is not None:
+                self.lists[-1] += 1
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
@@ -237,9 +242,11 @@ class _Html(html.parser.HTMLParser):
                 self.lines.append("\n".join("| " + " | ".join(r) + " |" for r in rows))
             self.table = None
         elif tag == "li":
-            self._line("* ")
+            self._line(f"{self.lists[-1]}. " if self.lists and self.lists[-1] is not None else "* ")
         elif tag in ("p", "div", "section", "article", "ul", "ol", "body"):
             self._line()
+            if tag in ("ul", "ol") and self.lists:
+                self.lists.pop()
 
     def handle_data(self, data):
         if not self.skip:
@@ -258,10 +265,22 @@ def parse_html(content: bytes) -> tuple[str | None, list[dict]]:
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+# Number formats of lists that count.
+_COUNTED = ("decimal", "upperRoman", "lowerRoman", "upperLetter", "lowerLetter", "decimalZero")
+
+
+def _numberings(content: bytes) -> dict[str, str]:
+    """The number format of the first level of each list definition."""
+    root = ET.fromstring(content)
+    first = {a.get(f"{_W}abstractNumId"): next((f.get(f"{_W}val", "") for f in a.iter(f"{_W}numFmt")), "") for a in root.iter(f"{_W}abstractNum")}
+    return {n.get(f"{_W}numId"): first.get(next((x.get(f"{_W}val") for x in n.iter(f"{_W}abstractNumId")), None), "") for n in root.iter(f"{_W}num")}
+
+
 def parse_docx(content: bytes) -> tuple[str | None, list[dict]]:
     """Paragraphs and tables in body order; heading styles (or numbered headings) start sections."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        kinds = _numberings(z.read("word/numbering.xml")) if "word/numbering.xml" in z.namelist() else {}
     out, lines, head, title = [], [], None, None
 
     def flush():
@@ -286,11 +305,17 @@ def parse_docx(content: bytes) -> tuple[str | None, list[dict]]:
                 flush()
                 head, lines = (int(m[1]) if m else h.level, s, h.number if h else None), []
             else:
-                lines.append(("* " if "bullet" in style.lower() else "1. " if "number" in style.lower() else "") + s)
+                kind = kinds.get(next((x.get(f"{_W}val") for x in node.iter(f"{_W}numId")), None)) or style.lower()
+                lines.append(("* " if "bullet" in kind else "1. " if kind in _COUNTED or "number" in kind else "") + s)
     flush()
     return title, out
 
 
+def parse_doc(content: bytes) -> tuple[str | None, list[dict]]:
+    """Legacy Word files: their text, with sections by heading lines."""
+    return parse_txt(legacy.doc_text(content).encode())
+
+
 def parse_pdf(content: bytes) -> tuple[str | None, list[dict]]:
     """Sections by heading lines across pages; each page begins with its mark."""
     pages = pdf.pdf_pages(content)
@@ -299,4 +324,4 @@ def parse_pdf(content: bytes) -> tuple[str | None, list[dict]]:
     return None, _by_lines("\n".join(f"[Page {i + 1}]\n{p}" for i, p in enumerate(pages)), outline.heading)
 
 
-PARSERS = {"pdf": parse_pdf, "txt": parse_txt, "md": parse_md, "json": parse_json, "xml": parse_xml, "html": parse_html, "docx": parse_docx, "spl": parse_spl}
+PARSERS = {"pdf": parse_pdf, "txt": parse_txt, "md": parse_md, "json": parse_json, "xml": parse_xml, "html": parse_html, "docx": parse_docx, "spl": parse_spl, "doc": parse_doc}

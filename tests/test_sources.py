@@ -202,3 +202,78 @@ def test_label_sections_take_their_code_names(spark):
     df = spark.createDataFrame([("a", bytearray(xml)), ("b", bytearray(b"<document")), ("c", None)], "path string, content binary")
     assert sorted(r["section"] for r in ingest.spl_items(df).collect()) == ["INDICATIONS SECTION", "No code"]
     assert [s["heading"] for s in parsers.parse_xml(xml)[1]] == ["1 Indications", "No code"]
+
+
+def compound(streams):
+    """A compound file of 512-byte sectors; every stream is padded beyond the size of small ones."""
+    import struct
+
+    body, fat, entries = b"", [], []
+
+    def add(data):
+        nonlocal body
+        data += b"\0" * (-len(data) % 512)
+        start, n = len(fat), len(data) // 512
+        fat.extend([*range(start + 1, start + n), 0xFFFFFFFE])
+        body += data
+        return start
+
+    def entry(name, kind, start, size):
+        raw = (name + "\0").encode("utf-16-le")
+        return raw.ljust(64, b"\0") + struct.pack("<HBB", len(raw), kind, 1) + struct.pack("<III", *[0xFFFFFFFF] * 3) + b"\0" * 36 + struct.pack("<IQ", start, size)
+
+    for name, data in streams.items():
+        data = data.ljust(4096, b"\0")
+        entries.append(entry(name, 2, add(data), len(data)))
+    directory = add(b"".join([entry("Root Entry", 5, 0xFFFFFFFE, 0), *entries]).ljust(512 * 2, b"\0"))
+    at = len(fat)
+    fat.append(0xFFFFFFFD)
+    table = struct.pack("<128I", *(fat + [0xFFFFFFFF] * (128 - len(fat))))
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIIII", 0, 1, directory, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0, at)
+    return head.ljust(512, b"\xff") + body + table
+
+
+def word_file(encrypted=False):
+    """Two pieces, one of single bytes and one of UTF-16, with a field and a table cell."""
+    import struct
+
+    first, second = "1 DOSAGE\rTake it \x13 HYPERLINK \x14daily\x15.\r".encode("cp1252"), "Größe\x07中\x07\r".encode("utf-16-le")
+    text = bytearray(2048)
+    text[512 : 512 + len(first)], text[1024 : 1024 + len(second)] = first, second
+    struct.pack_into("<H", text, 0, 0xA5EC)
+    struct.pack_into("<H", text, 0x0A, 0x0200 | (0x0100 if encrypted else 0))
+    n = len(first) + len(second) // 2
+    struct.pack_into("<I", text, 0x4C, n)
+    pieces = struct.pack("<III", 0, len(first), n) + struct.pack("<HIH", 0, 512 * 2 | 0x40000000, 0) + struct.pack("<HIH", 0, 1024, 0)
+    clx = b"\x01" + struct.pack("<H", 3) + b"abc" + b"\x02" + struct.pack("<I", len(pieces)) + pieces
+    struct.pack_into("<II", text, 0x1A2, 8, len(clx))
+    return compound({"WordDocument": bytes(text), "1Table": b"\0" * 8 + clx})
+
+
+def test_legacy_word_files(spark):
+    title, found = parsers.parse_doc(word_file())
+    assert [(s["heading"], s["body"]) for s in found] == [("1 DOSAGE", "Take it daily.\nGröße\t中")]
+    files = [("a.doc", word_file()), ("b.doc", word_file(encrypted=True)), ("c.doc", b"D0CF"), ("d.doc", compound({"Other": b"x"})), (None, word_file())]
+    got = ingest.parse_files(spark.createDataFrame([(i, p, bytearray(b)) for i, (p, b) in enumerate(files)], "id int, path string, content binary"), "id").collect()
+    assert sorted((r["document_id"], r["error"] is None, r["format"]) for r in got) == [("0", True, "doc"), ("1", False, "doc"), ("2", False, "doc"), ("3", False, "doc"), ("4", True, "doc")]
+
+
+def test_numbered_lists_and_plain_archives(spark):
+    import io
+    import zipfile
+
+    html = b"<body><ol><li>one<li>two</li><ul><li>dot</li></ul><li>three</li></ol><ul><li>x</li></ul></body>"
+    assert parsers.parse_html(html)[1][0]["body"].split("\n\n")[-3:] == ["* dot", "3. three", "* x"]
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda n, t: f'<w:p><w:pPr><w:numPr><w:numId w:val="{n}"/></w:numPr></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{p(1, 'dot')}{p(2, 'count')}{p(9, 'none')}</w:body></w:document>")
+        kinds = "".join(f'<w:abstractNum w:abstractNumId="{a}"><w:lvl w:ilvl="0"><w:numFmt w:val="{f}"/></w:lvl></w:abstractNum>' for a, f in ((5, "bullet"), (6, "decimal")))
+        z.writestr("word/numbering.xml", f'<w:numbering {w}>{kinds}<w:num w:numId="1"><w:abstractNumId w:val="5"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="6"/></w:num></w:numbering>')
+    assert parsers.parse_docx(box.getvalue())[1][0]["body"] == "* dot\n\n1. count\n\nnone"
+    plain = io.BytesIO()
+    with zipfile.ZipFile(plain, "w") as z:
+        z.writestr("a.txt", "x")
+    df = spark.createDataFrame([(1, bytearray(box.getvalue())), (2, bytearray(plain.getvalue()))], "id int, content binary")
+    assert {r[0]: r[1] for r in df.select("id", formats.resolve(F.lit(None).cast("string"), F.col("content"))).collect()} == {1: "docx", 2: "txt"}
