@@ -35,7 +35,7 @@ def resolve(path: Column, content: Column, mime: Column | None = None, stated: C
     options.append(_lookup(extension, EXTENSIONS))
     if mime is not None:
         options.append(_lookup(F.lower(F.trim(F.split(mime, ";")[0])), MIME_TYPES))
-    # an archive is a Word file only if it lists the document part
+    # an archive is a Word file only if it lists the document part; one cut before its first entry may be
     kind = _lookup(head, MAGIC)
-    binary = F.when((kind != "docx") | F.contains(F.decode(content, "ISO-8859-1"), F.lit("word/document.xml")), kind)
+    binary = F.when((kind != "docx") | (F.octet_length(content) < 30) | F.contains(F.decode(content, "ISO-8859-1"), F.lit("word/document.xml")), kind)
     return F.coalesce(*options, binary, sniffed, F.lit("txt"))
