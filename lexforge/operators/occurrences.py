@@ -38,7 +38,8 @@ def find_occurrences(rows: DataFrame, row_id: str, section: str, text: str, phra
     sections = rows.where(F.col(row_id).isNotNull() & (F.length(F.trim(F.col(text))) >= 5)).select(F.col(row_id).alias("row_id"), F.coalesce(section, F.lit("Unspecified Section")).alias("section"), F.col(text).alias("t"), F.col(document or row_id).alias("document"), F.col(order or row_id).alias("o"))
     if not asked:
         return sections.select(F.lit(None).cast("long").alias("phrase_id"), "row_id", "section", F.lit(None).cast("string").alias("layer"), F.lit(None).cast("string").alias("relevance"), F.lit(None).cast("double").alias("similarity")).limit(0)
-    sections = sections.withColumn("h", F.xxhash64("t"))
+    # read several times, and costly to make
+    sections = stage(sections.withColumn("h", F.xxhash64("t")), "sections")
     block = F.array(*[F.struct(F.lit(r["phrase_id"]).alias("id"), F.lit(r["p"]).alias("p"), F.lit(r["norm"]).alias("norm"), *[F.lit(r[f]).cast("string").alias(f) for f in facts]) for r in asked])
     low = lambda c: F.lower(F.trim(c))
     # whatever names the phrase's drug may match by its facts; the rest must hold the phrase or be near it
