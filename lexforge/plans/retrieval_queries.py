@@ -127,10 +127,16 @@ def latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("change_id").agg(F.min("created_at").alias("created_at"), last.alias("x"), F.count("*").alias("n_deliveries")).select("change_id", "created_at", "x.*", "n_deliveries")
 
 
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals as a keyed store holds them: the last delivery, with the creation that the first one told."""
+    p = read(spark, sf_dir, "proposals").select("change_id", F.coalesce("updated_at", F.lit("")).alias("updated_at"), "status", F.md5("data").alias("data_md5"), F.coalesce("created_at", F.lit("")).alias("created_at"))
+    return store.upsert(p, "change_id", "updated_at", keep_first=("created_at",))
+
+
 def status_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 latest pending proposals."""
     p = read(spark, sf_dir, "proposals").where("status = 'PENDING_APPROVAL'").select("change_id", "updated_at").distinct()
-    return p.orderBy(F.desc("updated_at"), "change_id").limit(20)
+    return store.latest(p, "updated_at", 20)
 
 
 def stem_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +152,13 @@ def orphan_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(read(spark, sf_dir, "provenance").select(F.col("document_id").alias("top_document_id")), "top_document_id", "left_anti").select("search_id", "top_document_id")
 
 
+def orphan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose document is not among the documents, by source."""
+    items = read(spark, sf_dir, "content_items").where("document_id is not null").select("content_id", "document_id", "source").distinct()
+    known = read(spark, sf_dir, "documents").select("document_id").where("document_id is not null")
+    return items.join(known, "document_id", "left_anti").groupBy("source").agg(F.count("*").alias("n"))
+
+
 def self_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many candidates each document has: items of its drug, without those that stand in no other document.
 
@@ -302,7 +315,7 @@ _CHAIN = f"""with recursive e as (select user_id::varchar as change_id, event_id
 QUERIES = {
     "search_lexical": lexical_top_k, "search_lexical_merged": lexical_merged, "search_hash_cosine": hash_cosine_top_k, "search_fallback": hash_cosine_fallback, "search_dense": dense_top_k, "search_dense_filtered": dense_top_k_filtered,
     "search_phrases": phrase_join, "search_self_excluded": self_excluded, "search_federated": federated, "metrics_retrieval": vector_metrics, "metrics_confusion": confusion, "metrics_grounded": groundedness, "dedup_classes": dedup_classes,
-    "audit_chain": audit_chain, "audit_verified": audit_verified, "audit_tampered": audit_tampered, "table_upsert": latest_upsert, "table_status_scan": status_scan, "table_stems": stem_join, "table_orphans": orphan_results, "change_impact": change_impact, "impact_totals": impact_totals, "table_lookup": document_lookup, "retrieval_pipeline": retrieval_pipeline, "compare_ranked": compare_ranked,
+    "audit_chain": audit_chain, "audit_verified": audit_verified, "audit_tampered": audit_tampered, "table_upsert": latest_upsert, "table_upserted": upserted, "table_orphan_items": orphan_items, "table_status_scan": status_scan, "table_stems": stem_join, "table_orphans": orphan_results, "change_impact": change_impact, "impact_totals": impact_totals, "table_lookup": document_lookup, "retrieval_pipeline": retrieval_pipeline, "compare_ranked": compare_ranked,
     "search_jaccard": jaccard_top_k, "search_derived": derived_queries, "table_registered": registered, "table_removed": removed, "compare_adapted": adapted_texts,
 }
 ORACLES = {
@@ -329,6 +342,9 @@ ORACLES = {
     "audit_tampered": """select user_id::varchar as change_id, count(*) filter (event_id % 50 = 0) = 0 as valid, count(*) as n_events, (min(event_id) filter (event_id % 50 = 0))::varchar as first_bad_id, case when count(*) filter (event_id % 50 = 0) > 0 then 'wrong hash' end as reason from events group by 1""",
     "table_upsert": """select change_id, min(created_at) as created_at, nullif(x.u, '') as updated_at, x.s as status, x.d as data_md5, n_deliveries from (
         select change_id, min(created_at) as created_at, max({u: coalesce(updated_at, ''), s: status, d: md5(data)}) as x, count(*) as n_deliveries from proposals where change_id is not null group by 1) group by all""",
+    "table_upserted": """select change_id, x.u as updated_at, x.s as status, x.d as data_md5, f.c as created_at from (select change_id, max({u: coalesce(updated_at, ''), s: status, d: md5(data)}) as x,
+        min({u: coalesce(updated_at, ''), c: coalesce(created_at, '')}) as f from proposals where change_id is not null group by 1)""",
+    "table_orphan_items": "select source, count(*) as n from (select distinct content_id, document_id, source from content_items where document_id is not null and document_id not in (select document_id from documents where document_id is not null)) group by 1",
     "table_status_scan": "select distinct change_id, updated_at from proposals where status = 'PENDING_APPROVAL' order by updated_at desc, change_id limit 20",
     "table_stems": "select distinct c.chunk_id, c.parent_chunk_id, s.chunk_type as stem_type from chunks c left join chunks s on s.chunk_id = c.parent_chunk_id where c.parent_chunk_id is not null",
     "table_orphans": "select distinct search_id, top_document_id from search_results where top_document_id is not null and top_document_id not in (select document_id from provenance where document_id is not null)",
