@@ -68,16 +68,14 @@ CONTRA = r"\b(contraindicated|contraindication|do\s+not\s+use|hypersensitivity)\
 INDICATED = r"\b(indicated\s+for|treatment\s+of|management\s+of|relief\s+of)\b"
 # Known drug names, in order of precedence.
 KNOWN_DRUGS = (
-    "aspirin,acetylsalicylic acid,ibuprofen,acetaminophen,paracetamol,naproxen,amoxicillin,atorvastatin,metformin,lisinopril,"
-    "amlodipine,omeprazole,losartan,gabapentin,hydrochlorothiazide,sertraline,simvastatin,pantoprazole,furosemide,prednisone,"
-    "metoprolol,albuterol,levothyroxine,citalopram,escitalopram,fluoxetine,venlafaxine,duloxetine,rosuvastatin,pravastatin,"
-    "valsartan,candesartan,irbesartan,olmesartan,ramipril,enalapril,carvedilol,atenolol,propranolol,bisoprolol,"
-    "diltiazem,verapamil,nifedipine,spironolactone,clopidogrel,warfarin,apixaban,rivaroxaban,dabigatran,heparin,"
-    "montelukast,fluticasone,budesonide,cetirizine,loratadine,esomeprazole,famotidine,ranitidine,ondansetron,sumatriptan,"
-    "zolmitriptan,semaglutide,liraglutide,dulaglutide,empagliflozin,dapagliflozin,sitagliptin,linagliptin,tramadol,codeine,"
-    "morphine,oxycodone,fentanyl,methadone,buprenorphine,ciprofloxacin,levofloxacin,azithromycin,doxycycline,cephalexin,"
-    "sulfamethoxazole,trimethoprim,metronidazole,fluconazole,acyclovir,adalimumab,infliximab,rituximab,pembrolizumab,trastuzumab"
-).split(",")
+    "aspirin", "acetylsalicylic acid", "ibuprofen", "acetaminophen", "paracetamol", "naproxen", "amoxicillin", "atorvastatin", "metformin", "lisinopril", "amlodipine", "omeprazole", "losartan",
+    "gabapentin", "hydrochlorothiazide", "sertraline", "simvastatin", "pantoprazole", "furosemide", "prednisone", "metoprolol", "albuterol", "levothyroxine", "citalopram", "escitalopram",
+    "fluoxetine", "venlafaxine", "duloxetine", "rosuvastatin", "pravastatin", "valsartan", "candesartan", "irbesartan", "olmesartan", "ramipril", "enalapril", "carvedilol", "atenolol", "propranolol",
+    "bisoprolol", "diltiazem", "verapamil", "nifedipine", "spironolactone", "clopidogrel", "warfarin", "apixaban", "rivaroxaban", "dabigatran", "heparin", "montelukast", "fluticasone", "budesonide",
+    "cetirizine", "loratadine", "esomeprazole", "famotidine", "ranitidine", "ondansetron", "sumatriptan", "zolmitriptan", "semaglutide", "liraglutide", "dulaglutide", "empagliflozin", "dapagliflozin",
+    "sitagliptin", "linagliptin", "tramadol", "codeine", "morphine", "oxycodone", "fentanyl", "methadone", "buprenorphine", "ciprofloxacin", "levofloxacin", "azithromycin", "doxycycline",
+    "cephalexin", "sulfamethoxazole", "trimethoprim", "metronidazole", "fluconazole", "acyclovir", "adalimumab", "infliximab", "rituximab", "pembrolizumab", "trastuzumab",
+)
 # Canonical spellings.
 CANONICAL_ROUTES = [("oral|po|by mouth|orally", "Oral"), ("intravenous|iv|intravenously", "Intravenous"), ("subcutaneous|sc|subq|subcutaneously", "Subcutaneous"), ("intramuscular|im|intramuscularly", "Intramuscular"), ("topical|topically", "Topical"), ("inhalation|inhaled", "Inhalation")]
 CANONICAL_FREQUENCIES = [

@@ -17,8 +17,8 @@ _HTML_TABLE = re.compile(r"<table\b.*?</table\s*>", re.I | re.S)
 _STANDARD = frozenset(X.STANDARD_HEADINGS)
 
 # Words behind whose full stop a sentence goes on.
-ABBREVIATIONS = frozenset("mg ml mcg kg g tab tabs cap caps meq iu oz tsp tbsp cm mm eg ie vs approx etc al cf viz dr prof mr mrs ms no nos ref sec vol fig para p pp".split())
-DOTTED = frozenset("e.g. i.e. u.s. u.s.a. ph.d. m.d. s.p.l.".split())
+ABBREVIATIONS = frozenset(("mg", "ml", "mcg", "kg", "g", "tab", "tabs", "cap", "caps", "meq", "iu", "oz", "tsp", "tbsp", "cm", "mm", "eg", "ie", "vs", "approx", "etc", "al", "cf", "viz", "dr", "prof", "mr", "mrs", "ms", "no", "nos", "ref", "sec", "vol", "fig", "para", "p", "pp"))
+DOTTED = frozenset(("e.g.", "i.e.", "u.s.", "u.s.a.", "ph.d.", "m.d.", "s.p.l."))
 
 _END = re.compile(r"([.?!])([\"')\]}]*)(\s+|$)")
 _TOKEN = re.compile(r"[A-Za-z0-9._\-]+$")

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 SMART = "\u201c\u201d\u2018\u2019\u2013\u2014\u00a0"
 PLAIN = "\"\"''-- "
 # Words that carry no content in token overlap.
-STOP_WORDS = "the and for with this that from are was were has have had not but can should will".split()
+STOP_WORDS = ("the", "and", "for", "with", "this", "that", "from", "are", "was", "were", "has", "have", "had", "not", "but", "can", "should", "will")
 # Salt and form words dropped from drug names.
-DRUG_NOISE = "tablets? capsules? solution injection oral calcium sodium hydrochloride potassium maleate succinate tartrate fumarate".split()
+DRUG_NOISE = ("tablets?", "capsules?", "solution", "injection", "oral", "calcium", "sodium", "hydrochloride", "potassium", "maleate", "succinate", "tartrate", "fumarate")
 # Units that belong to a number in numeric tokens.
-NUMBER_UNITS = "mg mcg g kg ml l % hours? hrs? days? weeks? months? years? tablet capsule tablets capsules".split()
+NUMBER_UNITS = ("mg", "mcg", "g", "kg", "ml", "l", "%", "hours?", "hrs?", "days?", "weeks?", "months?", "years?", "tablet", "capsule", "tablets", "capsules")
 # Texts that a scanned page leaves behind.
 SCANNED_MARKERS = ("[scanned image-only pdf", "no digital text layer detected. image-only pdf")
 

@@ -17,10 +17,10 @@ from ..functions import outline
 from . import legacy, pdf
 
 #: Elements whose text is not content, and those that never have an end tag.
-SKIPPED = frozenset("script style noscript nav header footer aside svg iframe form".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+SKIPPED = frozenset(("script", "style", "noscript", "nav", "header", "footer", "aside", "svg", "iframe", "form"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 # Keys of a JSON document that describe it.
-DESCRIPTIVE = frozenset("document_id id title document_name product_name product active_ingredient drug jurisdiction document_type version provenance openfda".split())
+DESCRIPTIVE = frozenset(("document_id", "id", "title", "document_name", "product_name", "product", "active_ingredient", "drug", "jurisdiction", "document_type", "version", "provenance", "openfda"))
 
 
 def decode(content: bytes) -> str:
