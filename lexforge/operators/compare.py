@@ -387,7 +387,7 @@ def adapted(candidate: Column, candidate_dose: Column, target_dose: Column, cand
     return F.trim(swap(swap(candidate, candidate_dose, target_dose), candidate_drug, target_drug))
 
 
-def word_changes(pairs: DataFrame, key: str, target: str = "target_text", candidate: str = "candidate_text", least: int = 10, most: int = 150) -> DataFrame:
+def word_changes(pairs: DataFrame, key: str, target: str = "target_text", candidate: str = "candidate_text", least: int = 10, most: int | None = 150) -> DataFrame:
     """(key, change_no, kind, current_text, candidate_text): word runs replaced, deleted or inserted.
 
     Runs of at most ``least`` characters are left out; texts are cut at ``most``. Python's difflib has no
@@ -404,10 +404,12 @@ def word_changes(pairs: DataFrame, key: str, target: str = "target_text", candid
             out = []
             for k, t, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 a, b = t.split(), c.split()
+                n = 0
                 for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b).get_opcodes():
                     old, new = " ".join(a[i1:i2]), " ".join(b[j1:j2])
                     if tag != "equal" and max(len(old), len(new)) > least:
-                        out.append((k, sum(1 for x in out if x[0] == k), tag, old[:most] or None, new[:most] or None))
+                        out.append((k, n, tag, old[:most] or None, new[:most] or None))
+                        n += 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 

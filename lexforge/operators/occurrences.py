@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import extract as K
 from ..functions import text as X
 from ..session import broadcast_if_small, stage
+from . import compare as C
 from . import search
 
 SEMANTIC = 0.55
@@ -25,10 +26,11 @@ SEMANTIC = 0.55
 SNIPPET = 60
 
 
-def find_occurrences(rows: DataFrame, row_id: str, section: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str, threshold: float = SEMANTIC, document: str | None = None, order: str | None = None, snippet: int | None = SNIPPET) -> DataFrame:
+def find_occurrences(rows: DataFrame, row_id: str, section: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str, threshold: float = SEMANTIC, document: str | None = None, order: str | None = None, snippet: int | None = SNIPPET, scores: bool = False) -> DataFrame:
     """(phrase_id, row_id, section, layer, relevance, similarity) of every occurrence.
 
     document names the column within which equal beginnings count once, order the one that ranks its rows.
+    scores adds each dimension's status and score, of the phrase compared with the occurrence in its section.
     """
     held = search.collect_queries(phrases.select(phrase_id, phrase).where(F.length(F.trim(phrase)) >= 3))
     facts = ("drug", "dose", "route")
@@ -37,7 +39,8 @@ def find_occurrences(rows: DataFrame, row_id: str, section: str, text: str, phra
     asked = table.collect()  # as many rows as phrases
     sections = rows.where(F.col(row_id).isNotNull() & (F.length(F.trim(F.col(text))) >= 5)).select(F.col(row_id).alias("row_id"), F.coalesce(section, F.lit("Unspecified Section")).alias("section"), F.col(text).alias("t"), F.col(document or row_id).alias("document"), F.col(order or row_id).alias("o"))
     if not asked:
-        return sections.select(F.lit(None).cast("long").alias("phrase_id"), "row_id", "section", F.lit(None).cast("string").alias("layer"), F.lit(None).cast("string").alias("relevance"), F.lit(None).cast("double").alias("similarity")).limit(0)
+        none = sections.select(F.lit(None).cast("long").alias("phrase_id"), "row_id", "section", F.lit(None).cast("string").alias("layer"), F.lit(None).cast("string").alias("relevance"), F.lit(None).cast("double").alias("similarity")).limit(0)
+        return none if not scores else none.select("*", F.create_map().cast("map<string,string>").alias("statuses"), F.create_map().cast("map<string,double>").alias("scores"), F.lit(False).alias("false_match"))
     # read several times, and costly to make
     sections = stage(sections.withColumn("h", F.xxhash64("t")), "sections")
     block = F.array(*[F.struct(F.lit(r["phrase_id"]).alias("id"), F.lit(r["p"]).alias("p"), F.lit(r["norm"]).alias("norm"), *[F.lit(r[f]).cast("string").alias(f) for f in facts]) for r in asked])
@@ -63,5 +66,10 @@ def find_occurrences(rows: DataFrame, row_id: str, section: str, text: str, phra
     )
     found = pairs.where(~conflict).withColumn("layer", layer).where("layer is not null")
     opening = F.col("t") if snippet is None else F.left("t", F.lit(snippet))
-    first = found.groupBy("phrase_id", "document", "section", F.md5(opening).alias("snippet")).agg(F.min(F.struct("o", "row_id", "layer", "similarity")).alias("x"))
-    return first.select("phrase_id", "x.row_id", "section", "x.layer", F.when(F.col("x.layer").isin("exact_match", "normalized_match"), "DIRECT").otherwise("INDIRECT").alias("relevance"), "x.similarity")
+    first = found.groupBy("phrase_id", "document", "section", F.md5(opening).alias("snippet")).agg(F.min(F.struct("o", "row_id", "layer", "similarity", F.col("q.p").alias("p"), "t")).alias("x"))
+    out = first.select("phrase_id", "x.row_id", "section", "x.layer", F.when(F.col("x.layer").isin("exact_match", "normalized_match"), "DIRECT").otherwise("INDIRECT").alias("relevance"), "x.similarity", *(["x.p", "x.t"] if scores else []))
+    if not scores:
+        return out
+    named = [F.lit(d) for d in C.DIMENSIONS]
+    compared = C.compare(out, "p", "t", "section", "section")
+    return compared.select(*out.columns[:-2], F.map_from_arrays(F.array(*named), F.array(*[f"{d}_status" for d in C.DIMENSIONS])).alias("statuses"), F.map_from_arrays(F.array(*named), F.array(*[f"{d}_score" for d in C.DIMENSIONS])).alias("scores"), "false_match")

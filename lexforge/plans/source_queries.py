@@ -118,11 +118,20 @@ def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ingest(_as(spark, sf_dir, "md"), document_id="content_id")[0].select("document_id", "document_name", "fingerprint", "source_url", "n_sections", "format")
 
 
-def phrase_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences in the sections of all documents of the stated phrases: first sentences of the evaluation cases with an id divisible by 100."""
+def _occurrences(spark: SparkSession, sf_dir: str, scores: bool) -> DataFrame:
     phrases = read(spark, sf_dir, "eval_cases").where("item_id % 100 = 0").select("item_id", F.substring_index("target_text", ". ", 1).alias("phrase"))
     sections = chunking.sections(read_spread(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
-    return occurrences.find_occurrences(sections, "section_id", "heading", "body", phrases, "item_id", "phrase", document="document_id", order="order_index")
+    return occurrences.find_occurrences(sections, "section_id", "heading", "body", phrases, "item_id", "phrase", document="document_id", order="order_index", scores=scores)
+
+
+def phrase_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences in the sections of all documents of the stated phrases: first sentences of the evaluation cases with an id divisible by 100."""
+    return _occurrences(spark, sf_dir, scores=False)
+
+
+def occurrence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same occurrences with what their comparison with the phrase says in each dimension."""
+    return _occurrences(spark, sf_dir, scores=True).select("phrase_id", "row_id", "layer", F.explode("scores").alias("dimension", "score"), "false_match")
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +165,7 @@ _SECTIONS_SQL = rf"""
     named as (select *, 'sec_' || doc_id || '_' || order_index || '_' || left(regexp_replace(lower(coalesce(section_number, heading)), '[^a-zA-Z0-9]', '_', 'g'), 20) as section_id from numbered),
     parents as (select c.doc_id, c.order_index, arg_max(p.section_id, p.order_index) as parent_section_id from named c join named p on p.doc_id = c.doc_id and p.order_index < c.order_index and p.level < c.level group by 1, 2)
     select n.doc_id::varchar as document_id, section_id, parent_section_id, n.order_index, level, section_number, heading, concept, body from named n left join parents p on p.doc_id = n.doc_id and p.order_index = n.order_index"""
-QUERIES = {"document_items": document_items, "adapt_item_chunks": item_chunks, "source_ingested": ingested, "document_sections": document_sections, "document_chunks": document_chunks, "document_sentences": document_sentences, "document_tables": document_tables, "source_label_unpivot": label_unpivot, "source_parsed_formats": parsed_formats, "source_resolved_formats": resolved_formats, "adapt_chunk_items": chunk_items, "adapt_item_sections": item_sections, "occurrence_layers": phrase_occurrences, "stream_windows": stream_windows, "source_standard_segments": standard_segments, "source_label_unpivot_whole": label_unpivot_whole, "source_standard_segments_whole": standard_segments_whole}
+QUERIES = {"document_items": document_items, "adapt_item_chunks": item_chunks, "source_ingested": ingested, "document_sections": document_sections, "document_chunks": document_chunks, "document_sentences": document_sentences, "document_tables": document_tables, "source_label_unpivot": label_unpivot, "source_parsed_formats": parsed_formats, "source_resolved_formats": resolved_formats, "adapt_chunk_items": chunk_items, "adapt_item_sections": item_sections, "occurrence_layers": phrase_occurrences, "occurrence_scores": occurrence_scores, "stream_windows": stream_windows, "source_standard_segments": standard_segments, "source_label_unpivot_whole": label_unpivot_whole, "source_standard_segments_whole": standard_segments_whole}
 ORACLES = {
     "adapt_item_chunks": """select distinct content_id as chunk_id, coalesce(document_id, 'doc_' || content_id) as document_id, 'sec_' || content_id as section_id, coalesce(content_type, 'paragraph') as chunk_type,
         coalesce(nullif(concat_ws(' > ', nullif(document_name, ''), case when section is not null then trim(concat_ws(' ', subsection, section)) end, case when exact_location is distinct from section then exact_location end), ''), section, 'Document') as structure_path,

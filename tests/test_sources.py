@@ -277,3 +277,12 @@ def test_numbered_lists_and_plain_archives(spark):
         z.writestr("a.txt", "x")
     df = spark.createDataFrame([(1, bytearray(box.getvalue())), (2, bytearray(plain.getvalue()))], "id int, content binary")
     assert {r[0]: r[1] for r in df.select("id", formats.resolve(F.lit(None).cast("string"), F.col("content"))).collect()} == {1: "docx", 2: "txt"}
+
+
+def test_occurrences_are_scored_by_dimension(spark):
+    rows = spark.createDataFrame([("1", "Dosage", "Take losartan 50 mg once daily."), ("2", "Dosage", "take  losartan 50 mg, but not with food"), ("3", "Storage", "Keep dry.")], "id string, section string, text string")
+    p = spark.createDataFrame([(1, "Take losartan 50 mg")], "p long, s string")
+    got = {r["row_id"]: r for r in occurrences.find_occurrences(rows, "id", "section", "text", p, "p", "s", scores=True).collect()}
+    assert set(got) == {"1", "2"} and set(got["1"]["scores"]) == {"meaning", "template", "context", "structure", "format", "key_information"}
+    assert got["1"]["statuses"]["context"] == "MATCH" and got["1"]["scores"]["context"] == 0.9 and got["1"]["false_match"] is False
+    assert occurrences.find_occurrences(rows, "id", "section", "text", p.limit(0), "p", "s", scores=True).count() == 0
