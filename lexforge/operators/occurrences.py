@@ -3,7 +3,7 @@
 exact (the phrase stands in the text), normalized (its normal form does), structured (same drug and same
 dose or route), semantic (hash-embedding cosine). Texts that name another drug are no occurrences.
 
-Phrases are a stated, bounded set and travel to the rows. Facts are read only from texts that may match.
+Phrases are a stated set and travel to the rows in blocks. Facts are read only from texts that may match.
 
 Defined results: null texts, texts under 5 and phrases under 3 characters have none; equal beginnings of
 ``snippet`` characters (None: equal texts) within one section of one document count once, by the first of
@@ -32,6 +32,12 @@ def find_occurrences(rows: DataFrame, row_id: str, section: str, text: str, phra
     document names the column within which equal beginnings count once, order the one that ranks its rows.
     scores adds each dimension's status and score, of the phrase compared with the occurrence in its section.
     """
+    whole = lambda p: _find(rows, row_id, section, text, p, phrase_id, phrase, threshold, document, order, snippet, scores)
+    # phrases become part of the plan, so blocks are small
+    return search.in_blocks(phrases, phrase_id, whole, 500)
+
+
+def _find(rows: DataFrame, row_id: str, section: str, text: str, phrases: DataFrame, phrase_id: str, phrase: str, threshold: float, document: str | None, order: str | None, snippet: int | None, scores: bool) -> DataFrame:
     held = search.collect_queries(phrases.select(phrase_id, phrase).where(F.length(F.trim(phrase)) >= 3))
     facts = ("drug", "dose", "route")
     spark = rows.sparkSession

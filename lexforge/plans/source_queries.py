@@ -166,7 +166,18 @@ _SECTIONS_SQL = rf"""
     parents as (select c.doc_id, c.order_index, arg_max(p.section_id, p.order_index) as parent_section_id from named c join named p on p.doc_id = c.doc_id and p.order_index < c.order_index and p.level < c.level group by 1, 2)
     select n.doc_id::varchar as document_id, section_id, parent_section_id, n.order_index, level, section_number, heading, concept, body from named n left join parents p on p.doc_id = n.doc_id and p.order_index = n.order_index"""
 QUERIES = {"document_items": document_items, "adapt_item_chunks": item_chunks, "source_ingested": ingested, "document_sections": document_sections, "document_chunks": document_chunks, "document_sentences": document_sentences, "document_tables": document_tables, "source_label_unpivot": label_unpivot, "source_parsed_formats": parsed_formats, "source_resolved_formats": resolved_formats, "adapt_chunk_items": chunk_items, "adapt_item_sections": item_sections, "occurrence_layers": phrase_occurrences, "occurrence_scores": occurrence_scores, "stream_windows": stream_windows, "source_standard_segments": standard_segments, "source_label_unpivot_whole": label_unpivot_whole, "source_standard_segments_whole": standard_segments_whole}
+_RULE_SQL = r"'^\s*\|?(\s*:?-+:?\s*\|)+\s*(:?-+:?)?\s*\|?\s*$'"
+_CELLS_SQL = r"list_transform(string_split(regexp_replace(regexp_replace(trim(line), '^\|+', ''), '\|+$', ''), '|'), lambda x: trim(x))"
+_TABLES_SQL = f"""
+    with l as (select doc_id, unnest(range(len(ls))) as i, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents where doc_id is not null and text is not null)),
+    m as (select *, contains(line, '|') as p, coalesce(lead(regexp_matches(trim(line), {_RULE_SQL})) over (partition by doc_id order by i), false) as ruled from l),
+    g as (select *, max(case when p and ruled then i end) over (partition by doc_id order by i) as head, sum((not p or starts_with(trim(line), '#'))::int) over (partition by doc_id order by i) as breaks from m),
+    d as (select g.doc_id, g.head, g.i - g.head - 2 as row_no, {_CELLS_SQL.replace('line', 'g.line')} as c, {_CELLS_SQL.replace('line', 'h.line')} as names from g join g h on h.doc_id = g.doc_id and h.i = g.head join g r on r.doc_id = g.doc_id and r.i = g.head + 1
+        where g.i >= g.head + 2 and g.breaks = r.breaks),
+    k as (select doc_id, (dense_rank() over (partition by doc_id order by head) - 1)::int as table_no, row_no::int as row_no, case when len(names) > 1 then list_filter(names, lambda x: x <> '') else names end as names, c from d)
+    select doc_id::varchar as document_id, table_no, row_no, names[n] as header, coalesce(c[n], '') as value from (select *, unnest(range(1, len(names) + 1)) as n from k)"""
 ORACLES = {
+    "document_tables": _TABLES_SQL,
     "adapt_item_chunks": """select distinct content_id as chunk_id, coalesce(document_id, 'doc_' || content_id) as document_id, 'sec_' || content_id as section_id, coalesce(content_type, 'paragraph') as chunk_type,
         coalesce(nullif(concat_ws(' > ', nullif(document_name, ''), case when section is not null then trim(concat_ws(' ', subsection, section)) end, case when exact_location is distinct from section then exact_location end), ''), section, 'Document') as structure_path,
         md5(text) as content_md5 from content_items where content_id is not null""",
