@@ -12,6 +12,7 @@ import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Iterator
 
 from ..functions import outline
 from . import legacy, pdf
@@ -70,39 +71,52 @@ def parse_md(content: bytes) -> tuple[str | None, list[dict]]:
     return title, found
 
 
+# Names by which a listed object gives its caption, its number and its text.
+CAPTIONS, NUMBERS, BODIES = ("section", "heading", "title", "name"), ("section_number", "number"), ("content", "text", "raw_text")
+
+
+def _shown(value, name: str) -> str:
+    """A field's value as text: lists of texts line by line, objects field by field, the rest as JSON."""
+    match value:
+        case str():
+            return value
+        case list():
+            return "\n".join(value) if all(isinstance(x, str) for x in value) else json.dumps(value, indent=2)
+        case dict():
+            lines = (f"{k}: {v}" if isinstance(v, (str, int, float)) else f"{k}:\n{json.dumps(v, indent=2)}" for k, v in value.items())
+            return "\n".join((f"[JSON Path: $.{name}]", *lines))
+    return f"{name}: {value}"
+
+
+def _listed(entries: list) -> Iterator[dict]:
+    """A section for each entry of a list; what an object does not name as its text is shown field by field."""
+    for n, entry in enumerate(entries, 1):
+        if not isinstance(entry, dict):
+            yield _section(f"Item {n}", str(entry))
+            continue
+        told = {kind: next((entry[k] for k in names if entry.get(k)), None) for kind, names in (("caption", CAPTIONS), ("number", NUMBERS))}
+        body = next((entry[k] for k in BODIES if entry.get(k) is not None), None)
+        if body is None:
+            body = "\n".join(f"{k}: {v}" for k, v in entry.items() if k not in CAPTIONS + NUMBERS)
+        yield _section(str(told["caption"] or f"Section {n}"), body if isinstance(body, str) else json.dumps(body, indent=2), 1, str(told["number"]) if told["number"] else None)
+
+
 def parse_json(content: bytes) -> tuple[str | None, list[dict]]:
-    """A list of sections, an object with ``sections``, or one section for each descriptive key's sibling."""
+    """A list of sections, an object with ``sections``, or one section for each field that is no description."""
     data = json.loads(decode(content))
-    if isinstance(data, dict) and isinstance(data.get("results"), list) and data["results"]:
-        data = data["results"][0]
-    items = data if isinstance(data, list) else data.get("sections") if isinstance(data, dict) and isinstance(data.get("sections"), list) else None
+    match data:
+        case {"results": [first, *_]}:
+            data = first
+    match data:
+        case list(entries) | {"sections": list(entries)}:
+            found = list(_listed(entries))
+        case dict():
+            fields = ((re.sub("_+", " ", k).title(), _shown(v, k)) for k, v in data.items() if k.lower() not in DESCRIPTIVE)
+            found = [_section(caption, body) for caption, body in fields if body.strip()]
+        case _:
+            found = []
     title = data.get("title") or data.get("document_name") if isinstance(data, dict) else None
-    out = []
-    if items is not None:
-        for i, x in enumerate(items):
-            if not isinstance(x, dict):
-                out.append(_section(f"Item {i + 1}", str(x)))
-                continue
-            names = ("section", "heading", "title", "name")
-            head = next((x[n] for n in names if x.get(n)), f"Section {i + 1}")
-            body = next((x[n] for n in ("content", "text", "raw_text") if x.get(n) is not None), None)
-            if body is None:
-                body = "\n".join(f"{k}: {v}" for k, v in x.items() if k not in (*names, "section_number", "number"))
-            number = x.get("section_number") or x.get("number")
-            out.append(_section(str(head), body if isinstance(body, str) else json.dumps(body, indent=2), 1, str(number) if number else None))
-    elif isinstance(data, dict):
-        for k, v in data.items():
-            if k.lower() in DESCRIPTIVE:
-                continue
-            if isinstance(v, list):
-                body = "\n".join(v) if all(isinstance(x, str) for x in v) else json.dumps(v, indent=2)
-            elif isinstance(v, dict):
-                body = "\n".join([f"[JSON Path: $.{k}]", *(f"{a}: {b}" if isinstance(b, (str, int, float, bool)) else f"{a}:\n{json.dumps(b, indent=2)}" for a, b in v.items())])
-            else:
-                body = v if isinstance(v, str) else f"{k}: {v}"
-            if body.strip():
-                out.append(_section(re.sub("_+", " ", k).title(), body))
-    return title, out or [_section("General Content", json.dumps(data, indent=2))]
+    return title, found or [_section("General Content", json.dumps(data, indent=2))]
 
 
 def _local(tag) -> str:
