@@ -20,6 +20,12 @@ from ..functions import text as X
 DIMENSIONS = ("meaning", "template", "context", "structure", "format", "key_information")
 FACTS = ("dose", "dose_unit", "frequency", "route", "population", "age_group", "drug", "product", "duration", "indication", "safety_information")
 
+# The wording of context reasons and of the warning; pairs stand before and between two values.
+GROUP_REASON = ("Specialized population context disparity: current applies to ", ", whereas candidate applies to ")
+SECTION_REASON = ("Regulatory section context disparity: target content is from '", "', whereas candidate originates from '")
+STUDY_REASON = "Context mismatch: one statement describes clinical study observations, whereas the other provides prescribing recommendations."
+SAFETY_REASON = "Context mismatch: therapeutic indication context compared against contraindication safety context."
+WARNING = "FALSE MATCH WARNING: High semantic similarity masks critical regulatory discrepancy ("
 # Patterns on lower-case text that raise a flag.
 FLAGS = {
     "contra": r"\b(contraindicated|contraindication|do not use|hypersensitiv)\b",
@@ -207,11 +213,11 @@ def compare(pairs: DataFrame, target: str = "target_text", candidate: str = "can
     context_cases = [(group_off, "MISMATCH", 0.35), (section_off & clash, "MISMATCH", 0.35), (section_off, "PARTIAL", 0.65), (study_off, "MISMATCH", 0.35), (opposed("ind_use", "contra_use"), "MISMATCH", 0.25), (true, "MATCH", 0.90)]
     context_status, context_score = _pick(*context_cases)
     context_reason = (
-        F.when(group_off, F.concat(F.lit("Specialized population context disparity: current applies to "), a("subgroup"), F.lit(", whereas candidate applies to "), b("subgroup"), F.lit(".")))
-        .when(section_off & clash, F.concat(F.lit("Regulatory section context disparity: target content is from '"), a("section"), F.lit("', whereas candidate originates from '"), b("section"), F.lit("'.")))
+        F.when(group_off, F.concat(F.lit(GROUP_REASON[0]), a("subgroup"), F.lit(GROUP_REASON[1]), b("subgroup"), F.lit(".")))
+        .when(section_off & clash, F.concat(F.lit(SECTION_REASON[0]), a("section"), F.lit(SECTION_REASON[1]), b("section"), F.lit("'.")))
         .when(section_off, F.lit(None))
-        .when(study_off, F.lit("Context mismatch: one statement describes clinical study observations, whereas the other provides prescribing recommendations."))
-        .when(opposed("ind_use", "contra_use"), F.lit("Context mismatch: therapeutic indication context compared against contraindication safety context."))
+        .when(study_off, F.lit(STUDY_REASON))
+        .when(opposed("ind_use", "contra_use"), F.lit(SAFETY_REASON))
     )
     purpose = lambda c: F.when(c("study"), "Clinical study observation").otherwise("Prescribing directive")
     context_diffs = [
@@ -318,7 +324,7 @@ def matched_aspects(target: Column, candidate: Column) -> Column:
 
 def warning(reasons: Column) -> Column:
     """The warning that false-match reasons add up to; null if there are none."""
-    return F.when(F.size(reasons) > 0, F.concat(F.lit("FALSE MATCH WARNING: High semantic similarity masks critical regulatory discrepancy ("), F.array_join(reasons, "; "), F.lit(").")))
+    return F.when(F.size(reasons) > 0, F.concat(F.lit(WARNING), F.array_join(reasons, "; "), F.lit(").")))
 
 
 def summary(prefix: str = "") -> Column:
